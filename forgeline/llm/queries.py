@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.llm import byte_bpe, chat, token_prefix, url_filter
+from forgeline.llm import ann_forest, byte_bpe, chat, hamming_search, mixing, simhash, token_prefix, url_filter
 from forgeline.llm.common import table
 
 #: Texts over this many tokens are over the limit.
@@ -19,12 +19,28 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 HOST_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
 
 
+def op1_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.top_k(table(spark, sf_dir, "embeddings"), k=10, every=20)
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("SELECT -1L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digest(chat.examples(turns))
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = token_prefix.prefix_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -48,13 +64,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_search": op1_hamming_search,
     "op2_chat": op2_chat,
+    "op3_ann_forest": op3_ann_forest,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_hamming_search": r"""
+WITH c AS (
+  SELECT DISTINCT vec_id, CAST(list_reduce(list_transform(embedding[:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT), lambda a, b: a * 2 + b) AS UHUGEINT) AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(CAST(q.code AS UBIGINT), CAST(c.code AS UBIGINT))) AS BIGINT) AS distance
+  FROM c q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+""",
     "op2_chat": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
