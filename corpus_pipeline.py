@@ -1,17 +1,68 @@
-"""The corpus pipeline: quality, near-duplicates, personal data, mixture, tokens."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from forgeline.llm import byte_bpe, mixing, pii, quality, simhash
+from forgeline.llm.common import numbered, table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; labels that are held out teach nothing."""
+    stats = written(quality.features(docs.select("doc_id", "text")), "statistics")
+    return quality.accepted(docs.select(*COLUMNS), quality.train(stats, table(spark, sf_dir, "labels")))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id (null last)."""
+    rows = numbered(docs.select(*COLUMNS), "documents")
+    groups = simhash.components(rows.select("doc_id", "__row", "text"), id_col="__row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; n_chars is that of the new text."""
+    return pii.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times or not at all."""
+    rows = numbered(docs.select(*COLUMNS), "documents")
+    mixed = mixing.mix(rows, keep=("__row",)).filter("taken > 0")
+    times = mixed.select("__row", F.expr("CAST(taken DIV size AS INT)").alias("times"))
+    return rows.join(times, "__row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__time")).drop("__time")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of the text."""
+    coded = byte_bpe.encode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
+
 
-from forgeline.llm.common import table, written
+STAGES = [
+    ("quality", quality_stage),
+    ("simhash_dedup", dedup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", token_stage),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the fingerprints; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again before the next."""
+    """All stages over the documents."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

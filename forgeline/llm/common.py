@@ -34,6 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, written with a column __row that tells its rows apart, repeated ones too."""
+    return written(df.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without the columns whose names, in any case, an operator is about to add."""
     taken = {n.lower() for n in names}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.llm import ann_forest, byte_bpe, chat, hamming_search, mixing, simhash, token_prefix, url_filter
+from forgeline.llm import ann_forest, byte_bpe, chat, hamming_search, mixing, pii, quality, simhash, token_prefix, url_filter
 from forgeline.llm.common import table
 
 #: Texts over this many tokens are over the limit.
@@ -41,6 +41,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.said(F.col("base_spans")), 256).alias("base_sha256"), pii.said(F.col("spans")).alias("spans"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = token_prefix.prefix_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -69,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann_forest": op3_ann_forest,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
