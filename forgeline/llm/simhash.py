@@ -118,8 +118,14 @@ def local_labels(codes: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray
     label = np.arange(len(codes))
     if not len(codes):
         return label
+    _, place, sizes = np.unique(groups, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(sizes[place] > 1)
+    if not len(shared):
+        return label
+    if len(shared) < len(codes):
+        label[shared] = shared[local_labels(codes[shared], groups[shared], most)]
+        return label
     index = GrayIndex(codes, groups)
-    sizes = np.bincount(np.unique(groups, return_inverse=True)[1])
     step = max(1, FRONTIER // (2 * int(sizes.max())))
     for at in range(0, len(codes), step):
         a, b = index.later_within(np.arange(at, min(at + step, len(codes))), most)
@@ -145,10 +151,11 @@ def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
         raise ValueError("four segments cover up to three differing bits")
     turned = [F.col("fp") if s == 0 else F.shiftleft("fp", 16 * s).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * s)) for s in range(4)]
     rows = fps.select("fp", F.posexplode(F.array(*turned)).alias("segment", "turned")).withColumn("value", F.shiftrightunsigned("turned", 48).cast("int"))
-    counts = rows.groupBy("segment", "value").count().filter(F.col("count") > 1)
-    counts = counts.select("segment", "value", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    # four segments of 16 bits: at most 4 * 65,536 short rows, whatever the input
-    dealt = rows.join(F.broadcast(counts), ["segment", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    many = rows.groupBy("segment", "value").count().filter(F.col("count") > block)
+    many = many.select("segment", "value", F.ceil(F.col("count") / block).cast("int").alias("__blocks"))
+    # few values have so many fingerprints, and four segments of 16 bits have 4 * 65,536 values in all
+    dealt = rows.join(F.broadcast(many), ["segment", "value"], "left").withColumn("blocks", F.coalesce("__blocks", F.lit(1))).drop("__blocks")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
     cells = dealt.select("fp", "turned", "segment", "value", "own", F.explode(others).alias("other"))
     key = F.struct("segment", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
