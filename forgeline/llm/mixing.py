@@ -39,14 +39,15 @@ def targets(sizes: DataFrame, total_share: float = 1.0, weights: tuple[float, ..
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, len(weights)) + 1).cast("int"))
     w = sizes.select("source", "source_size", weight.alias("w"), (F.lit(float(most_passes)) * F.col("source_size")).alias("cap"))
-    ahead = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
+    ahead = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(1))
     budget = F.sum("source_size").over(every) * F.lit(total_share)
     left = budget - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))
     heavy = F.sum("w").over(every) - F.coalesce(F.sum("w").over(ahead), F.lit(0.0))
-    share = w.withColumn("level", left / heavy)
+    share = w.withColumn("level", left / heavy).withColumn("place", F.row_number().over(by_ratio))
     # the first source whose cap isn't reached sets the level for itself and all after it
-    level = F.min(F.when(F.col("cap") >= F.col("level") * F.col("w"), F.struct((F.col("cap") / F.col("w")).alias("ratio"), "level"))).over(every)["level"]
+    level = F.min(F.when(F.col("cap") >= F.col("level") * F.col("w"), F.struct("place", "level"))).over(every)["level"]
     return share.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
@@ -105,7 +106,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     chosen is fixed, and they don't differ. Other columns don't count. An empty table gives no rows.
     """
     kept = [quoted(c) for c in keep]
-    docs = df.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), words_of(quoted(text_col)).alias("size"), *kept)
+    docs = df.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), words_of(quoted(text_col)).alias("size"), *kept)
     docs = docs.withColumn("order", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = written(docs, "sizes")
     lengths = written(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
