@@ -195,6 +195,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     named = labels.join(fps, labels["node"] == fps["fp"]).select("node", "label", "least")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = fps.join(named.join(least, "label").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
-    ids = ids.select(F.col("fp").alias("__fp"), F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join's both sides come straight from an exchange and a hot fingerprint can be split
+    ids = written(ids.select(F.col("fp").alias("__fp"), F.coalesce("component_id", "least").alias("component_id")), "component-ids")
     kept = [c for c in rows.columns if c != "__fp"]
     return rows.join(ids, "__fp").select(*[quoted(c) for c in kept], F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
