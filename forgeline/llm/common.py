@@ -29,11 +29,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage and outlives lost executors. Each call uses a new folder.
     """
-    path = f"{shared_dir(df.sparkSession)}/forgeline/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/forgeline/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df, written with a column __row that tells its rows apart, repeated ones too."""
     return written(df.withColumn("__row", F.monotonically_increasing_id()), name)
