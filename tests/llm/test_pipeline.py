@@ -13,7 +13,7 @@ from forgeline.llm.common import table, written
 def odd(df):
     """The rows, with nulls, empty and repeated ones."""
     extra = df.limit(3).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long"))
-    return df.unionAll(extra).unionAll(df.limit(4)).unionAll(df.limit(1).withColumn("text", F.lit("")))
+    return df.unionAll(extra).unionAll(df.limit(4)).unionAll(df.limit(1).withColumn("text", F.lit("")).withColumn("doc_id", F.lit(10**9).cast("long")))
 
 
 def test_stages(spark, sf):
