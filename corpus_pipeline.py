@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.llm import byte_bpe, mixing, pii, quality, simhash
+from forgeline.llm import byte_bpe, mixing, near, pii, quality
 from forgeline.llm.common import numbered, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,11 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id (null last)."""
+    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) the document with the smallest id (null last)."""
     rows = numbered(docs.select(*COLUMNS), "documents")
-    groups = simhash.components(rows.select("doc_id", "__row", "text"), id_col="__row")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first"))
-    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
+    return rows.join(near.firsts(rows.select("__row", "doc_id", "text")), "__row", "left_semi").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
