@@ -8,6 +8,7 @@ scores of the labelled rows, counted in bins, are calibrated by pooling adjacent
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,8 +52,8 @@ def statistics(text: str) -> list[float]:
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
     pairs = set(zip(words, words[1:], strict=False))
     lines = [line for line in raw.split(b"\n") if line.strip()]
-    distinct = len(set(words))
-    most = max(words.count(w) for w in set(words[:: max(1, n // 8)])) if n > 8 else 1
+    times = Counter(words)
+    distinct, most = len(times), max(times.values())
     chars = len(codes)
     share = lambda x, of: float(np.log(1e-3 + x / max(1, of)))
     return [
@@ -69,7 +70,7 @@ def statistics(text: str) -> list[float]:
         float(np.log(distinct / n ** 0.8)),
         share(len(lines) - len(set(lines)), len(lines)),
         float(np.log(n / max(1, len(lines)))),
-        share(most, n) if n > 8 else 0.0,
+        share(most, n),
     ]
 
 
