@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline.functions import masking
@@ -165,6 +165,12 @@ _CLEAN = "SELECT rid, try_cast(Date AS DATE) AS Date, " + ", ".join(f"trim(coale
 _add("clean_production", lambda s, d: clean.clean(views.raw_production(s, d)).drop("Cycle_Time_sec").withColumn("rid", F.col("rid").cast("long")), _CLEAN)
 _add("clean_basic", lambda s, d: clean.clean(clean.coerce(views.production(s, d)).select("Date", "Line", "Target_Qty", "Actual_Qty"), "basic"), "SELECT DISTINCT Date, Line, CAST(Target_Qty AS DOUBLE) AS Target_Qty, CAST(Actual_Qty AS DOUBLE) AS Actual_Qty FROM v_production")
 _add("safe_cells", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", safe_cell(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20))).alias("cell")), "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ''' =' || substr(text, 1, 20) WHEN regexp_matches(substr(text, 1, 20), '^[ \\t]*[=+@-]') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents")
+
+def _whole_cell() -> Column:
+    return safe_cell(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), "text")).otherwise(F.col("text")))
+
+
+_add("safe_cells_whole", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", _whole_cell().alias("cell")).select("doc_id", F.sha2("cell", 256).alias("sha256"), F.length("cell").cast("long").alias("n_chars")), "SELECT doc_id, sha256(cell) AS sha256, length(cell) AS n_chars FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ''' =' || text WHEN regexp_matches(text, '^[ \\t]*[=+@-]') THEN '''' || text ELSE text END AS cell FROM documents)")
 _add("scaled_copies", lambda s, d: dashboard.shifted_copies(views.production(s, d), 10, 100).groupBy("Date").agg(F.sum("Actual_Qty").alias("Actual")), f"SELECT CAST(Date + CAST(i * 100 AS INTEGER) AS DATE) AS Date, {_sum('Actual_Qty')} AS Actual FROM v_production, range(10) AS r(i) GROUP BY 1")
 
 # --- contracts, quarantine, gate --------------------------------------------------------------------
