@@ -370,12 +370,12 @@ _add("downtime_features", lambda s, d: ml.downtime_features(views.machine(s, d))
 
 def _rf(s: SparkSession, d: str) -> DataFrame:
     train, test = ml.split(ml.defect_features(views.production(s, d), views.quality(s, d)), ["Date", "Line", "Shift"])
-    return ml.metrics(ml.defect_model(train, trees=20, depth=6).transform(test))
+    return ml.metrics(ml.defect_model(train).transform(test))
 
 
 def _gbt(s: SparkSession, d: str) -> DataFrame:
     train, test = ml.split(ml.downtime_features(views.machine(s, d)), ["Reading"])
-    return ml.confusion(ml.downtime_model(train, rounds=10, depth=4).transform(test))
+    return ml.confusion(ml.downtime_model(train).transform(test))
 
 
 _add("rf_metrics", _rf)
