@@ -5,11 +5,15 @@ towards where some of the points spread, down to small leaves. A query keeps one
 all trees of the forest: the branch with the least sum of squared distances beyond its splits,
 in any tree, is opened next, until enough candidates were met. The candidates'
 cosines are then computed from the original vectors in double precision.
+
+The number of shards follows from the vectors alone, never from the cluster, so that answers are
+alike everywhere. Each shard's forest is built once and written; blocks of queries are sent to it.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pandas as pd
@@ -19,34 +23,48 @@ from pyspark.sql import functions as F
 from forgeline.llm.common import written
 from forgeline.llm.vectors import answers, blocks, representatives, rows_of
 
-TREES, LEAF = 16, 16
+TREES, LEAF = 32, 32
 #: Points of a node whose scatter tilts its random direction.
 SCATTER = 100
 #: The share of a shard's vectors that a query meets as candidates, and the least number of them.
-MET_SHARE, LEAST_MET = 0.5, 400
-#: Vectors of a shard and queries that one task searches: at most, and at least while there are tasks for more.
-MOST_SHARD, LEAST_SHARD = 1 << 15, 1 << 12
-MOST_QUERIES, LEAST_QUERIES = 1 << 13, 1 << 11
+MET_SHARE, LEAST_MET = 0.4, 1000
+#: Bytes of the vectors of one shard (32,768 vectors of 64 components).
+SHARD_BYTES = 1 << 24
+#: Queries that one task sends to a shard: at most, and at least while there are tasks for more blocks. They change no answer.
+MOST_QUERIES, LEAST_QUERIES = 1 << 13, 1 << 8
 
 
 class Forest:
-    """Trees over unit vectors. Inner nodes hold a direction and a median, leaves a range of rows."""
+    """Trees over unit vectors. Inner nodes hold a direction and a median, leaves a range of `rows`."""
+
+    #: What `dumped` keeps.
+    FIELDS = ("roots", "low", "high", "plane", "begin", "end", "rows", "matrix", "offsets")
+
+    def __init__(self, **arrays: np.ndarray) -> None:
+        for name in self.FIELDS:
+            setattr(self, name, arrays[name])
+        self._nodes = list(zip(*(arrays[n].tolist() for n in ("low", "high", "plane", "begin", "end")), strict=True))
 
-    def __init__(self, units: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 42) -> None:
+    @classmethod
+    def grown(cls, units: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 42) -> Forest:
         rng = np.random.default_rng(seed)
-        self.children: list[tuple[int, int]] = []
-        self.plane: list[int] = []
-        self.leaves: list[np.ndarray | None] = []
-        self.directions: list[np.ndarray] = []
-        self.medians: list[float] = []
-        self.roots = []
+        nodes: list[list[int]] = []  # low, high, plane, begin, end
+        order: list[np.ndarray] = []
+        directions, medians, roots, at = [], [], [], 0
+
+        def new() -> int:
+            nodes.append([-1, -1, -1, 0, 0])
+            return len(nodes) - 1
+
         for _ in range(trees):
-            self.roots.append(self._new())
-            stack = [(self.roots[-1], np.arange(len(units)))]
+            roots.append(new())
+            stack = [(roots[-1], np.arange(len(units)))]
             while stack:
                 node, rows = stack.pop()
                 if len(rows) <= leaf:
-                    self.leaves[node] = rows
+                    nodes[node][3:] = at, at + len(rows)
+                    order.append(rows)
+                    at += len(rows)
                     continue
                 some = units[rng.choice(rows, min(len(rows), SCATTER), replace=False)]
                 some = some - some.mean(axis=0)
@@ -54,81 +72,104 @@ class Forest:
                 for _ in range(2):  # towards where the points spread
                     tilted = some.T @ (some @ direction)
                     direction = tilted / norm if (norm := np.linalg.norm(tilted)) > 0 else direction
+                direction = direction / np.linalg.norm(direction)
                 projected = units[rows] @ direction
-                order = np.argsort(projected, kind="stable")
+                by = np.argsort(projected, kind="stable")
                 half = len(rows) // 2
-                self.plane[node] = len(self.directions)
-                self.directions.append(direction / np.linalg.norm(direction))
-                self.medians.append(float(projected[order[half - 1]] + projected[order[half]]) / 2 / float(np.linalg.norm(direction)))
-                low, high = self._new(), self._new()
-                self.children[node] = low, high
-                stack += [(low, rows[order[:half]]), (high, rows[order[half:]])]
-        self.matrix = np.array(self.directions).reshape(-1, units.shape[1])
-        self.offsets = np.array(self.medians)
-
-    def _new(self) -> int:
-        self.children.append((-1, -1))
-        self.plane.append(-1)
-        self.leaves.append(None)
-        return len(self.leaves) - 1
+                low, high = new(), new()
+                nodes[node][:3] = low, high, len(directions)
+                directions.append(direction)
+                medians.append(float(projected[by[half - 1]] + projected[by[half]]) / 2)
+                stack += [(low, rows[by[:half]]), (high, rows[by[half:]])]
+        columns = np.array(nodes, dtype=np.int32).T
+        matrix = np.array(directions, dtype=np.float32).reshape(-1, units.shape[1])
+        return cls(**dict(zip(("low", "high", "plane", "begin", "end"), columns, strict=True)), roots=np.array(roots, dtype=np.int32), rows=np.concatenate(order).astype(np.int32), matrix=matrix, offsets=np.array(medians))
 
     def beyond(self, queries: np.ndarray) -> np.ndarray:
         """How far each query lies beyond each split."""
-        return queries @ self.matrix.T - self.offsets
+        return queries @ self.matrix.T.astype(float) - self.offsets
 
     def candidates(self, beyond: list[float], wanted: int, n: int) -> np.ndarray:
         """Rows met through the shared queue, `wanted` of them or more, or all n."""
         met = np.zeros(n, dtype=bool)
-        queue = [(0.0, root) for root in self.roots]
-        total, most = 0, min(wanted, n)
+        queue = [(0.0, root) for root in self.roots.tolist()]
+        total, most, nodes, rows = 0, min(wanted, n), self._nodes, self.rows
         while queue and total < most:
             away, node = heapq.heappop(queue)
-            while (rows := self.leaves[node]) is None:
-                low, high = self.children[node]
-                d = beyond[self.plane[node]]
+            while True:
+                low, high, plane, begin, end = nodes[node]
+                if plane < 0:
+                    break
+                d = beyond[plane]
                 near, far = (low, high) if d < 0 else (high, low)
                 heapq.heappush(queue, (away + d * d, far))
                 node = near
-            total += len(rows) - int(np.count_nonzero(met[rows]))
-            met[rows] = True
+            leaf = rows[begin:end]
+            total += len(leaf) - int(np.count_nonzero(met[leaf]))
+            met[leaf] = True
         return np.flatnonzero(met)
 
 
-def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def dumped(forest: Forest, vectors: np.ndarray, ids: list[list[int]]) -> bytes:
+    """A shard as bytes: its forest, its original vectors and the ids of each."""
+    out = io.BytesIO()
+    np.savez(out, vectors=vectors, ids=np.array([i for x in ids for i in x], dtype=np.int64), ends=np.cumsum([len(x) for x in ids]), **{n: getattr(forest, n) for n in Forest.FIELDS})
+    return out.getvalue()
+
+
+def loaded(raw: bytes) -> tuple[Forest, np.ndarray, list[list[int]]]:
+    with np.load(io.BytesIO(raw)) as arrays:
+        ids = [x.tolist() for x in np.split(arrays["ids"], arrays["ends"][:-1])]
+        return Forest(**{n: arrays[n] for n in Forest.FIELDS}), arrays["vectors"], ids
+
+
+def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Of one query with each vector, in double precision."""
-    return (vectors * queries).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((queries * queries).sum()))
+    return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, met_share: float = MET_SHARE, seed: int = 42) -> DataFrame:
+def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, met_share: float = MET_SHARE, seed: int = 42, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other rows found nearest by cosine.
 
     Equal scores go by smaller id; all other rows if there are fewer than k. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows with a null id, take no part; a query
     meets only vectors of its own length. Equal vectors are indexed once, with their k + 1 smallest ids,
     and repeated rows count once. Extra columns don't count, and an empty table gives no rows.
+
+    A shard holds about `shard_bytes` of vectors, and a query meets `met_share` of it (LEAST_MET vectors at least);
+    both change the answers, the cluster doesn't.
     """
     rows = written(rows_of(df, id_col, vec_col), "vectors")
     vectors = written(representatives(rows, "vec", k), "vector-ids")
     queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec").distinct()
     asked = written(queries.select("vec").distinct(), "asked")
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    n_shard, n_query = blocks(vectors.count(), MOST_SHARD, LEAST_SHARD, tasks), blocks(asked.count(), MOST_QUERIES, LEAST_QUERIES, tasks)
+    place = lambda n, seed: F.pmod(F.xxhash64("vec", F.lit(seed)), n).cast("int")
+    # one row for each length of vectors
+    shards = vectors.groupBy(F.size("vec").alias("d")).agg(F.ceil(F.count(F.lit(1)) * F.size(F.first("vec")) * 8 / shard_bytes).cast("int").alias("shards"))
+    shards = written(shards, "shards")
+
+    def build(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values("first")  # whatever order the rows arrive in
+        data = np.stack(shard["vec"].to_numpy())
+        forest = Forest.grown(data / np.linalg.norm(data, axis=1, keepdims=True), trees, leaf, seed)
+        return pd.DataFrame({"d": [data.shape[1]], "s": [shard["s"].iloc[0]], "forest": [dumped(forest, data, list(shard["ids"]))]})
+
+    placed = vectors.withColumn("d", F.size("vec")).join(shards, "d").select("vec", "ids", F.element_at("ids", 1).alias("first"), "d", place(F.col("shards"), 1).alias("s"))
+    forests = written(placed.groupBy("d", "s").applyInPandas(build, "d int, s int, forest binary"), "forests")
 
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n, seed: F.pmod(F.xxhash64("vec", F.lit(seed)), F.lit(n)).cast("int")
-    left = vectors.select("vec", "ids", F.size("vec").alias("d"), place(n_shard, 1).alias("s"), spread(n_query).alias("q"))
-    right = asked.select("vec", F.size("vec").alias("d"), spread(n_shard).alias("s"), place(n_query, 2).alias("q"))
+    n_query = blocks(asked.count(), MOST_QUERIES, LEAST_QUERIES, df.sparkSession.sparkContext.defaultParallelism)
+    left = forests.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("q"))
+    sent = asked.withColumn("d", F.size("vec")).join(shards, "d")
+    right = sent.select("vec", "d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"), place(F.lit(n_query), 2).alias("q"))
 
     def cell(shard: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"vec": [], "score": [], "id": []}
         if len(shard) and len(wanted):
-            data = np.stack(shard["vec"].to_numpy())
-            forest = Forest(data / np.linalg.norm(data, axis=1, keepdims=True), trees, leaf, seed)
-            ids = list(shard["ids"])
+            forest, data, ids = loaded(shard["forest"].iloc[0])
             most = max(LEAST_MET, int(met_share * len(data)))
             asked = np.stack(wanted["vec"].to_numpy())
-            for at in range(0, len(asked), 256):
-                part = asked[at : at + 256]
+            for at in range(0, len(asked), 64):
+                part = asked[at : at + 64]
                 far = forest.beyond(part / np.linalg.norm(part, axis=1, keepdims=True))
                 for query, beyond in zip(part, far, strict=True):
                     rows = forest.candidates(beyond.tolist(), most, len(data))

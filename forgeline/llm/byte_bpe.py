@@ -23,7 +23,9 @@ from forgeline.llm.common import quoted, slices, without
 #: Texts longer than this many characters are cut into pieces of about this length.
 PIECE_CHARS = 1 << 15
 
-_SAFE = re.compile(r"\S(?=\s)")
+#: What the pattern's \\s means (Unicode's White_Space; unlike Python's, without U+001C to U+001F).
+WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(rf"[^{WHITE}](?=[{WHITE}])")
 
 
 @lru_cache(maxsize=4)

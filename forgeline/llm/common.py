@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The folders below the application's own in which tables are written now, the innermost last.
+_SCOPES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); an own one where it is unset."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary folder serves a local master, whose driver and executors are one machine; on a
+    cluster that is an error, as parts of a table would be left on each executor.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = spark.conf.get("forgeline.scratch.dir", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="forgeline-")
@@ -24,12 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     """df, written as Parquet into the shared folder and read again.
 
-    It cuts the lineage and outlives lost executors. Each call uses a new folder.
+    It cuts the lineage and outlives lost executors. Each call uses a new folder. `outside`: where it outlives
+    the innermost `temporary` block.
     """
-    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = "/".join([_own_dir(df.sparkSession), *(_SCOPES[:-1] if outside else _SCOPES), f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,10 +50,25 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/forgeline/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written in this block are deleted at its end, but those written `outside`."""
+    _SCOPES.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        _delete(spark, "/".join([_own_dir(spark), *_SCOPES]))
+        _SCOPES.pop()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's scratch tables, once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source and exact length. Whole passes over a source come first; of the rest
-of its budget, the same share of every length; what then remains is filled by a bounded knapsack, whose
-dynamic programming says how many more documents of which length meet the budget exactly or as
-nearly as possible from below. The documents of each length are then chosen in the order of a
-seeded hash.
+Documents are counted by source and exact length. Whole passes over a source come first; what remains of
+its budget is less than the source. A bounded knapsack's dynamic programming says how many more documents
+of which length meet it exactly or as nearly as possible from below. Its table has one cell a word, so it covers
+the last `covered` words; what lies above them takes the same share of every length. The
+documents of each length are then chosen in the order of a seeded hash of id and text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from forgeline.llm.common import WORD, quoted, written
 
-#: The budget in words that the dynamic programming covers.
+#: The words of a budget that the dynamic programming covers: its memory and time, whatever the budget. More words make
+#: no better fit, as the lengths left over by the share below are those of the whole source.
 KNAPSACK_WORDS = 1 << 16
 #: Documents of one length that are ordered together when some of them are chosen.
 CHOSEN_TOGETHER = 1 << 10
@@ -75,16 +76,19 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, target: float, most_passes: int, covered: int = KNAPSACK_WORDS) -> tuple[int, np.ndarray]:
-    """Whole passes over a source, and how many documents of each length once more, to meet `target`."""
+    """Whole passes over a source, and how many documents of each length once more, to meet `target`.
+
+    Of a rest above `covered` words, the same share of every length is taken (rounded down, then the longest
+    first), until the dynamic programming can cover what is left; a smaller rest is covered from the start.
+    """
     total = int((lengths * counts).sum())
     extra = np.zeros(len(lengths), dtype=np.int64)
     if total == 0:
         return 0, extra
     budget = min(int(target + 1e-6), most_passes * total)
     passes, rest = divmod(budget, total)
-    if rest > covered:
-        extra = counts * (rest - covered) // total
-        rest -= int((extra * lengths).sum())
+    extra = np.array([int(n) * max(0, rest - covered) // total for n in counts.tolist()], dtype=np.int64)
+    rest -= int((extra * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):  # rounding down left at most one document of each length
         if rest <= covered:
             break
@@ -97,17 +101,19 @@ def fill(lengths: np.ndarray, counts: np.ndarray, target: float, most_passes: in
     return passes, extra
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_passes: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_passes: int = 3, seed: int = 42, keep: tuple[str, ...] = (), covered: int = KNAPSACK_WORDS) -> DataFrame:
     """One row for each row of df: doc_id, size, source_size, target, taken, and the columns in `keep`.
 
     taken is the number of words the mix takes of the document: its size times how often it is
     repeated, from 0 to `most_passes` times. Null texts have size 0; null sources form one source;
-    null ids are rows like others. Repeated rows are documents of their own: how many of them are
-    chosen is fixed, and they don't differ. Other columns don't count. An empty table gives no rows.
+    null ids are rows like others. Which documents of a length are taken depends on seed, id and text alone, so
+    that documents without an id, or with the same one, are told apart by their texts. Rows that repeat
+    both id and text are documents of their own: how many of them are chosen is fixed, and they don't
+    differ. Other columns don't count. An empty table gives no rows. `covered`: see `fill`.
     """
     kept = [quoted(c) for c in keep]
-    docs = df.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), words_of(quoted(text_col)).alias("size"), *kept)
-    docs = docs.withColumn("order", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs = df.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), words_of(quoted(text_col)).alias("size"), *kept, F.coalesce(quoted(id_col).cast("string"), F.lit("")).alias("__id"), F.coalesce(quoted(text_col), F.lit("")).alias("__text"))
+    docs = docs.withColumn("order", F.xxhash64(F.lit(seed), "__id", "__text")).withColumn("tie", F.xxhash64(F.lit(seed + 1), "__id", "__text")).drop("__id", "__text")
     docs = written(docs, "sizes")
     lengths = written(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -115,25 +121,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     planned = lengths.join(wanted, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "source_size", "target")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        passes, extra = fill(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), float(pdf["target"].iloc[0]), most_passes)
+        pdf = pdf.sort_values("size", kind="stable")
+        passes, extra = fill(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), float(pdf["target"].iloc[0]), most_passes, covered)
         return pdf.assign(passes=passes, extra=extra)
 
     # one row a length: a source of S words has fewer than sqrt(2 S) lengths
     plans = planned.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, passes int, extra long")
     plans = written(plans.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / CHOSEN_TOGETHER)).cast("long")), "plans")
 
-    # of n documents of a length, `extra` are chosen: whole buckets of the hash, and a part of one bucket
+    # of n documents of a length, `extra` are chosen: whole buckets of the hash, and a part of one bucket. Plans and quotas grow with the
+    # documents, so they are never sent to all tasks; a length that many documents share is a hot key, which AQE splits
     spread = F.floor((F.shiftrightunsigned("order", 32).cast("double") / F.lit(float(1 << 32))) * F.col("buckets")).cast("long")
-    rows = docs.join(plans, docs["source"].eqNullSafe(plans["source"]) & (docs["size"] == plans["size"])).select("doc_id", docs["source"], docs["size"], "order", *kept, "source_size", "target", "passes", "extra", "n", spread.alias("bucket"))
+    rows = docs.join(plans.hint("merge"), docs["source"].eqNullSafe(plans["source"]) & (docs["size"] == plans["size"])).select("doc_id", docs["source"], docs["size"], "order", "tie", *kept, "source_size", "target", "passes", "extra", "n", spread.alias("bucket"))
     part = rows.filter("extra > 0 AND extra < n")
     filled = part.groupBy("source", "size", "bucket", "extra").agg(F.count(F.lit(1)).alias("in_bucket"))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     quotas = filled.withColumn("ahead", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("size").alias("l"), F.col("bucket").alias("b"), F.greatest(F.lit(0), F.least("in_bucket", F.col("extra") - F.col("ahead"))).alias("quota"), "in_bucket")
     quotas = written(quotas, "quotas")
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("l")) & (F.col("bucket") == F.col("b"))
-    parted = rows.join(quotas, same, "left")
+    parted = rows.join(quotas.hint("merge"), same, "left")
     once = F.when(F.col("extra") >= F.col("n"), 1).when(F.col("extra") <= 0, 0).when(F.col("quota") >= F.col("in_bucket"), 1).when(F.col("quota") <= 0, 0)
-    settled = parted.withColumn("once", once)
-    ranked = settled.filter("once IS NULL").withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("order", "doc_id"))).withColumn("once", (F.col("place") <= F.col("quota")).cast("int")).drop("place")
+    settled = written(parted.withColumn("once", once), "settled")
+    ranked = settled.filter("once IS NULL").withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("order", "tie"))).withColumn("once", (F.col("place") <= F.col("quota")).cast("int")).drop("place")
     chosen = settled.filter("once IS NOT NULL").unionByName(ranked)
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("once"))).cast("long").alias("taken"), *kept)

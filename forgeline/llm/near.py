@@ -1,9 +1,10 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: SimHash first, MinHash for what it can't reach.
 
-SimHash can't serve here: at a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, and
-segments short enough to survive that hold a large share of all rows. Documents that agree in one band of MinHashes
-are candidates instead, and the whole sets of shingles decide. Each document is held against one centre
-of each of its bands first; then only pairs of a band that are still in different components are.
+The fingerprints of the shingles are linked through SimHash's Gray-order index, and every link is confirmed by the
+whole sets of shingles. At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, though, and segments
+short enough to survive that hold a large share of all rows; so documents that agree in one band of MinHashes are
+candidates too. Each is held against one centre of each of its bands first; then only pairs of a band that
+are still in different components are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from forgeline.llm.common import slices, written
 from forgeline.llm.components import connected
+from forgeline.llm.simhash import links
 
 #: Words of a shingle, and the similarity from which two documents are near-duplicates.
 WORDS, SIMILAR = 5, 0.8
@@ -27,8 +29,8 @@ BANDS, DEPTH = 40, 6
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(42)
-_FLIP = _RNG.integers(0, 1 << 64, (BANDS * DEPTH, 1), dtype=np.uint64)
-_TIMES = _RNG.integers(0, 1 << 64, (BANDS * DEPTH, 1), dtype=np.uint64) | np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 32, (BANDS * DEPTH, 1), dtype=np.uint32)
+_TIMES = _RNG.integers(0, 1 << 32, (BANDS * DEPTH, 1), dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -46,16 +48,28 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band of MinHashes of a set of shingles; none of the empty set."""
+    """A hash of each band of MinHashes (of 32 bits) of a set of shingles; none of the empty set."""
     if not len(found):
         return found
-    least = np.full(BANDS * DEPTH, ~np.uint64(0))
-    for at in range(0, len(found), 1 << 10):
-        np.minimum(least, ((found[at : at + (1 << 10)] ^ _FLIP) * _TIMES).min(axis=1), out=least)
-    raw, step = least.tobytes(), 8 * DEPTH
+    halves = (found >> np.uint64(32)).astype(np.uint32)
+    width = min(len(halves), 1 << 9)
+    least, work = np.full((BANDS * DEPTH, width), ~np.uint32(0)), np.empty((BANDS * DEPTH, width), dtype=np.uint32)
+    for at in range(0, len(halves), width):
+        part = halves[at : at + width]
+        made = work[:, : len(part)]
+        np.bitwise_xor(part, _FLIP, out=made)
+        np.multiply(made, _TIMES, out=made)
+        np.minimum(least[:, : len(part)], made, out=least[:, : len(part)])
+    raw, step = least.min(axis=1).tobytes(), 4 * DEPTH
     return np.array([xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)], dtype=np.uint64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles: the bits that over half of their hashes have; of the empty set 0."""
+    bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(found), bitorder="little").tobytes(), "little")
+
+
 def _mapped(df: DataFrame, key: str, fields: list[T.StructField], each) -> DataFrame:
     """df's `key` with what `each` makes of the shingles of each whole text (null: empty)."""
     schema = T.StructType([df.schema[key], *fields])
@@ -93,23 +107,34 @@ def firsts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
 
     def signed(found: np.ndarray) -> tuple:
-        return np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)), len(found), bands(found).view(np.int64)
+        return np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64), len(found), np.uint64(fingerprint(found)).view(np.int64), bands(found).view(np.int64)
 
-    signs = _mapped(rows, "__row", [_long("node"), _long("n"), _longs("bands")], signed)
+    signs = _mapped(rows, "__row", [_long("node"), _long("n"), _long("fp"), _longs("bands")], signed)
     signs = written(signs, "bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
     own = written(rows.select("__row", "doc_id").join(signs.select("__row", "node"), "__row").groupBy("node").agg(first), "sets")
 
     # equal sets are one node from here on
-    cells = signs.groupBy("node", "n").agg(F.first("bands").alias("bands")).select("node", "n", F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("cell", "node").alias("h"), "node", "n")).alias("centre")).filter("members > 1")
-    members = written(cells.join(shared, "cell").select("cell", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "members")
+    nodes = written(signs.groupBy("node", "n", "fp").agg(F.first("bands").alias("bands")), "nodes")
     near = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)  # noqa: E731  (others can't be similar, whatever they share)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    asked = own.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first.__row").alias("__row"))
+
+    # SimHash: nodes of one fingerprint, and of fingerprints that the index links, by the first node of each
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    same = nodes.join(heads, "fp").filter("node != head").select(*pair("node", "head"))
+    linked = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b")), "b")
+    by_fingerprint = same.union(linked.select(*pair("head_a", "head_b")))
+
+    # MinHash: each member of a band and the band's centre
+    cells = nodes.select("node", "n", F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("cell", "node").alias("h"), "node", "n")).alias("centre")).filter("members > 1")
+    members = written(cells.join(shared, "cell").select("cell", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "members")
+    by_band = members.filter((F.col("node") != F.col("centre")) & near("n", "centre_n")).select(*pair("node", "centre"))
+    tried = written(by_fingerprint.union(by_band).distinct(), "tried")
+    used = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).union(members.select("node")).distinct()
+    asked = own.join(used, "node", "left_semi").select("node", F.col("first.__row").alias("__row"))
     texts = asked.join(rows.select("__row", "text"), "__row").select("node", "text")
     sets = written(_mapped(texts, "node", [_longs("found")], lambda found: (found.view(np.int64),)), "shingles")
-    tried = written(members.filter((F.col("node") != F.col("centre")) & near("n", "centre_n")).select(*pair("node", "centre")).distinct(), "tried")
     sure = written(_confirmed(tried, sets, similar), "confirmed")
 
     # members of a band's largest component need no more pairs among themselves

@@ -2,8 +2,9 @@
 
 Statistics of the whole text are standardised and mapped to random cosines, which approximate a
 Gaussian kernel. Every partition sums the normal equations of its labelled rows; the sums are added
-up and solved on the driver, where only one matrix arrives for each of a few tasks. The ridge
-scores of the labelled rows, counted in bins, are calibrated by pooling adjacent violators.
+up and solved on the driver, where only a few matrices of a fixed size arrive. The sums are kept by fold, so
+that every labelled row also has a score from a model that has not seen it; those scores, counted
+in bins, are calibrated by pooling adjacent violators.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from forgeline.llm.common import quoted, slices, without, written
 FEATURES, RIDGE, WIDTH, BINS = 384, 1e-3, 4.0, 2048
 #: A document is accepted from this score on.
 ACCEPT = 0.3
-#: Tasks whose sums come to the driver.
-SUMS = 8
+#: Folds of the labelled rows (by a hash of the statistics, so that copies share one): their sums come to the driver.
+FOLDS = 4
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -108,25 +109,34 @@ def isotonic(means: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([[m] * int(n) for m, _, n in pools]) if pools else np.empty(0)
 
 
-def features(df: DataFrame, text_col: str = "text", out: str = "statistics") -> DataFrame:
-    """df without `text_col`, with the statistics of each whole text (null: empty) as array<double>."""
+def features(df: DataFrame, text_col: str = "text", out: str = "statistics", keep_text: bool = False) -> DataFrame:
+    """df with the statistics of each whole text (null: empty) as array<double>; `text_col` itself only with keep_text."""
     rest = [c for c in without(df, [out]).columns if c != text_col]
-    work = df.select(*[quoted(c) for c in rest], F.coalesce(quoted(text_col), F.lit("")).alias("__text"))
-    schema = T.StructType([*[work.schema[c] for c in rest], T.StructField(out, T.ArrayType(T.DoubleType(), False), False)])
+    work = df.select(*[quoted(c) for c in rest], quoted(text_col))
+    kept = [*rest, text_col] if keep_text else rest
+    schema = T.StructType([*[work.schema[c] for c in kept], T.StructField(out, T.ArrayType(T.DoubleType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(rest))
-            for a, b in slices(pa.compute.binary_length(texts).to_pylist(), 1 << 22):
-                found = pa.array([statistics(t) for t in texts.slice(a, b - a).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], found], names=[*rest, out])
+            for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(batch.column(len(rest))), 0).to_pylist(), 1 << 22):
+                part = batch.slice(a, b - a)
+                found = pa.array([statistics(t or "") for t in part.column(len(rest)).to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], found], names=[*kept, out])
 
     return work.mapInArrow(run, schema)
 
 
+def solved(total: np.ndarray, n: float) -> np.ndarray:
+    """The ridge weights of summed normal equations of n rows; the last weight, the constant's, is free."""
+    size = FEATURES + 1
+    penalty = RIDGE * n * np.eye(size) / FEATURES
+    penalty[-1, -1] = 1e-9
+    return np.linalg.solve(total[:, :size] + penalty, total[:, size])
+
+
 def fit(labelled: DataFrame, label_col: str = "label", stats_col: str = "statistics", seed: int = 42) -> Model:
     """The model of all rows whose label is 0 or 1. Without any, every score is 0.5."""
-    rows = labelled.filter(quoted(label_col).isin(0, 1)).select(quoted(label_col).cast("double").alias("y"), quoted(stats_col).alias("x"))
+    rows = labelled.filter(quoted(label_col).isin(0, 1)).select(quoted(label_col).cast("double").alias("y"), quoted(stats_col).alias("x"), F.pmod(F.xxhash64(quoted(stats_col)), F.lit(FOLDS)).cast("int").alias("fold"))
     d = len(STATISTICS)
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)]).first()
     rng = np.random.default_rng(seed)
@@ -139,31 +149,35 @@ def fit(labelled: DataFrame, label_col: str = "label", stats_col: str = "statist
     size = FEATURES + 1
 
     def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((FOLDS, size, size + 1))
         for pdf in batches:
-            if len(pdf):
-                z = model.cosines(np.stack(pdf["x"].to_numpy()))
-                total += z.T @ np.column_stack([z, pdf["y"].to_numpy()])
-        yield pd.DataFrame({"sums": [total.ravel()]})
+            for fold, part in pdf.groupby("fold"):
+                z = model.cosines(np.stack(part["x"].to_numpy()))
+                total[fold] += z.T @ np.column_stack([z, part["y"].to_numpy()])
+        yield pd.DataFrame({"fold": range(FOLDS), "sums": list(total.reshape(FOLDS, -1))})
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size * (size + 1))
+        total = np.zeros((FOLDS, size * (size + 1)))
         for pdf in batches:
-            for one in pdf["sums"]:
-                total += one
-        yield pd.DataFrame({"sums": [total]})
-
-    parts = rows.mapInPandas(equations, "sums array<double>").repartition(SUMS).mapInPandas(added, "sums array<double>").collect()
-    total = np.sum([np.array(p["sums"]) for p in parts], axis=0).reshape(size, size + 1)
-    penalty = RIDGE * sums["n"] * np.eye(size) / FEATURES
-    penalty[-1, -1] = 1e-9
-    model.weights = np.linalg.solve(total[:, :size] + penalty, total[:, size])
+            for fold, one in zip(pdf["fold"], pdf["sums"], strict=True):
+                total[fold] += one
+        yield pd.DataFrame({"fold": range(FOLDS), "sums": list(total)})
+
+    shape = "fold int, sums array<double>"
+    parts = rows.mapInPandas(equations, shape).repartition(FOLDS, "fold").mapInPandas(added, shape).filter("sums[size(sums) - 2] > 0").collect()
+    by_fold = np.zeros((FOLDS, size, size + 1))
+    for p in parts:
+        by_fold[p["fold"]] += np.array(p["sums"]).reshape(size, size + 1)
+    total, n = by_fold.sum(axis=0), by_fold[:, -1, -2]
+    model.weights = solved(total, n.sum())
+    # the weights without each fold; those of all rows where a fold holds them all
+    others = np.column_stack([solved(total - by_fold[k], n.sum() - n[k]) if n[k] < n.sum() else model.weights for k in range(FOLDS)])
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, ones = np.zeros(BINS), np.zeros(BINS)
         for pdf in batches:
             if len(pdf):
-                raw = model.cosines(np.stack(pdf["x"].to_numpy())) @ model.weights
+                raw = np.take_along_axis(model.cosines(np.stack(pdf["x"].to_numpy())) @ others, pdf["fold"].to_numpy()[:, None], axis=1)[:, 0]
                 at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
                 n += np.bincount(at, minlength=BINS)
                 ones += np.bincount(at, weights=pdf["y"].to_numpy(), minlength=BINS)
@@ -211,17 +225,3 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stats = written(features(docs), "statistics")
     model = train(stats, labels.select(quoted(id_col).alias("doc_id"), quoted(label_col).alias("quality")))
     return scored(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
-
-
-def accepted(df: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """The rows of df, with all their columns, whose text scores `accept` or more (null texts count as empty)."""
-    at = df.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist(), 1 << 22):
-                part = batch.slice(a, b - a)
-                scores = model.score(np.array([statistics(t or "") for t in part.column(at).to_pylist()]))
-                yield part.filter(pa.array(scores >= accept))
-
-    return df.mapInArrow(run, df.schema)

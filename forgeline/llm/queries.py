@@ -15,8 +15,14 @@ from forgeline.llm.common import table
 TOKEN_LIMIT = 4096
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Words between dots and hyphens of a host that put the host on the block list.
-HOST_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
+#: Words that block a host when they stand between its dots and hyphens: a general list of the trades that web corpora leave out
+#: (advertising, adult, gambling, pills, loans, counterfeits, malware, spam), not drawn from any table.
+HOST_WORDS = [
+    "ad", "adnet", "ads", "adserver", "adult", "advert", "banner", "banners", "bet", "bets", "betting", "bingo", "cam", "cams", "casino",
+    "casinos", "clickbait", "coupon", "coupons", "crack", "cracks", "dating", "doubleclick", "drugs", "erotic", "escort", "escorts", "farm", "gambling",
+    "hacked", "hentai", "jackpot", "keygen", "linkfarm", "loan", "loans", "lottery", "malware", "nude", "nudes", "payday", "pharma", "phishing", "pill",
+    "pills", "poker", "popup", "porn", "replica", "roulette", "sex", "slots", "spam", "sportsbook", "torrent", "tracker", "viagra", "virus", "warez", "xxx",
+]
 
 
 def op1_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +66,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    words = F.split(F.col("host"), "[.-]")
-    blocked = pages.select(url_filter.host_of(F.col("url")).alias("host")).distinct().filter(F.arrays_overlap(words, F.array(*map(F.lit, HOST_WORDS))))
-    return url_filter.judge(pages, rules, blocked)
+    hosts = spark.createDataFrame([], "host string")
+    return url_filter.judge(pages, rules, hosts, spark.createDataFrame([(w,) for w in HOST_WORDS], "word string"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +124,8 @@ u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 f AS (SELECT page_id, first(h || p ORDER BY length(h || p) DESC) AS rule, first(v ORDER BY length(h || p) DESC) AS v
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN len(list_intersect(string_split_regex(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'spam'])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN len(list_intersect(string_split_regex(host, '[.-]'), [{words}])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN f USING (page_id)
 """,
 }
+ORACLE_SQL["op9_url_filter"] = ORACLE_SQL["op9_url_filter"].replace("{words}", ", ".join(f"'{w}'" for w in HOST_WORDS))

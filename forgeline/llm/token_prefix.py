@@ -155,7 +155,10 @@ class PrefixCounter:
                 counts += [full + c - 1 if one else free + c for c, one in zip(tail[2:], lone[2:], strict=True)]
         else:
             counts, _ = self.prefixes(chunk)
-        return bytes([(b - a) & 255 for a, b in itertools.pairwise(counts)])
+        steps = [b - a for a, b in itertools.pairwise(counts)]
+        if steps and not -128 <= min(steps) <= max(steps) <= 127:
+            raise ValueError("a count changes by more than an int8 step holds")
+        return bytes([s & 255 for s in steps])
 
     def line(self, line: str, first: bool) -> list[bytes]:
         """The steps of a line's chunks: each run of space marks with what follows it; the first line has a mark before it."""
@@ -194,7 +197,7 @@ class PrefixCounter:
             parts.append(b"\x01")  # a line break is always a token of its own, from its one byte
             parts += self.line(line, False)
         steps = b"".join(parts)
-        steps = bytes([(steps[0] + steps[1]) & 255]) + steps[2:]
+        steps = bytes([(steps[0] + steps[1]) & 255]) + steps[2:]  # each at most the few tokens of one character
         return int(np.frombuffer(steps, np.int8).sum(dtype=np.int64)), steps
 
 

@@ -1,9 +1,13 @@
 """URL filter over a sorted array of 64-bit digests.
 
-A list of (host, path, verdict) entries becomes three arrays: xxh64 keys in order, the full strings,
-and the verdicts. Workers map the keys from a file, probe them by vectorised binary search, and
-confirm a hit by the stored string, so that a collision of digests decides nothing. An entry
-fits its host and all subdomains if the URL's path starts with the entry's path; the longest entry wins.
+Rules (host, path, verdict), blocked hosts and blocked words of hosts become one list of strings, kept as
+arrays: xxh64 keys in order, the full strings, and the verdicts. Workers map the keys from a file,
+probe them by vectorised binary search, and confirm a hit by the stored string, so that a collision of
+digests decides nothing. A rule fits its host and all subdomains if the URL's path starts with the
+rule's path; the longest rule wins.
+
+The arrays are built by ranges of keys, each in a task of its own. A list of a checked size is sent to all tasks
+whole; of a longer one each range meets the strings to be looked up that fall into it.
 """
 
 from __future__ import annotations
@@ -14,14 +18,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from forgeline.llm.common import quoted, without
+from forgeline.llm.common import quoted, without, written
 
-#: A list is sent to the workers as arrays up to this size; a longer one is joined by digest.
+#: A list is sent to all tasks up to this size of its arrays.
 MOST_LIST_BYTES = 64 << 20
+#: Ranges of keys, each of which is sorted in one task: a power of two.
+RANGES = 1 << 8
+SEED = 42
+#: What a string in the list starts with: a rule, a host, a word between the dots and hyphens of a host.
+RULE, HOST, WORD = "r:", "h:", "w:"
 
 
 def host_of(url: Column) -> Column:
@@ -41,47 +52,44 @@ def _after(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + F.lit(3), F.length(url))).otherwise(F.lit(""))
 
 
-class DigestList:
-    """Entries as arrays, sorted by digest. Of an entry given twice, a blocking one stays."""
+class DigestArray:
+    """Distinct strings sorted by digest, each with whether it blocks."""
 
-    def __init__(self, hosts: list[str], paths: list[str], verdicts: list[str]) -> None:
-        entries = {}
-        for host, path, verdict in zip(hosts, paths, verdicts, strict=True):
-            if verdict not in ("allow", "block"):
-                raise ValueError(f"a verdict is allow or block, not {verdict!r}")
-            key = host + path
-            entries[key] = "block" if "block" in (verdict, entries.get(key)) else "allow"
-        keys = np.array([xxhash.xxh64_intdigest(k) for k in entries], dtype=np.uint64)
+    def __init__(self, keys: bytes, ends: np.ndarray, strings: bytes, blocks: np.ndarray) -> None:
+        self.keys, self.ends, self.strings, self.blocks = keys, ends, strings, blocks
+        self.token = xxhash.xxh64_hexdigest(keys + strings + blocks.tobytes())
+
+    @classmethod
+    def of(cls, strings: list[str], blocks: list[bool]) -> DigestArray:
+        raw = [s.encode() for s in strings]
+        keys = np.array([xxhash.xxh64_intdigest(s, SEED) for s in raw], dtype=np.uint64)
         order = np.argsort(keys, kind="stable")
-        strings = [list(entries)[i].encode() for i in order]
-        self.keys = keys[order].tobytes()
-        self.offsets = np.cumsum([0, *map(len, strings)]).astype(np.int64)
-        self.strings = b"".join(strings)
-        self.blocks = np.array([entries[list(entries)[i]] == "block" for i in order], dtype=bool)
-        self.path_lengths = sorted({len(p) for p in paths})
-        self.token = xxhash.xxh64_hexdigest(self.keys + self.strings + self.blocks.tobytes())
-
-    def size(self) -> int:
-        return len(self.keys) + len(self.strings) + self.offsets.nbytes + self.blocks.nbytes
-
-    def string(self, i: int) -> str:
-        return self.strings[self.offsets[i] : self.offsets[i + 1]].decode()
-
-    def mapped(self) -> np.ndarray:
-        return _mapped(self.token, self.keys)
-
-    def find(self, candidates: list[str]) -> np.ndarray:
-        """For each string the index of its entry, or -1."""
-        keys = self.mapped()
-        found = np.full(len(candidates), -1, dtype=np.int64)
-        if not len(keys) or not candidates:
+        raw = [raw[i] for i in order]
+        return cls(keys[order].tobytes(), np.cumsum([len(s) for s in raw]).astype(np.int64), b"".join(raw), np.array(blocks, dtype=bool)[order])
+
+    @classmethod
+    def joined(cls, parts: list[DigestArray]) -> DigestArray:
+        """Arrays of ranges of keys, in the order of the ranges, as one."""
+        starts = np.cumsum([0, *[len(p.strings) for p in parts]])
+        ends = [p.ends + s for p, s in zip(parts, starts[:-1], strict=True)]
+        return cls(b"".join(p.keys for p in parts), np.concatenate([np.empty(0, np.int64), *ends]), b"".join(p.strings for p in parts), np.concatenate([np.empty(0, bool), *[p.blocks for p in parts]]))
+
+    def string(self, i: int) -> bytes:
+        return self.strings[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+    def find(self, wanted: list[str]) -> np.ndarray:
+        """For each string its place, or -1."""
+        keys = _mapped(self.token, self.keys)
+        found = np.full(len(wanted), -1, dtype=np.int64)
+        if not len(keys) or not wanted:
             return found
-        digests = np.fromiter((xxhash.xxh64_intdigest(c) for c in candidates), dtype=np.uint64, count=len(candidates))
+        raw = [w.encode() for w in wanted]
+        digests = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in raw), dtype=np.uint64, count=len(raw))
         at = np.searchsorted(keys, digests)
         for i in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == digests):
             j = int(at[i])
             while j < len(keys) and keys[j] == digests[i]:
-                if self.string(j) == candidates[i]:
+                if self.string(j) == raw[i]:
                     found[i] = j
                     break
                 j += 1
@@ -90,7 +98,7 @@ class DigestList:
 
 @lru_cache(maxsize=8)
 def _mapped(token: str, keys: bytes) -> np.ndarray:
-    """The keys as a map of a nameless file, once a process."""
+    """The keys as a map of a nameless file of this worker, once a process; no other task reads it."""
     if not keys:
         return np.empty(0, dtype=np.uint64)
     with tempfile.TemporaryFile() as f:
@@ -99,75 +107,111 @@ def _mapped(token: str, keys: bytes) -> np.ndarray:
         return np.memmap(f, dtype=np.uint64, mode="r")
 
 
-def candidates(host: str, path: str, path_lengths: list[int]) -> list[str]:
-    """What could be an entry for this URL, longest first: each parent domain with each beginning of the path."""
-    labels = host.split(".")
-    domains = [".".join(labels[i:]) for i in range(len(labels))]
-    return sorted((d + path[:n] for d in domains for n in path_lengths if n <= len(path)), key=lambda c: (-len(c), c))
+def _range(text: Column) -> Column:
+    """The range of keys that a string falls into: the first bits of its digest."""
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - RANGES.bit_length() + 1).cast("int")
+
+
+def arrays(entries: DataFrame, hosts: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(range, keys, ends, strings, blocks): the list as arrays, one row a range of keys, written. Of a rule given twice, a blocking one stays.
+
+    Null and empty hosts and words are in no list.
+    """
+    bad = F.raise_error(F.concat(F.lit("a verdict is allow or block, not "), F.coalesce("verdict", F.lit("null"))))
+    checked = F.when(F.col("verdict").isin("allow", "block"), F.col("verdict") == "block").otherwise(bad.cast("boolean"))
+    listed = entries.select(F.concat(F.lit(RULE), "host", "path").alias("text"), checked.alias("blocks"))
+    for kind, df in ((HOST, hosts), (WORD, words)):
+        if df is not None:
+            name = quoted(df.columns[0])
+            listed = listed.unionByName(df.filter(name.isNotNull() & (name != "")).select(F.concat(F.lit(kind), name).alias("text"), F.lit(True).alias("blocks")))
+    listed = listed.filter("text IS NOT NULL").groupBy("text").agg(F.bool_or("blocks").alias("blocks")).withColumn("range", _range(F.col("text")))
+
+    def sorted_range(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = DigestArray.of(pdf["text"].tolist(), pdf["blocks"].tolist())
+        return pd.DataFrame({"range": [pdf["range"].iloc[0]], "keys": [a.keys], "ends": [a.ends.tobytes()], "strings": [a.strings], "blocks": [a.blocks.tobytes()]})
+
+    return written(listed.groupBy("range").applyInPandas(sorted_range, "range int, keys binary, ends binary, strings binary, blocks binary"), "digests")
+
+
+def _array(row) -> DigestArray:
+    return DigestArray(bytes(row["keys"]), np.frombuffer(row["ends"], np.int64), bytes(row["strings"]), np.frombuffer(row["blocks"], bool))
+
+
+def _wanted(host: Column, path: Column, lengths: list[int]) -> Column:
+    """What could be in the list for this URL: each domain above its host with each beginning of its path, each domain, each word."""
+    labels = F.split(host, r"\.", -1)
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path))
+    rules = F.flatten(F.transform(domains, lambda d: F.transform(cuts, lambda n: F.concat(F.lit(RULE), d, F.left(path, n)))))
+    return F.array_distinct(F.concat(rules, F.transform(domains, lambda d: F.concat(F.lit(HOST), d)), F.transform(F.split(host, "[.-]", -1), lambda w: F.concat(F.lit(WORD), w))))
+
+
+def _decided(found: dict[str, bool]) -> tuple[str | None, str]:
+    """Rule and verdict of a URL by what of it is in the list: the longest rule, of equally long ones the first by code point."""
+    rules = [s for s in found if s.startswith(RULE)]
+    if rules:
+        best = min(rules, key=lambda s: (-len(s), s))
+        return best[len(RULE) :], "block" if found[best] else "allow"
+    return None, "block" if found else "allow"
 
 
-def judge(df: DataFrame, entries: DataFrame, blocklist: DataFrame, url_col: str = "url", most_list_bytes: int = MOST_LIST_BYTES) -> DataFrame:
+def judge(df: DataFrame, entries: DataFrame, blocklist: DataFrame, words: DataFrame | None = None, url_col: str = "url", most_list_bytes: int = MOST_LIST_BYTES) -> DataFrame:
     """df without `url_col`, with host, path, rule and verdict of each URL.
 
     `entries` (host, path, verdict) are rules: the longest that fits is named in `rule` and decides.
-    Where none fits, `blocklist` (host) decides: block if it holds the host or a parent domain, else allow.
-    A null URL has an empty host and path, no rule and is allowed. Repeated rows stay; input
-    columns with the names of the outputs, in any case, are replaced.
+    Where none fits, the lists decide: block if `blocklist` (one column of hosts) holds the host or a parent domain, or `words`
+    (one column) one of the words between dots and hyphens of the host; else allow. A null URL has an empty host
+    and path, no rule and is allowed, as empty strings are in no list. Repeated rows stay; input columns with the names of
+    the outputs, in any case, are replaced. An empty table gives no rows.
     """
     outputs = ["host", "path", "rule", "verdict"]
     rest = [c for c in without(df, outputs).columns if c != url_col]
     parsed = df.select(*[quoted(c) for c in rest], host_of(quoted(url_col)).alias("host"), path_of(quoted(url_col)).alias("path"))
-    listed = entries.select("host", "path", "verdict").unionByName(blocklist.select("host", F.lit("").alias("path"), F.lit("list").alias("verdict")))
-    size = listed.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + F.lit(17)), F.lit(0)).alias("n")).first()["n"]
-    if size > most_list_bytes:
-        return _joined(parsed, rest, listed)
-    rows = listed.distinct().collect()
-    rules = DigestList(*map(list, zip(*[r for r in rows if r[2] != "list"], strict=True))) if any(r[2] != "list" for r in rows) else DigestList([], [], [])
-    hosts = [r[0] for r in rows if r[2] == "list" and r[0]]
-    lists = df.sparkSession.sparkContext.broadcast((rules, DigestList(hosts, [""] * len(hosts), ["block"] * len(hosts))))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema), "rule string", "verdict string"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules, blocked = lists.value
-        for pdf in batches:
-            urls = list(zip(pdf["host"], pdf["path"], strict=True))
-            distinct = {u: i for i, u in enumerate(dict.fromkeys(urls))}
-            named, verdicts = _probe(list(distinct), rules, blocked)
-            at = [distinct[u] for u in urls]
-            yield pdf.assign(rule=[named[i] for i in at], verdict=[verdicts[i] for i in at])
-
-    return parsed.mapInPandas(run, schema)
-
-
-def _probe(urls: list[tuple[str, str]], rules: DigestList, blocked: DigestList) -> tuple[list[str | None], list[str]]:
-    tries = [candidates(h, p, rules.path_lengths) for h, p in urls]
-    parents = [candidates(h, "", [0]) for h, _ in urls]
-    found, listed = rules.find([c for t in tries for c in t]), blocked.find([c for t in parents for c in t])
-    named: list[str | None] = []
-    verdicts: list[str] = []
-    i = j = 0
-    for t, up in zip(tries, parents, strict=True):
-        hits = [x for x in found[i : i + len(t)] if x >= 0]
-        named.append(rules.string(hits[0]) if hits else None)
-        verdicts.append("block" if (rules.blocks[hits[0]] if hits else (listed[j : j + len(up)] >= 0).any()) else "allow")
-        i, j = i + len(t), j + len(up)
-    return named, verdicts
-
-
-def _joined(parsed: DataFrame, rest: list[str], listed: DataFrame) -> DataFrame:
-    """The same by a join on digests, for lists that are too long to send."""
-    lengths = listed.filter("verdict != 'list'").agg(F.collect_set(F.length("path")).alias("lengths"))
-    marked = parsed.withColumn("__row", F.xxhash64("host", "path"))
-    urls = marked.select("host", "path", "__row").distinct().join(F.broadcast(lengths))
-    domains = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', i - size(split(host, '[.]')) - 1))")
-    tried = urls.select("host", "path", F.explode(domains).alias("domain"), "lengths")
-    keys = tried.select("host", "path", F.explode(F.expr("concat(transform(filter(lengths, n -> n <= length(path)), n -> struct('rule' AS kind, concat(domain, left(path, n)) AS key)), array(struct('list' AS kind, domain AS key)))")).alias("k"))
-    entries = listed.select(F.when(F.col("verdict") == "list", "list").otherwise("rule").alias("kind"), F.concat("host", "path").alias("key"), "verdict").groupBy("kind", "key").agg(F.max("verdict").alias("verdict"))
-    hits = (
-        keys.select("host", "path", "k.kind", "k.key", F.xxhash64("k.key").alias("digest"))
-        .join(entries.withColumn("digest", F.xxhash64("key")), ["digest", "kind", "key"])
-        .groupBy("host", "path")
-        .agg(F.max(F.when(F.col("kind") == "rule", F.struct(F.length("key").alias("n"), "key", "verdict"))).alias("best"), F.bool_or(F.col("kind") == "list").alias("listed"))
-    )
-    verdict = F.coalesce("best.verdict", F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow"))
-    return parsed.join(hits, ["host", "path"], "left").select(*[quoted(c) for c in rest], "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
+    ranges = arrays(entries, blocklist, words)
+    lengths = sorted(r["n"] for r in entries.select(F.length("path").alias("n")).filter("n IS NOT NULL").distinct().collect())  # the lengths of a URL's path at most
+    size = ranges.agg(F.coalesce(F.sum(F.octet_length("keys") + F.octet_length("ends") + F.octet_length("strings") + F.octet_length("blocks")), F.lit(0)).alias("n")).first()["n"]
+    if size <= most_list_bytes:
+        return _mapped_over(parsed, DigestArray.joined([_array(r) for r in ranges.orderBy("range").collect()]), lengths)
+    return _by_range(parsed, rest, ranges, lengths)
+
+
+def _mapped_over(parsed: DataFrame, array: DigestArray, lengths: list[int]) -> DataFrame:
+    """Every task looks its URLs up in the whole list."""
+    sent = parsed.sparkSession.sparkContext.broadcast(array)
+    schema = T.StructType([*parsed.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = sent.value
+        for batch in batches:
+            urls = [tuple(w) for w in batch.column(batch.num_columns - 1).to_pylist()]
+            distinct = list(dict.fromkeys(urls))
+            strings = list(dict.fromkeys(s for u in distinct for s in u))
+            at = array.find(strings)
+            hits = {strings[i]: bool(array.blocks[at[i]]) for i in np.flatnonzero(at >= 0)}
+            decided = {u: _decided({s: hits[s] for s in u if s in hits}) for u in distinct}
+            columns = [pa.array([decided[u][i] for u in urls], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
+
+    return parsed.withColumn("__wanted", _wanted(F.col("host"), F.col("path"), lengths)).mapInArrow(run, schema)
+
+
+def _by_range(parsed: DataFrame, rest: list[str], ranges: DataFrame, lengths: list[int]) -> DataFrame:
+    """Each distinct string is looked up once, where the range of its key lies; hits come back to the URLs that want them."""
+    urls = written(parsed.select("host", "path").distinct().select("host", "path", F.explode(_wanted(F.col("host"), F.col("path"), lengths)).alias("text")), "wanted")
+    strings = urls.select("text").distinct().withColumn("range", _range(F.col("text")))
+
+    def probe(array: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found, blocks = np.empty(0, dtype=bool), []
+        if len(array) and len(wanted):
+            a = _array(array.iloc[0])
+            at = a.find(wanted["text"].tolist())
+            found, blocks = at >= 0, a.blocks[at[at >= 0]]
+            return pd.DataFrame({"text": wanted["text"][found], "blocks": blocks})
+        return pd.DataFrame({"text": pd.Series([], dtype=str), "blocks": pd.Series([], dtype=bool)})
+
+    hits = written(ranges.groupBy("range").cogroup(strings.groupBy("range")).applyInPandas(probe, "text string, blocks boolean"), "hits")
+    rule = F.col("text").startswith(RULE)
+    best = F.min(F.when(rule, F.struct((-F.length("text")).alias("n"), "text", "blocks"))).alias("best")
+    judged = written(urls.join(hits, "text").groupBy("host", "path").agg(best, F.bool_or(~rule).alias("listed")), "judged")
+    verdict = F.when(F.coalesce("best.blocks", "listed", F.lit(False)), "block").otherwise("allow")
+    return parsed.join(judged, ["host", "path"], "left").select(*[quoted(c) for c in rest], "host", "path", F.substring("best.text", len(RULE) + 1, 1 << 30).alias("rule"), verdict.alias("verdict"))

@@ -343,9 +343,9 @@ URLS = ["http://a.org/x", "https://EXAMPLE.org/es/1?q", "http://m.example.org/en
 def test_url_filter(spark):
     df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("HOST", F.lit(1)).withColumn("rule", F.lit(2))
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame([("bad-ads.net",), ("b.com",)], "host string")
-    small = {r.page_id: r for r in url_filter.judge(df, rules, listed).collect()}
-    large = {r.page_id: r for r in url_filter.judge(df, rules, listed, most_list_bytes=0).collect()}
+    listed, words = spark.createDataFrame([("bad-ads.net",), ("",), (None,)], "host string"), spark.createDataFrame([("b",), ("",)], "word string")
+    small = {r.page_id: r for r in url_filter.judge(df, rules, listed, words).collect()}
+    large = {r.page_id: r for r in url_filter.judge(df, rules, listed, words, most_list_bytes=0).collect()}
     assert [(small[i].rule, small[i].verdict, small[i].host, small[i].path) for i in small] == [(large[i].rule, large[i].verdict, large[i].host, large[i].path) for i in small]
     assert [(small[i].rule, small[i].verdict) for i in range(len(URLS))] == [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), (None, "allow"), ("com/fr/", "allow"), ("com/de/", "block"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), ("org/", "allow"), ("org/", "allow"), (None, "allow")]
     assert url_filter.judge(df.filter("false"), rules, listed).count() == 0
@@ -353,10 +353,27 @@ def test_url_filter(spark):
 
 
 def test_digest_collisions_decide_nothing():
-    entries = url_filter.DigestList(["a", "b"], ["/", "/"], ["allow", "block"])
-    entries.keys = np.array([xxhash.xxh64_intdigest("c/")] * 2, dtype=np.uint64).tobytes()
+    entries = url_filter.DigestArray.of(["a", "b"], [False, True])
+    entries.keys = np.array([xxhash.xxh64_intdigest("c", url_filter.SEED)] * 2, dtype=np.uint64).tobytes()
     entries.token = "collision"
-    assert entries.find(["c/"]).tolist() == [-1]
+    assert entries.find(["c"]).tolist() == [-1]
+
+
+def test_long_list_on_both_ways(spark):
+    rng = random.Random(9)
+    hosts = [f"h{i}.d{i % 7}.net" for i in range(3000)]
+    urls = [f"http://{rng.choice(['', 'x.', 'y.z.'])}{h if i % 2 else h.replace('h', 'k')}/{'p' * (i % 50) * 200}" for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    df = df.unionAll(df.limit(50))
+    rules = spark.createDataFrame([(h, "/p", "allow") for h in hosts[::10]] + [(h, "/p", "block") for h in hosts[::20]], "host string, path string, verdict string")
+    listed = spark.createDataFrame([(h,) for h in hosts[::3]], "host string")
+    both = [url_filter.judge(df, rules, listed, most_list_bytes=n).select("page_id", "rule", "verdict") for n in (1 << 26, 0)]
+    assert sorted(both[0].collect(), key=str) == sorted(both[1].collect(), key=str) and both[0].count() == 3050
+    for r in both[0].collect():
+        i = r.page_id
+        fits = i % 2 and i % 10 == 0 and i % 50 > 0
+        assert (r.rule is not None) == bool(fits)
+        assert r.verdict == (("block" if i % 20 == 0 else "allow") if fits else ("block" if i % 2 and i % 3 == 0 else "allow"))
 
 
 # --- 10: byte-level BPE ------------------------------------------------------------------------------
