@@ -11,19 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline.llm import byte_bpe, mixing, near, pii, quality
-from forgeline.llm.common import numbered, table, written
+from forgeline.llm.common import numbered, table, temporary, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; labels that are held out teach nothing."""
-    stats = written(quality.features(docs.select("doc_id", "text")), "statistics")
-    return quality.accepted(docs.select(*COLUMNS), quality.train(stats, table(spark, sf_dir, "labels")))
+    """Documents that the classifier accepts; labels that are held out teach nothing. Each text's statistics are computed once."""
+    rows = written(quality.features(docs.select(*COLUMNS), keep_text=True), "statistics")
+    model = quality.train(rows.select("doc_id", "statistics"), table(spark, sf_dir, "labels"))
+    return quality.scored(rows, model).filter(F.col("score") >= quality.ACCEPT).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) the document with the smallest id (null last)."""
+    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) the document with the smallest id (null last).
+
+    SimHash's index links what it can; `near` says why bands of MinHashes must find the rest.
+    """
     rows = numbered(docs.select(*COLUMNS), "documents")
     return rows.join(near.firsts(rows.select("__row", "doc_id", "text")), "__row", "left_semi").select(*COLUMNS)
 
@@ -60,10 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents. What a stage wrote for itself is deleted once the next stage's input is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with temporary(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", outside=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
