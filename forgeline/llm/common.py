@@ -35,13 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again.
 
-    It cuts the lineage and outlives lost executors. Each call uses a new folder. `outside`: where it outlives
-    the innermost `temporary` block.
+    It cuts the lineage and outlives lost executors. Each call uses a new folder.
     """
-    path = "/".join([_own_dir(df.sparkSession), *(_SCOPES[:-1] if outside else _SCOPES), f"{name}-{uuid.uuid4().hex}"])
+    path = "/".join([_own_dir(df.sparkSession), *_SCOPES, f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,16 +55,20 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 
 @contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables written in this block are deleted at its end, but those written `outside`."""
+def scope() -> Iterator[str]:
+    """The name of a new folder in which all tables of this block are written, for `forget`."""
     _SCOPES.append(uuid.uuid4().hex)
     try:
-        yield
+        yield "/".join(_SCOPES)
     finally:
-        _delete(spark, "/".join([_own_dir(spark), *_SCOPES]))
         _SCOPES.pop()
 
 
+def forget(spark: SparkSession, name: str) -> None:
+    """Deletes the tables that were written in a `scope`, once no result that reads them is needed any more."""
+    _delete(spark, f"{_own_dir(spark)}/{name}")
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's scratch tables, once no result that reads them is needed any more."""
     _delete(spark, _own_dir(spark))

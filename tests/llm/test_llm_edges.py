@@ -233,11 +233,13 @@ def test_steps_over_an_int8_are_an_error(monkeypatch):
         model.steps("a")
 
 
-def test_scratch_tables_of_a_block_are_deleted(spark):
+def test_scratch_tables_of_a_scope_are_deleted(spark):
     df = spark.range(3)
-    with common.temporary(spark):
-        inner, outer = written(df, "inner"), written(df, "outer", outside=True)
-        assert inner.count() == 3
+    with common.scope() as name:
+        inner = written(df, "inner")
+    outer = written(df, "outer")
+    assert inner.count() == outer.count() == 3
+    common.forget(spark, name)
     assert outer.count() == 3
     with pytest.raises(Exception, match=r"(?i)not.*exist|not found"):
         spark.read.parquet(inner.inputFiles()[0].rsplit("/", 1)[0]).count()
