@@ -3,8 +3,10 @@
 The fingerprints of the shingles are linked through SimHash's Gray-order index, and every link is confirmed by the
 whole sets of shingles. At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, though, and segments
 short enough to survive that hold a large share of all rows; so documents that agree in one band of MinHashes are
-candidates too. Each is held against one centre of each of its bands first; then only pairs of a band that
-are still in different components are.
+candidates too. Each is held against one centre of each of its bands first, the member that most others meet in
+bands. Then only pairs of a band that are still in different components are, and of those only pairs whose sizes and whose
+numbers of shingles that no other candidate has leave room for the similarity: in a large group of texts edited each
+in its own way, that leaves out the far ones without a look at their pairs.
 """
 
 from __future__ import annotations
@@ -126,9 +128,12 @@ def firsts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     by_fingerprint = same.union(linked.select(*pair("head_a", "head_b")))
 
     # MinHash: each member of a band and the band's centre
-    cells = nodes.select("node", "n", F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("cell", "node").alias("h"), "node", "n")).alias("centre")).filter("members > 1")
-    members = written(cells.join(shared, "cell").select("cell", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "members")
+    cells = nodes.select("node", "n", F.posexplode("bands").alias("i", "cell"))
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = written(cells.join(shared, "cell"), "cells")
+    best = F.max(F.struct("met", F.xxhash64("node").alias("h"), "node", "n")).alias("centre")
+    centres = met.join(met.groupBy("node").agg(F.sum("members").alias("met")), "node").groupBy("cell").agg(best)
+    members = written(met.join(centres, "cell").select("i", "cell", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "members")
     by_band = members.filter((F.col("node") != F.col("centre")) & near("n", "centre_n")).select(*pair("node", "centre"))
     tried = written(by_fingerprint.union(by_band).distinct(), "tried")
     used = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).union(members.select("node")).distinct()
@@ -137,13 +142,29 @@ def firsts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     sets = written(_mapped(texts, "node", [_longs("found")], lambda found: (found.view(np.int64),)), "shingles")
     sure = written(_confirmed(tried, sets, similar), "confirmed")
 
-    # members of a band's largest component need no more pairs among themselves
+    # only bands with several components count from here on
     labels = connected(sure)
-    placed = written(members.join(labels, "node", "left").select("cell", "node", "n", F.coalesce("label", "node").alias("label")), "placed")
+    placed = members.join(labels, "node", "left").select("i", "cell", "node", "n", F.coalesce("label", "node").alias("label"))
+    split = placed.groupBy("cell").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("cell")
+    placed = written(placed.join(split, "cell"), "placed")
+
+    # a shingle that no other node of these bands has can be in no common part: n - own is the most that a node shares
+    held = sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.explode("found").alias("shingle"))
+    single = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("times = 1")
+    owns = written(single.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "own-shingles")
+    placed = placed.join(owns, "node", "left").select("i", "cell", "node", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    room = lambda n, common, other: common * (1 + similar) >= similar * (n + other)  # noqa: E731  (of a node for one of `other` shingles)
+    # no partner is smaller than similar * n
+    placed = placed.filter(room(F.col("n"), F.col("common"), F.col("n") * similar)).join(nodes.select("node", "bands"), "node")
+    placed = written(placed, "open")
+
+    # members of a band's largest component need no more pairs among themselves
     main = placed.groupBy("cell", "label").count().groupBy("cell").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).filter("labels > 1")
-    minor = placed.join(main, "cell").filter("label != main").select("cell", *[F.col(c).alias(f"my_{c}") for c in ("node", "n", "label")], "main")
-    apart = minor.join(placed, "cell").filter((F.col("label") != F.col("my_label")) & near("n", "my_n") & ((F.col("label") == F.col("main")) | (F.col("my_node") < F.col("node"))))
-    left = written(apart.select(*pair("my_node", "node")).distinct().join(tried, ["a", "b"], "left_anti"), "left")
+    minor = placed.join(main, "cell").filter("label != main").select("cell", *[F.col(c).alias(f"my_{c}") for c in ("node", "n", "label", "common", "bands")], "main")
+    fits = room(F.col("n"), F.col("common"), F.col("my_n")) & room(F.col("my_n"), F.col("my_common"), F.col("n"))
+    first_band = F.expr("i = 0 OR NOT exists(sequence(0, greatest(i - 1, 0)), j -> bands[j] = my_bands[j])")  # each pair in the first of its bands only
+    apart = minor.join(placed, "cell").filter((F.col("label") != F.col("my_label")) & near("n", "my_n") & fits & first_band & ((F.col("label") == F.col("main")) | (F.col("my_node") < F.col("node"))))
+    left = written(apart.select(*pair("my_node", "node")).join(tried, ["a", "b"], "left_anti"), "left")
     labels = connected(sure.union(written(_confirmed(left, sets, similar), "confirmed")))
     named = own.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
     return named.select(F.col("first.__row").alias("__row"))
