@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,16 +40,16 @@ def stock_status(stock: Column, reorder: Column, pct: Column) -> Column:
     return F.when(stock <= 0, "OUT_OF_STOCK").when(stock < reorder, "REORDER").when(pct > 90, "OVER_CAPACITY").otherwise("OK")
 
 
-def health_status(max_temp: Column, max_vib: Column) -> Column:
-    warnings = F.when(max_temp > 75, 1).otherwise(0) + F.when(max_vib > 4.5, 1).otherwise(0)
-    return F.when(warnings == 0, "HEALTHY").when(warnings == 1, "WARN").otherwise("CRITICAL")
+def warnings(max_temp: Column, max_vib: Column) -> Column:
+    return F.when(max_temp > 75, 1).otherwise(0) + F.when(max_vib > 4.5, 1).otherwise(0)
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+def health_status(max_temp: Column, max_vib: Column) -> Column:
+    n = warnings(max_temp, max_vib)
+    return F.when(n == 0, "HEALTHY").when(n == 1, "WARN").otherwise("CRITICAL")
 
 
-#: File names that tell a data set, in the order of precedence; the strict ones are whole names.
+# What in a file name tells a data set, in the order of precedence; the strict ones are whole names.
 DATASET_PATTERNS = {
     "production": ["production", "prod"],
     "quality": ["quality", "qual"],

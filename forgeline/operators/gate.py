@@ -58,6 +58,15 @@ def evaluate(spark: SparkSession, datasets: dict[str, DataFrame], kpis: dict[str
     return out
 
 
+def evidence(datasets: dict[str, DataFrame], date_col: str = "Date") -> DataFrame:
+    """(dataset, rows, first_date, last_date): what the checks were made on; one aggregate a data set."""
+    out = None
+    for name, df in datasets.items():
+        part = df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows"), F.min(date_col).alias("first_date"), F.max(date_col).alias("last_date"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def decision(checks: DataFrame) -> DataFrame:
     """One row: GOOD if every check holds, else BAD; with the failed checks."""
     failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name"))))

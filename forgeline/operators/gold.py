@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forgeline.functions.columns import health_status, ratio_or_null, stock_status
+from forgeline.functions.columns import health_status, ratio_or_null, stock_status, warnings
 
-#: Columns without which a gold table can't be built.
+# Columns without which a gold table or a mart can't be built, and the grain and columns of each mart.
 REQUIRED = {
-    "production": ["Date", "Machine_ID", "Target_Qty", "Actual_Qty", "Good_Qty", "Reject_Qty", "Cycle_Time_sec"],
+    "production": ["Date", "Line", "Machine_ID", "Target_Qty", "Actual_Qty", "Good_Qty", "Reject_Qty", "Cycle_Time_sec"],
     "quality": ["Date", "Product", "Line", "Defect_Type", "Defect_Count", "Inspected_Qty", "Severity"],
-    "inventory": ["Date", "Product", "Stock_Qty", "Reorder_Point", "Max_Capacity", "Unit_Price"],
-    "machine": ["Date", "Machine_ID", "Status", "Temperature_C", "Vibration_mm", "Downtime_min"],
+    "inventory": ["Date", "Product", "Stock_Qty", "Reorder_Point", "Max_Capacity", "Unit_Price", "Supplier"],
+    "machine": ["Date", "Machine_ID", "Status", "Temperature_C", "Vibration_mm", "Downtime_min", "Line"],
 }
 SEVERITIES = ("Minor", "Major", "Critical")
-GRAIN = {"mart_oee": ["Date"], "mart_quality": ["Date"], "mart_inventory": ["Date", "Product"]}
+GRAIN = {"mart_oee": ["Date"], "mart_quality": ["Date"], "mart_inventory": ["Product"]}
+MART_REQUIRED = {"mart_oee": ["Date", "Total_Actual", "OEE_pct"], "mart_quality": ["Date", "Total_Defects", "Defect_Rate_pct"], "mart_inventory": ["Product", "Stock_Qty", "Stock_Status"]}
 MART_COLUMNS = {
     "mart_oee": ["Date", "Total_Target", "Total_Actual", "Total_Good", "Total_Reject", "Machines", "Availability_pct", "Performance_pct", "Quality_pct", "OEE_pct"],
-    "mart_quality": ["Date", "Total_Defects", "Total_Inspected", "Defect_Types", "Defect_Rate_pct", "Pass_Rate_pct"],
-    "mart_inventory": ["Date", "Product", "Stock_Qty", "Reorder_Point", "Stock_Value", "Capacity_pct", "Stock_Status"],
+    "mart_quality": ["Date", "Total_Defects", "Total_Inspected", "Defect_Rate_pct", "Pass_Rate_pct", "Defect_Types", "Products"],
+    "mart_inventory": ["Product", "Stock_Qty", "Reorder_Point", "Stock_Value", "Stock_Status", "Snapshot_Date"],
 }
 
 
@@ -92,7 +93,7 @@ def inventory_snapshot(df: DataFrame) -> DataFrame:
     """The last date's stock, by product. Below reorder means strictly below here."""
     df = latest(dated(required(df, "inventory")))
     pct = _pct(F.col("Stock_Qty"), F.col("Max_Capacity"))
-    out = df.select("*", F.round(F.col("Stock_Qty") * F.col("Unit_Price"), 2).alias("Stock_Value"), (F.col("Stock_Qty") < F.col("Reorder_Point")).alias("Below_Reorder"), pct.alias("Capacity_pct"))
+    out = df.select("*", F.round(F.col("Stock_Qty") * F.col("Unit_Price"), 2).alias("Stock_Value"), (F.col("Stock_Qty") < F.col("Reorder_Point")).alias("Below_Reorder"), pct.alias("Capacity_pct"), F.col("Date").alias("Snapshot_Date"))
     return out.withColumn("Stock_Status", stock_status(F.col("Stock_Qty"), F.col("Reorder_Point"), F.col("Capacity_pct"))).orderBy("Product")
 
 
@@ -101,18 +102,29 @@ def machine_health(df: DataFrame, down_values: tuple[str, ...] = ("DOWN",)) -> D
     out = df.groupBy("Date").agg(
         F.count_distinct("Machine_ID").alias("Machines"),
         F.round(F.avg("Temperature_C"), 2).alias("Avg_Temperature"),
-        F.max("Temperature_C").alias("Max_Temperature"),
+        F.round(F.max("Temperature_C"), 2).alias("Max_Temperature"),
         F.round(F.avg("Vibration_mm"), 3).alias("Avg_Vibration"),
-        F.max("Vibration_mm").alias("Max_Vibration"),
+        F.round(F.max("Vibration_mm"), 3).alias("Max_Vibration"),
         F.sum("Downtime_min").alias("Total_Downtime"),
         F.count_if(F.col("Status").isin(*down_values)).alias("Down_Count"),
     )
-    return out.withColumn("Health_Status", health_status(F.col("Max_Temperature"), F.col("Max_Vibration")))
+    return out.withColumns({"Warning_Count": warnings(F.col("Max_Temperature"), F.col("Max_Vibration")), "Health_Status": health_status(F.col("Max_Temperature"), F.col("Max_Vibration"))})
 
 
 def mart(gold: DataFrame, name: str) -> DataFrame:
-    """The mart's columns that the gold table has, in the order of the mart's grain."""
-    return gold.select(*[c for c in MART_COLUMNS[name] if c in gold.columns]).orderBy(*GRAIN[name])
+    """The mart's columns that the gold table has, in the order of the mart's grain; an error if required columns or all rows are missing."""
+    missing = [c for c in MART_REQUIRED[name] if c not in gold.columns]
+    if missing:
+        raise ValueError(f"{name} lacks columns: {', '.join(missing)}")
+    return checked(gold, name).select(*[c for c in MART_COLUMNS[name] if c in gold.columns]).orderBy(*GRAIN[name])
+
+
+def single_grain(mart: DataFrame, name: str) -> DataFrame:
+    """The mart, or an error that counts the rows whose grain key occurs more than once."""
+    repeated = grain_violations(mart, GRAIN[name]).count()
+    if repeated:
+        raise ValueError(f"{name} has {repeated} rows that share their key {GRAIN[name]}")
+    return mart
 
 
 def grain_violations(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,23 +19,23 @@ def _rates() -> list[Column]:
     ]
 
 
-def _production(df: DataFrame, keys: list[Column], cycle: bool = True, count: bool = False) -> DataFrame:
+def _production(df: DataFrame, keys: list[Column], count: bool = False) -> DataFrame:
     aggs = [F.sum(c).alias(n) for n, c in _SUMS.items()]
-    aggs += [F.avg("Cycle_Time_sec").alias("Avg_Cycle_Time")] * cycle + [F.count(F.lit(1)).alias("Records")] * count
+    aggs += [F.avg("Cycle_Time_sec").alias("Avg_Cycle_Time")] + [F.count(F.lit(1)).alias("Records")] * count
     return df.groupBy(*keys).agg(*aggs).select("*", *_rates())
 
 
 def daily_production(df: DataFrame) -> DataFrame:
-    return _production(df, [F.col("Date")], count=True)
+    return _production(df, [F.col("Date")], count=True).orderBy("Date")
 
 
 def weekly_production(df: DataFrame) -> DataFrame:
     """By calendar year and ISO week: 2027-01-01 counts as (2027, 53)."""
-    return _production(df, [F.year("Date").alias("Year"), F.weekofyear("Date").alias("Week")], cycle=False).drop("Yield_Rate_pct")
+    return _production(df, [F.year("Date").alias("Year"), F.weekofyear("Date").alias("Week")]).drop("Yield_Rate_pct")
 
 
 def monthly_production(df: DataFrame) -> DataFrame:
-    return _production(df, [F.year("Date").alias("Year"), F.month("Date").alias("Month")], cycle=False).drop("Yield_Rate_pct")
+    return _production(df, [F.year("Date").alias("Year"), F.month("Date").alias("Month")]).drop("Yield_Rate_pct")
 
 
 def oee(production: DataFrame, machine: DataFrame, minutes_per_reading: int = 10, date_col: str = "Date") -> DataFrame:
@@ -63,7 +63,7 @@ def machine_utilization(df: DataFrame) -> DataFrame:
         F.avg("Power_Usage_pct").alias("Avg_Power"),
         F.count(F.lit(1)).alias("Total_Readings"),
     )
-    return out.withColumn("Utilization_pct", percent(F.col("Running_Count"), F.col("Total_Readings")))
+    return out.withColumn("Utilization_pct", percent(F.col("Running_Count"), F.col("Total_Readings"))).orderBy("Date", "Machine_ID")
 
 
 def worker_productivity(df: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def worker_productivity(df: DataFrame) -> DataFrame:
         F.sum("Defects_Caused").alias("Total_Defects"),
         F.round(F.sum("Overtime_hrs"), 6).alias("Total_Overtime"),
     )
-    return out.select("*", F.round(ratio_or_num(F.col("Total_Units"), F.col("Total_Hours")), 1).alias("Units_Per_Hour"), percent(F.col("Total_Defects"), F.col("Total_Units")).alias("Defect_Rate_pct"))
+    return out.select("*", F.round(ratio_or_num(F.col("Total_Units"), F.col("Total_Hours")), 1).alias("Units_Per_Hour"), percent(F.col("Total_Defects"), F.col("Total_Units")).alias("Defect_Rate_pct")).orderBy("Date", "Worker_ID")
 
 
 def inventory_kpi(df: DataFrame) -> DataFrame:

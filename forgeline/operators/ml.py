@@ -8,16 +8,16 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFECT_FEATURES = ["Target_Qty", "Actual_Qty", "Cycle_Time_sec", "Machines", "Achievement", "Reject_Rate", "Defects", "Inspected", "Defect_Ratio"]
+DEFECT_FEATURES = ["Target_Qty", "Actual_Qty", "Cycle_Time_sec", "Machines", "Reject_Rate", "Achievement", "Defects", "Inspected", "Critical_Count"]
 DOWNTIME_FEATURES = ["Temperature_C", "Vibration_mm", "Power_Usage_pct", "Speed_RPM", "Day_Of_Week"]
 
 
 def defect_features(production: DataFrame, quality: DataFrame) -> DataFrame:
     """By date, line and shift: sums, ratios, the line's defects of the day (0 without any), label 1 from a reject rate over 5 %."""
-    made = production.groupBy("Date", "Line", "Shift").agg(F.sum("Target_Qty").alias("Target_Qty"), F.sum("Actual_Qty").alias("Actual_Qty"), F.sum("Reject_Qty").alias("Reject_Qty"), F.avg("Cycle_Time_sec").alias("Cycle_Time_sec"), F.count_distinct("Machine_ID").alias("Machines"))
-    found = quality.groupBy("Date", "Line").agg(F.sum("Defect_Count").alias("Defects"), F.sum("Inspected_Qty").alias("Inspected"))
+    made = production.groupBy("Date", "Line", "Shift").agg(F.sum("Target_Qty").alias("Target_Qty"), F.sum("Actual_Qty").alias("Actual_Qty"), F.sum("Good_Qty").alias("Good_Qty"), F.sum("Reject_Qty").alias("Reject_Qty"), F.avg("Cycle_Time_sec").alias("Cycle_Time_sec"), F.count_distinct("Machine_ID").alias("Machines"))
+    found = quality.groupBy("Date", "Line").agg(F.sum("Defect_Count").alias("Defects"), F.sum("Inspected_Qty").alias("Inspected"), F.count_if(F.col("Severity") == "Critical").alias("Critical_Count"))
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)), 6)
-    out = made.join(found, ["Date", "Line"], "left").na.fill(0, ["Defects", "Inspected"])
+    out = made.join(found, ["Date", "Line"], "left").na.fill(0, ["Defects", "Inspected", "Critical_Count"])
     out = out.select("*", ratio("Actual_Qty", "Target_Qty").alias("Achievement"), ratio("Reject_Qty", "Actual_Qty").alias("Reject_Rate"), ratio("Defects", "Inspected").alias("Defect_Ratio"))
     return out.withColumn("label", (F.col("Reject_Rate") > 0.05).cast("int"))
 

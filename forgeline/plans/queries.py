@@ -21,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {}
 AS_OF = "2026-01-01"
 QUOTA = 20_000
 NOW = "2024-01-20 00:00:00"
+#: A time by which many leases, but not all, have expired.
+LATER = "2024-01-30 12:00:00"
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 DATASETS = {"production": views.production, "quality": views.quality, "inventory": views.inventory, "machine": views.machine, "workers": views.workers}
 _VIEW_OF = {"production": "v_production", "quality": "v_quality", "inventory": "v_inventory", "machine": "v_machine", "workers": "v_workers"}
@@ -77,7 +79,7 @@ STEPS = {
     "k_def": f"SELECT Date, {_sum('Defect_Count')} AS Total_Defects, {_sum('Inspected_Qty')} AS Total_Inspected, {_pct('sum(Defect_Count)', 'sum(Inspected_Qty)')} AS Defect_Rate_pct FROM v_quality GROUP BY Date",
     "g_oee": f"SELECT Date, {_PROD_SUMS}, avg(Cycle_Time_sec) AS Avg_Cycle_Time, count(DISTINCT Machine_ID) AS Machines, count(DISTINCT Shift) AS Shifts, 100e0 AS Availability_pct, {_null_pct('sum(Actual_Qty)', 'sum(Target_Qty)')} AS Performance_pct, {_null_pct('sum(Good_Qty)', 'sum(Actual_Qty)')} AS Quality_pct, round({_null_pct('sum(Actual_Qty)', 'sum(Target_Qty)')} * {_null_pct('sum(Good_Qty)', 'sum(Actual_Qty)')} / 100, 2) AS OEE_pct FROM v_production GROUP BY Date",
     "g_qual": "SELECT Date, " + f"{_sum('Defect_Count')} AS Total_Defects, {_sum('Inspected_Qty')} AS Total_Inspected, count(DISTINCT Defect_Type) AS Defect_Types, count(DISTINCT Product) AS Products, count(DISTINCT Line) AS Lines, " + ", ".join(f"CAST(coalesce(sum(Defect_Count) FILTER (Severity = '{s}'), 0) AS BIGINT) AS Defects_{s}" for s in gold.SEVERITIES) + f", CAST(0 AS BIGINT) AS Defects_Other, {_null_pct('sum(Defect_Count)', 'sum(Inspected_Qty)')} AS Defect_Rate_pct, round(100e0 - sum(Defect_Count) * 100e0 / nullif(sum(Inspected_Qty), 0), 2) AS Pass_Rate_pct FROM v_quality GROUP BY Date",
-    "g_snap": f"SELECT *, round(Stock_Qty * Unit_Price, 2) AS Stock_Value, Stock_Qty < Reorder_Point AS Below_Reorder, {_null_pct('Stock_Qty', 'Max_Capacity')} AS Capacity_pct, CASE WHEN Stock_Qty <= 0 THEN 'OUT_OF_STOCK' WHEN Stock_Qty < Reorder_Point THEN 'REORDER' WHEN {_null_pct('Stock_Qty', 'Max_Capacity')} > 90 THEN 'OVER_CAPACITY' ELSE 'OK' END AS Stock_Status FROM v_inventory WHERE Date = (SELECT max(Date) FROM v_inventory)",
+    "g_snap": f"SELECT *, round(Stock_Qty * Unit_Price, 2) AS Stock_Value, Stock_Qty < Reorder_Point AS Below_Reorder, {_null_pct('Stock_Qty', 'Max_Capacity')} AS Capacity_pct, CASE WHEN Stock_Qty <= 0 THEN 'OUT_OF_STOCK' WHEN Stock_Qty < Reorder_Point THEN 'REORDER' WHEN {_null_pct('Stock_Qty', 'Max_Capacity')} > 90 THEN 'OVER_CAPACITY' ELSE 'OK' END AS Stock_Status, Date AS Snapshot_Date FROM v_inventory WHERE Date = (SELECT max(Date) FROM v_inventory)",
     "d_day": "SELECT * FROM k_daily ORDER BY Date DESC LIMIT 1",
     "d_oee": "SELECT * FROM k_oee ORDER BY Date DESC NULLS LAST LIMIT 1",
     "d_mach": "SELECT * FROM v_machine WHERE Date = (SELECT max(Date) FROM v_machine)",
@@ -107,9 +109,9 @@ UNION ALL SELECT 'WARNING', 'OEE', 'OEE at ' || CAST(CAST(round(OEE_pct, 1) AS D
     "c_field": "SELECT * FROM c_viol WHERE rule IS NOT NULL",
     "c_cross": "SELECT rid, content, '__model__' AS field, Reject_Qty AS value, 'Reject_Qty_le_Actual_Qty' AS rule FROM c_dirty d WHERE try_cast(Reject_Qty AS BIGINT) > try_cast(Actual_Qty AS BIGINT) AND NOT EXISTS (SELECT 1 FROM c_field f WHERE f.rid = d.rid AND f.content = d.content)",
     "c_all": "SELECT * FROM c_field UNION ALL SELECT * FROM c_cross",
-    "x_num": "SELECT * REPLACE (" + ", ".join(f"try_cast({c} AS DOUBLE) AS {c}" for c in ["Target_Qty", "Actual_Qty", "Good_Qty", "Reject_Qty", "Cycle_Time_sec"]) + ") FROM v_raw",
+    "x_num": "SELECT * REPLACE (" + ", ".join(f"CASE WHEN isnan(try_cast({c} AS DOUBLE)) THEN NULL ELSE try_cast({c} AS DOUBLE) END AS {c}" for c in ["Target_Qty", "Actual_Qty", "Good_Qty", "Reject_Qty", "Cycle_Time_sec"]) + ") FROM v_raw",
     "x_once": "SELECT DISTINCT * FROM x_num",
-    "m_parsed": "SELECT event_id, body, CASE WHEN event_id % 17 = 0 THEN substr(sha256(replace(replace(regexp_replace(body, '\"seq\":([0-9]+)', '\"seq\":\"\\1\"'), ':92.5', ':\"92.5\"'), ':-5', ':\"-5\"')), 1, 16) ELSE CAST(CASE WHEN event_id % 10 = 3 THEN event_id - 1 ELSE event_id END AS VARCHAR) END AS message_id, CASE WHEN event_id % 13 = 0 AND event_id % 19 = 0 THEN 'missing Machine_ID, Line' WHEN event_id % 13 = 0 THEN 'missing Machine_ID' WHEN event_id % 19 = 0 THEN 'missing Line' WHEN event_id % 23 = 0 OR event_id % 29 = 0 THEN 'negative or non-numeric speed' END AS reason FROM v_messages",
+    "m_parsed": "SELECT event_id, body, CASE WHEN event_id % 17 = 0 THEN substr(sha256(body), 1, 16) ELSE CAST(CASE WHEN event_id % 10 = 3 THEN event_id - 1 ELSE event_id END AS VARCHAR) END AS message_id, CASE WHEN event_id % 13 = 0 AND event_id % 19 = 0 THEN 'missing Machine_ID, Line' WHEN event_id % 13 = 0 THEN 'missing Machine_ID' WHEN event_id % 19 = 0 THEN 'missing Line' WHEN event_id % 23 = 0 OR event_id % 29 = 0 THEN 'negative or non-numeric speed' END AS reason FROM v_messages",
     "m_done": "SELECT event_id, message_id, CASE WHEN n > 1 THEN 'duplicate_skipped' WHEN reason IS NULL THEN 'accepted' ELSE 'quarantined' END AS status, CASE WHEN n > 1 THEN 'already processed' ELSE reason END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY event_id) AS n FROM m_parsed)",
     "s_disp": f"SELECT message_id, d.run_id, d.stage, CASE WHEN error_code IS NOT NULL THEN 'DEAD_LETTER' WHEN status = 'SUCCEEDED' THEN 'ACK_DUPLICATE' WHEN status = 'RUNNING' AND lease_until > TIMESTAMP '{NOW}' THEN 'DEFER' WHEN status IN ('FAILED', 'DEAD_LETTERED') THEN 'DEAD_LETTER' ELSE 'PROCESS' END AS disposition FROM v_deliveries d LEFT JOIN v_ledger l ON d.run_id = l.run_id AND d.stage = l.stage",
     "t_clos": "SELECT source_dataset AS ancestor, target_dataset AS descendant FROM v_edges UNION SELECT c.ancestor, e.target_dataset FROM t_clos c JOIN v_edges e ON c.descendant = e.source_dataset",
@@ -122,8 +124,8 @@ def _oee(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("daily_production", lambda s, d: kpi.daily_production(views.production(s, d)), "SELECT * FROM k_daily")
-_add("weekly_production", lambda s, d: kpi.weekly_production(views.production(s, d)), f"SELECT CAST(year(Date) AS INTEGER) AS Year, CAST(weekofyear(Date) AS INTEGER) AS Week, {_PROD_SUMS}, {_PROD_RATES} FROM v_production GROUP BY ALL")
-_add("monthly_production", lambda s, d: kpi.monthly_production(views.production(s, d)), f"SELECT CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) AS Month, {_PROD_SUMS}, {_PROD_RATES} FROM v_production GROUP BY ALL")
+_add("weekly_production", lambda s, d: kpi.weekly_production(views.production(s, d)), f"SELECT CAST(year(Date) AS INTEGER) AS Year, CAST(weekofyear(Date) AS INTEGER) AS Week, {_PROD_SUMS}, avg(Cycle_Time_sec) AS Avg_Cycle_Time, {_PROD_RATES} FROM v_production GROUP BY ALL")
+_add("monthly_production", lambda s, d: kpi.monthly_production(views.production(s, d)), f"SELECT CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) AS Month, {_PROD_SUMS}, avg(Cycle_Time_sec) AS Avg_Cycle_Time, {_PROD_RATES} FROM v_production GROUP BY ALL")
 _add("oee", lambda s, d: _oee(s, d).orderBy("Date"), "SELECT * FROM k_oee")
 _add("machine_utilization", lambda s, d: kpi.machine_utilization(views.machine(s, d)), "SELECT * FROM k_util")
 _add("worker_productivity", lambda s, d: kpi.worker_productivity(views.workers(s, d)), f"SELECT Date, Worker_ID, Line, Shift, round(sum(Hours_Worked), 6) AS Total_Hours, {_sum('Units_Produced')} AS Total_Units, {_sum('Defects_Caused')} AS Total_Defects, round(sum(Overtime_hrs), 6) AS Total_Overtime, round(sum(Units_Produced) / CASE WHEN round(sum(Hours_Worked), 6) = 0 THEN 1 ELSE round(sum(Hours_Worked), 6) END, 1) AS Units_Per_Hour, {_pct('sum(Defects_Caused)', 'sum(Units_Produced)')} AS Defect_Rate_pct FROM v_workers GROUP BY ALL")
@@ -136,7 +138,7 @@ _add("defects_daily", lambda s, d: kpi.defects_daily(views.quality(s, d)), "SELE
 _add("gold_oee_daily", lambda s, d: gold.oee_daily(views.production(s, d)), "SELECT * FROM g_oee")
 _add("gold_quality_daily", lambda s, d: gold.quality_daily(views.quality(s, d)), "SELECT * FROM g_qual")
 _add("gold_inventory_snapshot", lambda s, d: gold.inventory_snapshot(views.inventory(s, d)), "SELECT * FROM g_snap")
-_add("gold_machine_health", lambda s, d: gold.machine_health(views.machine(s, d), down_values=("DOWN", "Failure")), f"SELECT Date, count(DISTINCT Machine_ID) AS Machines, round(avg(Temperature_C), 2) AS Avg_Temperature, max(Temperature_C) AS Max_Temperature, round(avg(Vibration_mm), 3) AS Avg_Vibration, max(Vibration_mm) AS Max_Vibration, {_sum('Downtime_min')} AS Total_Downtime, count(*) FILTER (Status IN ('DOWN', 'Failure')) AS Down_Count, CASE (CASE WHEN max(Temperature_C) > 75 THEN 1 ELSE 0 END + CASE WHEN max(Vibration_mm) > 4.5 THEN 1 ELSE 0 END) WHEN 0 THEN 'HEALTHY' WHEN 1 THEN 'WARN' ELSE 'CRITICAL' END AS Health_Status FROM v_machine GROUP BY Date")
+_add("gold_machine_health", lambda s, d: gold.machine_health(views.machine(s, d), down_values=("DOWN", "Failure")), f"SELECT Date, count(DISTINCT Machine_ID) AS Machines, round(avg(Temperature_C), 2) AS Avg_Temperature, round(max(Temperature_C), 2) AS Max_Temperature, round(avg(Vibration_mm), 3) AS Avg_Vibration, round(max(Vibration_mm), 3) AS Max_Vibration, CASE WHEN max(Temperature_C) > 75 THEN 1 ELSE 0 END + CASE WHEN max(Vibration_mm) > 4.5 THEN 1 ELSE 0 END AS Warning_Count, {_sum('Downtime_min')} AS Total_Downtime, count(*) FILTER (Status IN ('DOWN', 'Failure')) AS Down_Count, CASE (CASE WHEN max(Temperature_C) > 75 THEN 1 ELSE 0 END + CASE WHEN max(Vibration_mm) > 4.5 THEN 1 ELSE 0 END) WHEN 0 THEN 'HEALTHY' WHEN 1 THEN 'WARN' ELSE 'CRITICAL' END AS Health_Status FROM v_machine GROUP BY Date")
 _add("mart_oee", lambda s, d: gold.mart(gold.oee_daily(views.production(s, d)), "mart_oee"), f"SELECT {', '.join(gold.MART_COLUMNS['mart_oee'])} FROM g_oee")
 _add("mart_quality", lambda s, d: gold.mart(gold.quality_daily(views.quality(s, d)), "mart_quality"), f"SELECT {', '.join(gold.MART_COLUMNS['mart_quality'])} FROM g_qual")
 _add("mart_inventory", lambda s, d: gold.mart(gold.inventory_snapshot(views.inventory(s, d)), "mart_inventory"), f"SELECT {', '.join(gold.MART_COLUMNS['mart_inventory'])} FROM g_snap")
@@ -155,16 +157,18 @@ def _severity_join(s: SparkSession, d: str) -> DataFrame:
 _NUM = ["Target_Qty", "Actual_Qty", "Good_Qty", "Reject_Qty", "Cycle_Time_sec"]
 _add("coerce_measures", lambda s, d: clean.coerce(views.raw_production(s, d)), "SELECT * FROM x_num")
 _add("dedup_exact", lambda s, d: clean.dedup_exact(clean.coerce(views.raw_production(s, d))), "SELECT * FROM x_once")
-_add("fill_median", lambda s, d: clean.fill_median(clean.coerce(views.raw_production(s, d)).select("rid", *_NUM[:4]), _NUM[:4]), "SELECT rid, " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM x_num)) AS {c}" for c in _NUM[:4]) + " FROM x_num")
+_add("fill_median", lambda s, d: clean.fill_median(clean.coerce(views.raw_production(s, d)).select("rid", *_NUM), _NUM), "SELECT rid, " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM x_num)) AS {c}" for c in _NUM) + " FROM x_num")
 _add("fill_unknown", lambda s, d: clean.fill_unknown(views.raw_production(s, d).select("rid", "Worker_ID", "Line")), "SELECT rid, coalesce(Worker_ID, 'Unknown_Worker_ID') AS Worker_ID, coalesce(Line, 'Unknown_Line') AS Line FROM v_raw")
-_add("fill_forward", lambda s, d: clean.fill_forward(clean.parse_dates(views.raw_production(s, d).select("Machine_ID", "rid", "Date").distinct()), ["Date"], ["rid"], ["Machine_ID"]).select("Machine_ID", "rid", F.col("Date").isNull().alias("no_date")).distinct(), "SELECT DISTINCT Machine_ID, rid, d IS NULL AS no_date FROM (SELECT Machine_ID, rid, last_value(try_cast(Date AS DATE) IGNORE NULLS) OVER (PARTITION BY Machine_ID ORDER BY rid ROWS UNBOUNDED PRECEDING) AS d FROM (SELECT DISTINCT Machine_ID, rid, Date FROM v_raw))")
+_add("fill_forward", lambda s, d: clean.fill_forward(clean.parse_dates(views.raw_production(s, d).select("Machine_ID", "rid", "Date", F.col("Date").alias("raw")).distinct()), ["Date"], ["rid", "raw"], ["Machine_ID"]), "SELECT Machine_ID, rid, Date AS raw, last_value(try_cast(Date AS DATE) IGNORE NULLS) OVER (PARTITION BY Machine_ID ORDER BY rid, Date ROWS UNBOUNDED PRECEDING) AS Date FROM (SELECT DISTINCT Machine_ID, rid, Date FROM v_raw)")
 _add("parse_dates", lambda s, d: clean.parse_dates(views.raw_production(s, d).select("rid", "Date")), "SELECT rid, try_cast(Date AS DATE) AS Date FROM v_raw")
 _add("standardize_text", lambda s, d: clean.standardize_text(views.raw_production(s, d).select("rid", "Line")), "SELECT rid, trim(Line) AS Line FROM v_raw")
 _add("clip_negative", lambda s, d: clean.clip_negative(clean.coerce(views.raw_production(s, d)).select("rid", "Target_Qty", "Actual_Qty")), "SELECT rid, greatest(Target_Qty, 0) AS Target_Qty, CASE WHEN Actual_Qty < 0 THEN 0 ELSE Actual_Qty END AS Actual_Qty FROM x_num")
-_CLEAN = "SELECT rid, try_cast(Date AS DATE) AS Date, " + ", ".join(f"trim(coalesce({c}, 'Unknown_{c}')) AS {c}" for c in ["Line", "Shift", "Product", "Machine_ID", "Worker_ID"]) + ", " + ", ".join(f"CASE WHEN coalesce({c}, (SELECT median({c}) FROM x_once)) < 0 THEN 0 ELSE coalesce({c}, (SELECT median({c}) FROM x_once)) END AS {c}" for c in _NUM[:4]) + " FROM x_once"
-_add("clean_production", lambda s, d: clean.clean(views.raw_production(s, d)).drop("Cycle_Time_sec").withColumn("rid", F.col("rid").cast("long")), _CLEAN)
+_add("clip_negative_counts", lambda s, d: clean.clip_negative(views.quality(s, d).select("Date", "Line", (F.col("Defect_Count") - 5).alias("Defect_Count"), (F.col("Inspected_Qty") - 120).alias("Inspected_Qty"))), "SELECT Date, Line, greatest(Defect_Count - 5, 0) AS Defect_Count, greatest(Inspected_Qty - 120, 0) AS Inspected_Qty FROM v_quality")
+_add("clip_negative_units", lambda s, d: clean.clip_negative(views.workers(s, d).select("Date", "Worker_ID", (F.col("Units_Produced") - 150).alias("Units_Produced"), (F.col("Defects_Caused") - 3).alias("Defects_Caused"))), "SELECT Date, Worker_ID, greatest(Units_Produced - 150, 0) AS Units_Produced, Defects_Caused - 3 AS Defects_Caused FROM v_workers")
+_CLEAN = "SELECT rid, try_cast(Date AS DATE) AS Date, " + ", ".join(f"trim(coalesce({c}, 'Unknown_{c}')) AS {c}" for c in ["Line", "Shift", "Product", "Machine_ID", "Worker_ID"]) + ", " + ", ".join(f"CASE WHEN coalesce({c}, (SELECT median({c}) FROM x_once)) < 0 THEN 0 ELSE coalesce({c}, (SELECT median({c}) FROM x_once)) END AS {c}" for c in _NUM[:4]) + ", coalesce(Cycle_Time_sec, (SELECT median(Cycle_Time_sec) FROM x_once)) AS Cycle_Time_sec FROM x_once"
+_add("clean_production", lambda s, d: clean.clean(views.raw_production(s, d)).withColumn("rid", F.col("rid").cast("long")), _CLEAN)
 _add("clean_basic", lambda s, d: clean.clean(clean.coerce(views.production(s, d)).select("Date", "Line", "Target_Qty", "Actual_Qty"), "basic"), "SELECT DISTINCT Date, Line, CAST(Target_Qty AS DOUBLE) AS Target_Qty, CAST(Actual_Qty AS DOUBLE) AS Actual_Qty FROM v_production")
-_add("safe_cells", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", safe_cell(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20))).alias("cell")), "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ''' =' || substr(text, 1, 20) WHEN regexp_matches(substr(text, 1, 20), '^[ \\t]*[=+@-]') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents")
+_add("safe_cells", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", safe_cell(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), "text")).otherwise(F.col("text"))).alias("cell")), "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ''' =' || text WHEN regexp_matches(text, '^[ \\t]*[=+@-]') THEN '''' || text ELSE text END AS cell FROM documents")
 
 def _whole_cell() -> Column:
     return safe_cell(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), "text")).otherwise(F.col("text")))
@@ -208,11 +212,13 @@ _add("quality_context", lambda s, d: contracts.quality_context(_passed(s, d).agg
 def _checks(s: SparkSession, d: str) -> DataFrame:
     sets = {n: f(s, d) for n, f in DATASETS.items()}
     kpis = {"daily_production": kpi.daily_production(sets["production"]), "oee": _oee(s, d), "inventory_kpi": kpi.inventory_kpi(sets["inventory"])}
-    return gate.evaluate(s, sets, kpis)
+    judged, kept = _dirty(s, d).count(), _passed(s, d).count()
+    return gate.evaluate(s, sets, kpis, kept, judged - kept, "current_run")
 
 
-_GATE = "SELECT 'datasets_present' AS name, true AS ok, 'all required present' AS detail UNION ALL SELECT 'datasets_non_empty', true, 'all non-empty' UNION ALL SELECT 'kpi_inputs_present', true, 'required KPIs present' UNION ALL SELECT 'kpi_values_finite', count(*) = 0, CASE WHEN count(*) = 0 THEN 'no NaN/inf' ELSE 'non-finite=oee' END FROM k_oee WHERE OEE_pct IS NULL UNION ALL SELECT 'quarantine_rate', true, 'not_provided'"
+_GATE = "SELECT 'datasets_present' AS name, true AS ok, 'all required present' AS detail UNION ALL SELECT 'datasets_non_empty', true, 'all non-empty' UNION ALL SELECT 'kpi_inputs_present', true, 'required KPIs present' UNION ALL SELECT 'kpi_values_finite', count(*) = 0, CASE WHEN count(*) = 0 THEN 'no NaN/inf' ELSE 'non-finite=oee' END FROM k_oee WHERE OEE_pct IS NULL UNION ALL SELECT 'quarantine_rate', r <= 0.5, 'rate=' || format('{:.3f}', r) || ' (max=0.5, scope=current_run)' FROM (SELECT 1 - (SELECT count(*) FROM (" + _GOOD + ")) / CAST((SELECT count(*) FROM c_dirty) AS DOUBLE) AS r)"
 _add("quality_gate", _checks, _GATE)
+_add("quality_evidence", lambda s, d: gate.evidence({n: f(s, d) for n, f in DATASETS.items()}), " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS rows, min(Date) AS first_date, max(Date) AS last_date FROM {v}" for n, v in _VIEW_OF.items()))
 _add("quality_decision", lambda s, d: gate.decision(_checks(s, d)), f"SELECT CASE WHEN bool_and(ok) THEN 'GOOD' ELSE 'BAD' END AS status, count(*) AS checks, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT ok), '') AS failed FROM ({_GATE})")
 _add("rule_severity", lambda s, d: gate.state_and_severity(inputs.view(s, d, "v_rules")), "SELECT run_id, state, severity, blocking_failures, warnings, criticals, NOT (state = 'GOOD' AND criticals > 0) AS valid, state = 'GOOD' AND criticals = 0 AS eligible FROM (SELECT run_id, CASE WHEN u > 0 THEN 'UNKNOWN' WHEN f > 0 THEN 'BAD' ELSE 'GOOD' END AS state, CASE WHEN u > 0 THEN NULL WHEN f > 0 THEN CASE WHEN c > 0 THEN 'CRITICAL' ELSE 'WARNING' END WHEN w > 0 THEN 'WARNING' ELSE 'NONE' END AS severity, f AS blocking_failures, w AS warnings, c AS criticals FROM (SELECT run_id, count(*) FILTER (passed IS NULL) AS u, count(*) FILTER (blocking AND NOT passed) AS f, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'WARNING') AS w FROM v_rules GROUP BY run_id))")
 _add("quarantine_ratio", lambda s, d: gate.quarantine_ratio(_dirty(s, d).agg(F.count(F.lit(1)).alias("n")), _passed(s, d).agg(F.count(F.lit(1)).alias("n"))), f"SELECT r - k AS dropped, k AS kept, round((r - k) / CAST(r AS DOUBLE), 4) AS ratio, round((r - k) / CAST(r AS DOUBLE), 4) <= 0.25 AS ok FROM (SELECT (SELECT count(*) FROM c_dirty) AS r, (SELECT count(*) FROM ({_GOOD})) AS k)")
@@ -311,7 +317,7 @@ _add("catalog_edges", lambda s, d: lineage.catalog_edges(_catalog(s, d)), "SELEC
 _add("catalog_listing", lambda s, d: lineage.listing(_catalog(s, d)), f"SELECT name, CASE WHEN n % 5 = 0 THEN 'LAKE' WHEN n < 10 THEN 'RAW' WHEN n < 20 THEN 'SILVER' ELSE 'GOLD' END AS zone FROM (SELECT name, CAST(substr(name, 2) AS INT) AS n FROM {_NAMES}) WHERE n % 7 <> 0")
 _add("canonical_attempt", lambda s, d: ledger.canonical_attempts(inputs.view(s, d, "v_attempts")), "SELECT run_id, stage, attempt, status, n AS attempt_count FROM (SELECT *, coalesce(min(attempt) FILTER (status = 'SUCCEEDED') OVER w, max(attempt) OVER w) AS c, count(*) OVER w AS n FROM v_attempts WINDOW w AS (PARTITION BY run_id, stage)) WHERE attempt = c")
 _add("illegal_transitions", lambda s, d: ledger.illegal_transitions(inputs.view(s, d, "v_history")), "SELECT run_id, stage, seq, f AS from_status, status AS to_status FROM (SELECT *, lag(status) OVER (PARTITION BY run_id, stage ORDER BY seq) AS f FROM v_history) WHERE CASE WHEN f IS NULL THEN status <> 'PENDING' ELSE f || '>' || status NOT IN (" + ", ".join(f"'{a}>{b}'" for a, b in ledger.ALLOWED) + ") END")
-_add("expired_leases", lambda s, d: ledger.expired_leases(inputs.view(s, d, "v_ledger"), NOW), f"SELECT * FROM v_ledger WHERE status = 'RUNNING' AND lease_until <= TIMESTAMP '{NOW}'")
+_add("expired_leases", lambda s, d: ledger.expired_leases(inputs.view(s, d, "v_ledger"), LATER), f"SELECT * FROM v_ledger WHERE status = 'RUNNING' AND lease_until <= TIMESTAMP '{LATER}'")
 _add("failure_disposition", lambda s, d: ledger.after_failure(inputs.view(s, d, "v_failures")), "SELECT *, CASE WHEN error_code IN ('TimeoutError', 'OperationalError') THEN 'TRANSIENT' ELSE 'PERMANENT' END AS failure_class, CASE WHEN error_code IN ('TimeoutError', 'OperationalError') AND attempt < 5 THEN 'RETRY' ELSE 'DEAD_LETTER' END AS disposition FROM v_failures")
 _add("dispositions", lambda s, d: ledger.dispositions(inputs.view(s, d, "v_deliveries"), inputs.view(s, d, "v_ledger"), NOW), "SELECT * FROM s_disp")
 _add("outcome_counters", lambda s, d: ledger.outcome_counters(ledger.dispositions(inputs.view(s, d, "v_deliveries"), inputs.view(s, d, "v_ledger"), NOW)), "SELECT count(*) AS received, count(*) FILTER (disposition = 'PROCESS') AS completed, count(*) FILTER (disposition = 'ACK_DUPLICATE') AS duplicates, count(*) FILTER (disposition = 'DEFER') AS deferred, count(*) FILTER (disposition = 'RETRY') AS retried, count(*) FILTER (disposition = 'DEAD_LETTER') AS dead_lettered FROM s_disp")
@@ -324,9 +330,9 @@ def _messages(s: SparkSession, d: str) -> DataFrame:
 _add("telemetry_status", lambda s, d: _messages(s, d).select("event_id", "message_id", "status", "reason"), "SELECT * FROM m_done")
 _add("telemetry_manifest", lambda s, d: telemetry.manifest(_messages(s, d), "run-1").drop("checksum"), "SELECT 'run-1' AS run_id, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'duplicate_skipped') AS duplicate_skipped FROM m_done")
 _add("telemetry_known_ids", lambda s, d: telemetry.with_duplicates(telemetry.checked(telemetry.parsed(inputs.view(s, d, "v_messages"))), ["event_id"], inputs.view(s, d, "v_messages").filter("event_id % 4 = 1").select(F.col("event_id").cast("string").alias("message_id"))).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN status = 'duplicate_skipped' OR message_id IN (SELECT CAST(event_id AS VARCHAR) FROM v_messages WHERE event_id % 4 = 1) THEN 'duplicate_skipped' ELSE status END AS status, count(*) AS n FROM m_done GROUP BY 1")
-_CODES = "CASE event_id % 12 WHEN 0 THEN 'ENVELOPE_JSON_INVALID' WHEN 1 THEN 'ENVELOPE_NOT_OBJECT' WHEN 2 THEN 'ENVELOPE_VERSION_MISSING' WHEN 3 THEN 'ENVELOPE_VERSION_UNSUPPORTED' WHEN 4 THEN 'ENVELOPE_FIELD_MISSING' WHEN 5 THEN 'ENVELOPE_FIELD_TOO_LONG' WHEN 6 THEN 'ENVELOPE_RUN_ID_MALFORMED' WHEN 7 THEN 'ENVELOPE_STAGE_UNKNOWN' WHEN 8 THEN 'ENVELOPE_PAYLOAD_INVALID' WHEN 9 THEN 'ENVELOPE_TIMESTAMP_MISSING' WHEN 10 THEN 'ENVELOPE_TIMESTAMP_NAIVE' END"
+_CODES = "CASE event_id % 12 WHEN 0 THEN 'ENVELOPE_JSON_INVALID' WHEN 1 THEN 'ENVELOPE_NOT_OBJECT' WHEN 2 THEN 'ENVELOPE_VERSION_MISSING' WHEN 3 THEN 'ENVELOPE_VERSION_UNSUPPORTED' WHEN 4 THEN 'ENVELOPE_FIELD_MISSING' WHEN 5 THEN 'ENVELOPE_FIELD_TOO_LONG' WHEN 6 THEN 'ENVELOPE_RUN_ID_MALFORMED' WHEN 7 THEN 'ENVELOPE_STAGE_UNKNOWN' WHEN 8 THEN 'ENVELOPE_PAYLOAD_INVALID' WHEN 9 THEN 'ENVELOPE_TIMESTAMP_INVALID' WHEN 10 THEN 'ENVELOPE_TIMESTAMP_NAIVE' END"
 _add("envelope_codes", lambda s, d: inputs.view(s, d, "v_envelopes").select("event_id", telemetry.envelope_code(F.col("body")).alias("code")), f"SELECT event_id, {_CODES} AS code FROM v_envelopes")
-_add("envelope_summary", lambda s, d: telemetry.safe_summary(inputs.view(s, d, "v_envelopes").filter("event_id % 12 = 11")), "SELECT 'm' || CAST(event_id AS VARCHAR) AS message_id, 's' AS source_id, 'run-0190a5b2-1c3d-7e4f-8a9b-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS run_id, 'c' AS correlation_id, 'GOLD' AS stage, 7 AS payload_bytes FROM events WHERE event_id % 12 = 11")
+_add("envelope_summary", lambda s, d: telemetry.safe_summary(inputs.view(s, d, "v_envelopes").filter(telemetry.envelope_code(F.col("body")).isNull())), "SELECT 'm' || CAST(event_id AS VARCHAR) AS message_id, 's' AS source_id, 'run-0190a5b2-1c3d-7e4f-8a9b-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS run_id, 'c' AS correlation_id, 'GOLD' AS stage, 7 AS payload_bytes FROM events WHERE event_id % 12 = 11")
 _WIN = "SELECT time_bucket(INTERVAL 15 SECONDS, ts) - i * INTERVAL 15 SECONDS AS start, time_bucket(INTERVAL 15 SECONDS, ts) - i * INTERVAL 15 SECONDS + INTERVAL 5 MINUTES AS \"end\", project, status, latency_ms FROM v_log, range(20) AS r(i)"
 _add("error_ratio_5m", lambda s, d: telemetry.error_ratio(views.request_log(s, d)), f"SELECT start, \"end\", project, count(*) AS requests, round(count(*) FILTER (status >= 500) / CAST(count(*) AS DOUBLE), 4) AS ratio, count(*) FILTER (status >= 500) / CAST(count(*) AS DOUBLE) > 0.05 AS alert FROM ({_WIN}) GROUP BY start, \"end\", project")
 _add("latency_p95_5m", lambda s, d: telemetry.slow_windows(views.request_log(s, d), most_ms=90.0), f"SELECT start, \"end\", project, quantile_disc(latency_ms, 0.95) AS p95_ms, quantile_disc(latency_ms, 0.95) > 90 AS alert FROM ({_WIN}) GROUP BY start, \"end\", project")
@@ -360,11 +366,18 @@ _add("prompt_fingerprints", lambda s, d: reqlog.prompt_fingerprint(s.read.parque
 _add("dataset_listing", lambda s, d: files.listing({n: f(s, d) for n, f in DATASETS.items()}), " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS rows, {len(c)} AS columns FROM {_VIEW_OF[n]}" for n, c in {"production": views.PRODUCTION, "quality": views.QUALITY, "inventory": ["Date", "Product", *views.INVENTORY], "machine": views.MACHINE, "workers": views.WORKERS}.items()))
 _add("column_profile", lambda s, d: files.profile(views.raw_production(s, d)), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{'bigint' if c == 'rid' else 'string'}' AS type, count({c}) AS non_null, count(*) - count({c}) AS nulls FROM v_raw" for c in views.RAW_PRODUCTION))
 _add("fingerprint", lambda s, d: files.fingerprint({n: f(s, d) for n, f in DATASETS.items()}))
-_add("fingerprint_check", lambda s, d: files.verify(files.fingerprint({"a": views.machine(s, d), "b": views.workers(s, d)}), files.fingerprint({"a": views.machine(s, d), "b": views.workers(s, d).limit(5), "c": views.machine(s, d)})), "SELECT 'a' AS dataset, 'ok' AS result UNION ALL SELECT 'b', 'mismatch' UNION ALL SELECT 'c', 'missing'")
-_add("days_covered", lambda s, d: views.production(s, d).select("Date").distinct().exceptAll(gold.oee_daily(views.production(s, d)).select("Date")), "SELECT Date FROM (SELECT DISTINCT Date FROM v_production) EXCEPT SELECT Date FROM g_oee")
+_add("fingerprint_check", lambda s, d: files.verify(files.fingerprint({"a": views.machine(s, d), "b": views.workers(s, d)}), files.fingerprint({"a": views.machine(s, d), "b": views.workers(s, d).withColumn("Units_Produced", F.col("Units_Produced") + 1), "c": views.machine(s, d)})), "SELECT 'a' AS dataset, 'ok' AS result UNION ALL SELECT 'b', 'mismatch' UNION ALL SELECT 'c', 'missing'")
+
+
+def _days(s: SparkSession, d: str) -> DataFrame:
+    silver, curated = views.production(s, d).select("Date", F.lit(True).alias("in_silver")).distinct(), gold.oee_daily(views.production(s, d)).select("Date", F.lit(True).alias("in_gold"))
+    return silver.join(curated, "Date", "full_outer").select("Date", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_silver", "in_gold")])
+
+
+_add("days_covered", _days, "SELECT coalesce(p.Date, g.Date) AS Date, p.Date IS NOT NULL AS in_silver, g.Date IS NOT NULL AS in_gold FROM (SELECT DISTINCT Date FROM v_production) p FULL OUTER JOIN g_oee g ON p.Date = g.Date")
 
 # --- features and models ----------------------------------------------------------------------------
-_add("defect_features", lambda s, d: ml.defect_features(views.production(s, d), views.quality(s, d)), f"SELECT p.Date, p.Line, p.Shift, Target_Qty, Actual_Qty, Reject_Qty, Cycle_Time_sec, Machines, coalesce(Defects, 0) AS Defects, coalesce(Inspected, 0) AS Inspected, coalesce(round(Actual_Qty / CAST(nullif(Target_Qty, 0) AS DOUBLE), 6), 0) AS Achievement, coalesce(round(Reject_Qty / CAST(nullif(Actual_Qty, 0) AS DOUBLE), 6), 0) AS Reject_Rate, coalesce(round(Defects / CAST(nullif(Inspected, 0) AS DOUBLE), 6), 0) AS Defect_Ratio, CASE WHEN coalesce(round(Reject_Qty / CAST(nullif(Actual_Qty, 0) AS DOUBLE), 6), 0) > 0.05 THEN 1 ELSE 0 END AS label FROM (SELECT Date, Line, Shift, {_sum('Target_Qty')} AS Target_Qty, {_sum('Actual_Qty')} AS Actual_Qty, {_sum('Reject_Qty')} AS Reject_Qty, avg(Cycle_Time_sec) AS Cycle_Time_sec, count(DISTINCT Machine_ID) AS Machines FROM v_production GROUP BY ALL) p LEFT JOIN (SELECT Date, Line, {_sum('Defect_Count')} AS Defects, {_sum('Inspected_Qty')} AS Inspected FROM v_quality GROUP BY ALL) q ON p.Date = q.Date AND p.Line = q.Line")
+_add("defect_features", lambda s, d: ml.defect_features(views.production(s, d), views.quality(s, d)), f"SELECT p.Date, p.Line, p.Shift, Target_Qty, Actual_Qty, Good_Qty, Reject_Qty, Cycle_Time_sec, Machines, coalesce(Defects, 0) AS Defects, coalesce(Inspected, 0) AS Inspected, coalesce(Critical_Count, 0) AS Critical_Count, coalesce(round(Actual_Qty / CAST(nullif(Target_Qty, 0) AS DOUBLE), 6), 0) AS Achievement, coalesce(round(Reject_Qty / CAST(nullif(Actual_Qty, 0) AS DOUBLE), 6), 0) AS Reject_Rate, coalesce(round(Defects / CAST(nullif(Inspected, 0) AS DOUBLE), 6), 0) AS Defect_Ratio, CASE WHEN coalesce(round(Reject_Qty / CAST(nullif(Actual_Qty, 0) AS DOUBLE), 6), 0) > 0.05 THEN 1 ELSE 0 END AS label FROM (SELECT Date, Line, Shift, {_sum('Target_Qty')} AS Target_Qty, {_sum('Actual_Qty')} AS Actual_Qty, {_sum('Good_Qty')} AS Good_Qty, {_sum('Reject_Qty')} AS Reject_Qty, avg(Cycle_Time_sec) AS Cycle_Time_sec, count(DISTINCT Machine_ID) AS Machines FROM v_production GROUP BY ALL) p LEFT JOIN (SELECT Date, Line, {_sum('Defect_Count')} AS Defects, {_sum('Inspected_Qty')} AS Inspected, count(*) FILTER (Severity = 'Critical') AS Critical_Count FROM v_quality GROUP BY ALL) q ON p.Date = q.Date AND p.Line = q.Line")
 _add("downtime_features", lambda s, d: ml.downtime_features(views.machine(s, d)), "SELECT Reading, Date, Machine_ID, Line, Temperature_C, Vibration_mm, Power_Usage_pct, Speed_RPM, CAST((dayofweek(Date) + 6) % 7 AS INTEGER) AS Day_Of_Week, CASE WHEN Status = 'Failure' THEN 1 ELSE 0 END AS is_failure, CASE WHEN Downtime_min > 0 THEN 1 ELSE 0 END AS label FROM v_machine")
 
 

@@ -39,9 +39,9 @@ def read_csv(spark: SparkSession, path: str, dataset: str | None = None, dates:
 
 
 def validate_csv(spark: SparkSession, path: str, dataset: str | None = None, as_of: str | None = None) -> DataFrame:
-    """The contract violations of a CSV file, by a hash of the row."""
+    """The contract violations of a CSV file, by a number of the row (within its partition of the file, not a place in it)."""
     df = read_csv(spark, path)
-    return contracts.violations(df.withColumn("row_key", F.xxhash64(*df.columns)), dataset or infer_dataset(path), ["row_key"], as_of)
+    return contracts.violations(df.withColumn("row_key", F.monotonically_increasing_id()), dataset or infer_dataset(path), ["row_key"], as_of)
 
 
 def save_processed(df: DataFrame, folder: str, dataset: str, run_id: str) -> None:
@@ -134,11 +134,14 @@ def verify(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def run_etl(spark: SparkSession, folder: str, out: str, run_id: str, as_of: str | None = None) -> dict[str, DataFrame]:
-    """Raw CSV files to cleaned tables: contracts first, violations into this run's quarantine, the rest cleaned and saved."""
+    """Raw CSV files to cleaned tables: contracts first, violations into this run's quarantine, the rest cleaned and saved.
+
+    Rows get their numbers when they are staged, once, so that equal bad rows stay different ones.
+    """
     done = {}
     for row in discover_files(spark, folder).collect():
-        df = read_csv(spark, row["path"])
-        df = df.withColumn("row_key", F.xxhash64(*df.columns))
+        save_processed(read_csv(spark, row["path"]).withColumn("row_key", F.monotonically_increasing_id()), f"{out}/staged", row["dataset"], run_id)
+        df = spark.read.parquet(f"{out}/staged/{row['dataset']}/run_id={run_id}")
         kept, rejected = contracts.gate(df, row["dataset"], ["row_key"], row["path"], run_id, as_of)
         if rejected is not None:
             write_quarantine(rejected, f"{out}/quarantine")

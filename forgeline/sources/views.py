@@ -51,6 +51,7 @@ INVENTORY_ROWS = {
     "Product": "p_brand",
     "stock": "CASE WHEN l_returnflag = 'N' THEN CAST(floor(l_quantity) AS BIGINT) ELSE CAST(0 AS BIGINT) END",
     "outgoing": "CASE WHEN l_returnflag = 'R' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END",
+    "supplier": "l_suppkey",
     "p_size": "p_size",
     "p_retailprice": "CAST(p_retailprice AS DOUBLE)",
 }
@@ -61,6 +62,7 @@ INVENTORY = {
     "Reorder_Point": "CAST(min(p_size) * 2 AS BIGINT)",
     "Max_Capacity": "CAST(max(p_size) * 10 AS BIGINT)",
     "Unit_Price": "min(p_retailprice)",
+    "Supplier": "'SUP_' || CAST(min(supplier) AS STRING)",
 }
 WORKERS = {
     "Date": "CAST(o_orderdate AS DATE)",

@@ -15,24 +15,24 @@ _IDS = ("message_id", "source_id", "run_id", "correlation_id", "stage")
 
 
 def parsed(df: DataFrame, body: str = "body") -> DataFrame:
-    """JSON bodies as message_id, has_* flags of the mandatory keys, and Speed_RPM as text.
+    """JSON bodies as message_id, has_* flags of the mandatory keys, Speed_RPM as a number, and whether it is one or absent.
 
-    Without id and message_id, the id is the first 16 hex digits of the SHA-256 of the body with its keys in order.
+    Values keep their JSON types: a speed in quotes is no number. Without id and message_id, the id is the first 16 hex
+    digits of the SHA-256 of the message as JSON without white space, its keys in order (of the body, if it isn't JSON).
     """
-    fields = F.from_json(body, "map<string,string>")
-    sorted_json = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("__m"))))
-    out = df.withColumn("__m", fields)
-    mine = lambda k: F.nullif(F.col("__m")[k], F.lit(""))
-    message_id = F.coalesce(mine("id"), mine("message_id"), F.substring(F.sha2(F.coalesce(sorted_json, F.col(body)), 256), 1, 16))
-    keys = F.map_keys("__m")
-    return out.select("*", message_id.alias("message_id"), *[F.coalesce(F.array_contains(keys, k), F.lit(False)).alias(f"has_{k}") for k in ("Machine_ID", "Date", "Line")], F.col("__m")["Speed_RPM"].alias("speed")).drop("__m")
+    out = df.withColumn("__v", F.try_parse_json(body))
+    get = lambda k, kind: F.try_variant_get("__v", f"$.{k}", kind)
+    mine = lambda k: F.nullif(get(k, "string"), F.lit(""))
+    message_id = F.coalesce(mine("id"), mine("message_id"), F.substring(F.sha2(F.coalesce(F.to_json("__v"), F.col(body)), 256), 1, 16))
+    kind = F.schema_of_variant(get("Speed_RPM", "variant"))
+    number = F.coalesce(kind.rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$"), F.lit(True))
+    return out.select("*", message_id.alias("message_id"), *[get(k, "variant").isNotNull().alias(f"has_{k}") for k in ("Machine_ID", "Date", "Line")], F.when(number, get("Speed_RPM", "double")).alias("speed"), number.alias("speed_is_number")).drop("__v")
 
 
 def checked(df: DataFrame) -> DataFrame:
     """Parsed messages with status (accepted, quarantined) and reason."""
     missing = F.array_compact(F.array(*[F.when(~F.col(f"has_{k}"), k) for k in ("Machine_ID", "Date", "Line")]))
-    value = F.col("speed").try_cast("double")
-    bad_speed = F.col("speed").isNotNull() & (value.isNull() | (value < 0))
+    bad_speed = ~F.col("speed_is_number") | F.coalesce(F.col("speed") < 0, F.lit(False))
     reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))).when(bad_speed, "negative or non-numeric speed")
     return df.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("quarantined"))
 
@@ -82,7 +82,7 @@ def envelope_code(body: Column) -> Column:
     v = F.try_parse_json(body)
     get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
     kind = lambda path: F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
-    code = F.when(F.octet_length(body) > MOST_BYTES, "ENVELOPE_TOO_LARGE").when(v.isNull(), "ENVELOPE_JSON_INVALID").when(~F.schema_of_variant(v).startswith("OBJECT"), "ENVELOPE_NOT_OBJECT")
+    code = F.when(~F.is_valid_utf8(body), "ENVELOPE_ENCODING_INVALID").when(F.octet_length(body) > MOST_BYTES, "ENVELOPE_TOO_LARGE").when(v.isNull(), "ENVELOPE_JSON_INVALID").when(~F.schema_of_variant(v).startswith("OBJECT"), "ENVELOPE_NOT_OBJECT")
     code = code.when(F.coalesce(kind("schema_version"), F.lit("")) != "BIGINT", "ENVELOPE_VERSION_MISSING").when(~get("schema_version", "long").isin(*SUPPORTED_VERSIONS), "ENVELOPE_VERSION_UNSUPPORTED")
     for name in _IDS:
         text = get(name, "string")
@@ -90,7 +90,7 @@ def envelope_code(body: Column) -> Column:
     code = code.when(~get("run_id", "string").rlike(RUN_ID), "ENVELOPE_RUN_ID_MALFORMED").when(~get("stage", "string").isin(*STAGES), "ENVELOPE_STAGE_UNKNOWN")
     code = code.when(~F.coalesce(kind("payload"), F.lit("")).startswith("OBJECT"), "ENVELOPE_PAYLOAD_INVALID").when(F.octet_length(F.to_json(F.try_variant_get(v, "$.payload", "variant"))) > MOST_BYTES, "ENVELOPE_PAYLOAD_TOO_LARGE")
     at = get("occurred_at", "string")
-    code = code.when(at.isNull(), "ENVELOPE_TIMESTAMP_MISSING").when(F.try_to_timestamp(at).isNull(), "ENVELOPE_TIMESTAMP_INVALID").when(~at.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), "ENVELOPE_TIMESTAMP_NAIVE")
+    code = code.when(F.try_to_timestamp(at).isNull(), "ENVELOPE_TIMESTAMP_INVALID").when(~at.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), "ENVELOPE_TIMESTAMP_NAIVE")
     return code
 
 
