@@ -5,13 +5,18 @@ whole sets of shingles. At a similarity of 0.8 two 64-bit fingerprints differ in
 short enough to survive that hold a large share of all rows; so documents that agree in one band of MinHashes are
 candidates too. Each is held against one centre of each of its bands first, the member that most others meet in
 bands. Then only pairs of a band that are still in different components are, and of those only pairs whose sizes and whose
-numbers of shingles that no other candidate has leave room for the similarity: in a large group of texts edited each
-in its own way, that leaves out the far ones without a look at their pairs.
+numbers of shingles that no other candidate has leave room for the similarity, and whose parity maps do: one bit for
+each slot of a table of hashes, set if an odd number of a set's shingles falls there. Two maps differ in no more bits
+than their sets differ in shingles, so that a pair beyond the most that the similarity allows needs no further look; in a
+large group of texts edited each in its own way nearly all pairs end there. Sets of over about PARITY shingles fill the
+maps, and fewer of their pairs do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ from forgeline.llm.simhash import links
 WORDS, SIMILAR = 5, 0.8
 #: Bands and MinHashes of each: a pair at 0.8 shares no band once in 190,000 times.
 BANDS, DEPTH = 40, 6
+#: Bits of a parity map.
+PARITY = 2048
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(42)
@@ -72,6 +79,12 @@ def fingerprint(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(found), bitorder="little").tobytes(), "little")
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """The parity map of a set of shingles, 64 bits in each of its numbers; of the empty set all zero."""
+    times = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((times & 1).astype(np.uint8)).view(np.int64)
+
+
 def _mapped(df: DataFrame, key: str, fields: list[T.StructField], each) -> DataFrame:
     """df's `key` with what `each` makes of the shingles of each whole text (null: empty)."""
     schema = T.StructType([df.schema[key], *fields])
@@ -139,7 +152,7 @@ def firsts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     used = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).union(members.select("node")).distinct()
     asked = own.join(used, "node", "left_semi").select("node", F.col("first.__row").alias("__row"))
     texts = asked.join(rows.select("__row", "text"), "__row").select("node", "text")
-    sets = written(_mapped(texts, "node", [_longs("found")], lambda found: (found.view(np.int64),)), "shingles")
+    sets = written(_mapped(texts, "node", [_longs("found"), _longs("parity")], lambda found: (found.view(np.int64), parity(found))), "shingles")
     sure = written(_confirmed(tried, sets, similar), "confirmed")
 
     # only bands with several components count from here on
@@ -156,14 +169,16 @@ def firsts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     room = lambda n, common, other: common * (1 + similar) >= similar * (n + other)  # noqa: E731  (of a node for one of `other` shingles)
     # no partner is smaller than similar * n
     placed = placed.filter(room(F.col("n"), F.col("common"), F.col("n") * similar)).join(nodes.select("node", "bands"), "node")
-    placed = written(placed, "open")
+    placed = written(placed.join(sets.select("node", "parity"), "node"), "open")
 
     # members of a band's largest component need no more pairs among themselves
     main = placed.groupBy("cell", "label").count().groupBy("cell").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).filter("labels > 1")
-    minor = placed.join(main, "cell").filter("label != main").select("cell", *[F.col(c).alias(f"my_{c}") for c in ("node", "n", "label", "common", "bands")], "main")
+    minor = placed.join(main, "cell").filter("label != main").select("cell", *[F.col(c).alias(f"my_{c}") for c in ("node", "n", "label", "common", "bands", "parity")], "main")
     fits = room(F.col("n"), F.col("common"), F.col("my_n")) & room(F.col("my_n"), F.col("my_common"), F.col("n"))
+    differ = reduce(add, [F.bit_count(F.col("parity")[w].bitwiseXOR(F.col("my_parity")[w])) for w in range(PARITY // 64)])
+    alike = differ * (1 + similar) <= (F.col("n") + F.col("my_n")) * (1 - similar) + 1e-6  # sets of this similarity differ in no more shingles
     first_band = F.expr("i = 0 OR NOT exists(sequence(0, greatest(i - 1, 0)), j -> bands[j] = my_bands[j])")  # each pair in the first of its bands only
-    apart = minor.join(placed, "cell").filter((F.col("label") != F.col("my_label")) & near("n", "my_n") & fits & first_band & ((F.col("label") == F.col("main")) | (F.col("my_node") < F.col("node"))))
+    apart = minor.join(placed, "cell").filter((F.col("label") != F.col("my_label")) & near("n", "my_n") & fits & ((F.col("label") == F.col("main")) | (F.col("my_node") < F.col("node"))) & alike & first_band)
     left = written(apart.select(*pair("my_node", "node")).join(tried, ["a", "b"], "left_anti"), "left")
     labels = connected(sure.union(written(_confirmed(left, sets, similar), "confirmed")))
     named = own.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))

@@ -41,6 +41,29 @@ def test_near_copies_are_dropped_and_others_stay(spark, sf):
     assert sorted(r.doc_id for r in cp.dedup_stage(spark, docs, sf).select("doc_id").collect()) == brute(texts)
 
 
+def test_parity_maps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = random.Random(7)
+    for size in (0, 1, 30, 300, 6000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for cut in (0, 1, size // 20, size // 3):
+            a, b = near.shingles(" ".join(words)), near.shingles(" ".join([*words[cut:], *(f"x{rng.randrange(10**6)}" for _ in range(cut))]))
+            bits = int(sum(bin(int(x) & (2**64 - 1)).count("1") for x in near.parity(a) ^ near.parity(b)))
+            assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (cut or not bits)
+
+
+def test_a_group_of_texts_edited_each_in_its_own_way(spark, sf):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 3, 4, 5, 6))):
+            words[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.dedup_stage(spark, docs, sf).select("doc_id").collect()) == brute(texts)
+
+
 def test_documents_as_every_pair_says(spark, sf):
     docs = table(spark, sf, "documents")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
