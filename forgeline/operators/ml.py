@@ -35,7 +35,8 @@ def split(df: DataFrame, key: list[str], share: float = 0.8, seed: int = 42) ->
 def _model(train: DataFrame, texts: list[str], numbers: list[str], classifier) -> PipelineModel:
     index = StringIndexer(inputCols=texts, outputCols=[f"{t}_idx" for t in texts], stringOrderType="alphabetAsc", handleInvalid="keep")
     features = VectorAssembler(inputCols=[*numbers, *[f"{t}_idx" for t in texts]], outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[index, features, classifier]).fit(train)
+    # the copy is without the training summary, which holds the session: tasks could not be sent once that has observed a count
+    return Pipeline(stages=[index, features, classifier]).fit(train).copy()
 
 
 def defect_model(train: DataFrame, trees: int = 100, depth: int = 10, with_rate: bool = True) -> PipelineModel:
