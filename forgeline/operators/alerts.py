@@ -1,4 +1,4 @@
-"""Alert rules over KPI and factory tables. An alert: level, category, message, value, threshold, source."""
+"""Alert rules over KPI and factory tables. An alert: level, category, message, value, threshold, source, timestamp."""
 
 from __future__ import annotations
 
@@ -13,75 +13,81 @@ REJECT_RATE, INVENTORY_MIN, DOWNTIME_MIN, OEE_TARGET = 5.0, 200, 30, 85.0
 ACHIEVEMENT_MIN, TEMPERATURE_MAX, VIBRATION_MAX = 80.0, 85.0, 8.0
 
 
-def _alert(level: Column | str, category: str, message: Column, value: Column | None, threshold: Column | float | None, source: Column | str) -> list[Column]:
+def _alert(when: Column, level: Column | str, category: str, message: Column, value: Column | None, threshold: Column | float | None, source: Column | str) -> Column:
+    """The alert of a row for which `when` holds, else null."""
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     number = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
-    return [text(level).alias("level"), F.lit(category).alias("category"), message.alias("message"), number(value).alias("value"), number(threshold).alias("threshold"), text(source).alias("source")]
+    return F.when(when, F.struct(text(level).alias("level"), F.lit(category).alias("category"), message.alias("message"), number(value).alias("value"), number(threshold).alias("threshold"), text(source).alias("source")))
+
+
+def _raised(df: DataFrame, rules: list[Column]) -> DataFrame:
+    """The alerts of all rules from one pass over df."""
+    return df.select(F.inline(F.array_compact(F.array(*rules))))
 
 
 def one_decimal(c: Column) -> Column:
     return F.round(c, 1).cast("decimal(18,1)").cast("string")
 
 
-def reject_rate(daily: DataFrame) -> DataFrame:
+def reject_rate() -> Column:
     rate = F.col("Reject_Rate_pct")
     level = F.when(rate < REJECT_RATE * 1.5, "WARNING").otherwise("CRITICAL")
-    return latest_row(daily).filter(rate > REJECT_RATE).select(*_alert(level, "Quality", F.concat(F.lit("Reject rate "), one_decimal(rate), F.lit("% exceeds 5.0%")), rate, REJECT_RATE, "Production"))
+    return _alert(rate > REJECT_RATE, level, "Quality", F.concat(F.lit("Reject rate "), one_decimal(rate), F.lit("% exceeds 5.0%")), rate, REJECT_RATE, "Production")
 
 
-def achievement(daily: DataFrame) -> DataFrame:
+def achievement() -> Column:
     rate = F.col("Achievement_Rate_pct")
-    return latest_row(daily).filter(rate < ACHIEVEMENT_MIN).select(*_alert("WARNING", "Production", F.concat(F.lit("Achievement only "), one_decimal(rate), F.lit("%")), rate, ACHIEVEMENT_MIN, "Production"))
+    return _alert(rate < ACHIEVEMENT_MIN, "WARNING", "Production", F.concat(F.lit("Achievement only "), one_decimal(rate), F.lit("%")), rate, ACHIEVEMENT_MIN, "Production")
 
 
-def low_stock(inventory: DataFrame) -> DataFrame:
+def low_stock() -> Column:
     stock = F.col("Stock_Qty")
     level = F.when(stock < INVENTORY_MIN * 0.5, "CRITICAL").otherwise("WARNING")
     message = F.concat(F.lit("Low stock of "), "Product", F.lit(": "), stock.cast("string"), F.lit(" left"))
-    return latest(inventory).filter(stock <= INVENTORY_MIN).select(*_alert(level, "Inventory", message, stock, INVENTORY_MIN, "Inventory"))
+    return _alert(stock <= INVENTORY_MIN, level, "Inventory", message, stock, INVENTORY_MIN, "Inventory")
 
 
-def reorder(inventory: DataFrame) -> DataFrame:
+def reorder() -> Column:
     """At or below the reorder point, unlike the gold table's flag."""
     stock, point = F.col("Stock_Qty"), F.col("Reorder_Point")
     message = F.concat(F.lit("Reorder "), "Product", F.lit(": "), stock.cast("string"), F.lit(" of "), point.cast("string"))
-    return latest(inventory).filter(stock <= point).select(*_alert("WARNING", "Inventory", message, stock, point, "Inventory"))
+    return _alert(stock <= point, "WARNING", "Inventory", message, stock, point, "Inventory")
 
 
-def _machine(df: DataFrame, condition: Column, level: Column | str, message: Column, value: Column | None, threshold: float | None) -> DataFrame:
-    return latest(df).filter(condition).select(*_alert(level, "Machine", F.concat(F.lit("Machine "), F.col("Machine_ID"), F.lit(": "), message), value, threshold, F.concat(F.lit("Machine_"), "Machine_ID")))
+def _machine(condition: Column, level: Column | str, message: Column, value: Column | None, threshold: float | None) -> Column:
+    return _alert(condition, level, "Machine", F.concat(F.lit("Machine "), F.col("Machine_ID"), F.lit(": "), message), value, threshold, F.concat(F.lit("Machine_"), "Machine_ID"))
 
 
-def downtime(machine: DataFrame) -> DataFrame:
+def downtime() -> Column:
     d = F.col("Downtime_min")
-    return _machine(machine, d > DOWNTIME_MIN, F.when(d > DOWNTIME_MIN * 2, "CRITICAL").otherwise("WARNING"), F.concat(d.cast("string"), F.lit(" min down ("), "Status", F.lit(")")), d, DOWNTIME_MIN)
+    return _machine(d > DOWNTIME_MIN, F.when(d > DOWNTIME_MIN * 2, "CRITICAL").otherwise("WARNING"), F.concat(d.cast("string"), F.lit(" min down ("), "Status", F.lit(")")), d, DOWNTIME_MIN)
 
 
-def failure(machine: DataFrame) -> DataFrame:
-    return _machine(machine, F.col("Status") == "Failure", "CRITICAL", F.lit("failure"), None, None)
+def failure() -> Column:
+    return _machine(F.col("Status") == "Failure", "CRITICAL", F.lit("failure"), None, None)
 
 
-def temperature(machine: DataFrame) -> DataFrame:
+def temperature() -> Column:
     t = F.col("Temperature_C")
-    return _machine(machine, (t > TEMPERATURE_MAX) & (F.col("Status") == "Running"), "WARNING", F.concat(F.lit("temperature "), one_decimal(t)), t, TEMPERATURE_MAX)
+    return _machine((t > TEMPERATURE_MAX) & (F.col("Status") == "Running"), "WARNING", F.concat(F.lit("temperature "), one_decimal(t)), t, TEMPERATURE_MAX)
 
 
-def vibration(machine: DataFrame) -> DataFrame:
+def vibration() -> Column:
     v = F.col("Vibration_mm")
-    return _machine(machine, (v > VIBRATION_MAX) & (F.col("Status") == "Running"), "WARNING", F.concat(F.lit("vibration "), one_decimal(v)), v, VIBRATION_MAX)
+    return _machine((v > VIBRATION_MAX) & (F.col("Status") == "Running"), "WARNING", F.concat(F.lit("vibration "), one_decimal(v)), v, VIBRATION_MAX)
 
 
-def low_oee(oee: DataFrame) -> DataFrame:
+def low_oee() -> Column:
     o = F.col("OEE_pct")
-    return latest_row(oee).filter(o < OEE_TARGET).select(*_alert("WARNING", "OEE", F.concat(F.lit("OEE at "), one_decimal(o), F.lit("%")), o, OEE_TARGET, "OEE"))
+    return _alert(o < OEE_TARGET, "WARNING", "OEE", F.concat(F.lit("OEE at "), one_decimal(o), F.lit("%")), o, OEE_TARGET, "OEE")
 
 
-def check_all(daily: DataFrame, inventory: DataFrame, machine: DataFrame, oee: DataFrame) -> DataFrame:
-    """All rules' alerts, in no order; `prioritised` sorts them."""
-    out = reject_rate(daily)
-    for more in (achievement(daily), low_stock(inventory), reorder(inventory), downtime(machine), failure(machine), temperature(machine), vibration(machine), low_oee(oee)):
+def check_all(daily: DataFrame, inventory: DataFrame, machine: DataFrame, oee: DataFrame, at: Column | None = None) -> DataFrame:
+    """All rules' alerts with the time `at` (now, if not given), in no order; `prioritised` sorts them. One pass a table judges all its rules."""
+    out = _raised(latest_row(daily), [reject_rate(), achievement()])
+    for more in (_raised(latest(inventory), [low_stock(), reorder()]), _raised(latest(machine), [downtime(), failure(), temperature(), vibration()]), _raised(latest_row(oee), [low_oee()])):
         out = out.unionByName(more)
-    return out
+    return out.withColumn("timestamp", at if at is not None else F.current_timestamp())
 
 
 def priority(level: Column) -> Column:
@@ -89,8 +95,8 @@ def priority(level: Column) -> Column:
 
 
 def prioritised(alerts: DataFrame, n: int | None = None) -> DataFrame:
-    """CRITICAL before WARNING before INFO, then by category, source and message; the first n if given."""
-    out = alerts.orderBy(priority(F.col("level")), "category", "source", "message")
+    """CRITICAL before WARNING before INFO, then by time, category, source and message; the first n if given."""
+    out = alerts.orderBy(priority(F.col("level")), "timestamp", "category", "source", "message")
     return out if n is None else out.limit(n)
 
 

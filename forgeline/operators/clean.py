@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forgeline.operators.ordered import last_known
+
 # The measures of the five data sets, and the quantities that can't be negative (all, and those of the basic profile).
 MEASURES = [
     "Target_Qty",
@@ -50,13 +52,39 @@ def _kinds(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     return numbers, [c for c, k in kind.items() if k == "string"], [c for c, k in kind.items() if k in ("date", "timestamp", "timestamp_ntz")]
 
 
+#: The relative rank error of the quantiles between which a median is looked for, as its reciprocal, and the groups they are taken by.
+ACCURACY, GROUPS = 10_000, 256
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the exact median of each column as __median_<column>; nulls and NaN don't count, null without any number.
+
+    Approximate quantiles on both sides of the middle are taken by groups of partitions. The median of all rows lies between
+    the least and the greatest of them, so that only values there are counted one by one; all others become two counts a column.
+    """
+    numbers = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])
+    near = [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY]
+    grouped = numbers.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group")).agg(*[F.percentile_approx(c, near, ACCURACY).alias(c) for c in columns])
+    brackets = grouped.agg(*[f(F.col(c)[i]).alias(f"__{i}_{c}") for c in columns for i, f in enumerate((F.min, F.max))])
+    side = lambda c: F.when(F.col(c) < F.col(f"__0_{c}"), -1).when(F.col(c) > F.col(f"__1_{c}"), 1).otherwise(0)
+    cell = lambda i, c: F.struct(F.lit(i).alias("at"), side(c).alias("side"), F.when(side(c) == 0, F.col(c)).alias("value"))
+    cells = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), cell(i, c)) for i, c in enumerate(columns)]))
+    counts = numbers.join(F.broadcast(brackets)).select(F.inline(cells)).groupBy("at", "side", "value").agg(F.count(F.lit(1)).alias("n"))
+    column = Window.partitionBy("at")
+    upto = F.sum("n").over(column.orderBy("side", "value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select("at", F.struct("side", "value").alias("x"), upto.alias("upto"), F.sum("n").over(column).alias("all"))
+    first = lambda rank: F.min(F.when(F.col("upto") > F.floor(rank), F.col("x")))
+    picked = ranked.groupBy("at").agg(first((F.col("all") - 1) / 2).alias("a"), first(F.col("all") / 2).alias("b"))
+    middle = F.when((F.col("a.side") == 0) & (F.col("b.side") == 0), (F.col("a.value") + F.col("b.value")) / 2).otherwise(F.raise_error(F.lit("a median lies outside its bracket")).cast("double"))
+    return picked.select("at", middle.alias("middle")).agg(*[F.max(F.when(F.col("at") == i, F.col("middle"))).alias(f"__median_{c}") for i, c in enumerate(columns)])
+
+
 def fill_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Null numbers become the column's exact median: one aggregate over all columns, whose one row is sent to all tasks."""
+    """Null numbers become the column's exact median (`medians`), whose one row is sent to all tasks."""
     columns = columns if columns is not None else _kinds(df)[0]
     if not columns:
         return df
-    medians = df.agg(*[F.median(c).alias(f"__median_{c}") for c in columns])
-    filled = df.join(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}")) for c in columns})
+    filled = df.join(F.broadcast(medians(df, columns))).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}")) for c in columns})
     return filled.drop(*[f"__median_{c}" for c in columns])
 
 
@@ -66,9 +94,8 @@ def fill_unknown(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def fill_forward(df: DataFrame, columns: list[str], order: list[str], group: list[str] = ()) -> DataFrame:
-    """Null dates take the last value before them in `order`, within `group`; without a group one task sorts all rows."""
-    frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(frame) for c in columns})
+    """Null dates take the last value before them in `order`, within `group` or, without one, in all rows; in pieces (`ordered`)."""
+    return last_known(df, list(group), order, columns)
 
 
 def parse_dates(df: DataFrame) -> DataFrame:

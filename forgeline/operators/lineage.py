@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgeline.sources.scratch import cut
+
 ZONES = ("RAW", "SILVER", "GOLD", "MART")
 _GOLD = ("gold_oee_daily", "gold_quality_daily", "gold_inventory_snapshot", "gold_machine_health")
 #: The catalog of this library's own tables: name, zone, owner, source, consumers, freshness in hours.
@@ -39,12 +41,12 @@ def downstream(edges: DataFrame, name: str) -> DataFrame:
 
 
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(ancestor, descendant) of all paths. Each round doubles the length of the paths, until no pair is new."""
-    pairs = edges.select(F.col("source_dataset").alias("ancestor"), F.col("target_dataset").alias("descendant")).distinct()
+    """(ancestor, descendant) of all paths. Each round doubles the length of the paths, until no pair is new; each is written once."""
+    pairs = cut(edges.select(F.col("source_dataset").alias("ancestor"), F.col("target_dataset").alias("descendant")).distinct())
     known = pairs.count()
     for _ in range(most_rounds):
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant")
-        pairs = pairs.union(longer).distinct().checkpoint() if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else pairs.union(longer).distinct()
+        pairs = cut(pairs.union(longer).distinct())
         now = pairs.count()
         if now == known:
             return pairs
@@ -52,12 +54,24 @@ def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise ValueError(f"paths longer than 2^{most_rounds}")
 
 
-def ancestors(edges: DataFrame, name: str) -> DataFrame:
-    return closure(edges).filter(F.col("descendant") == name).select(F.col("ancestor").alias("dataset"))
+def _walk(edges: DataFrame, name: str, start: str, end: str, most_rounds: int) -> DataFrame:
+    """What can be reached from `name`, a step a round; only the tables found last meet the edges. `name` itself only on a cycle."""
+    pairs = edges.select(F.col(start).alias("here"), F.col(end).alias("dataset"))
+    last = found = cut(pairs.filter(F.col("here") == name).select("dataset").distinct())
+    for _ in range(most_rounds):
+        if last.isEmpty():
+            return found
+        last = cut(pairs.join(last.withColumnRenamed("dataset", "here"), "here").select("dataset").distinct().join(found, "dataset", "left_anti"))
+        found = found.union(last)
+    raise ValueError(f"paths longer than {most_rounds}")
+
+
+def ancestors(edges: DataFrame, name: str, most_rounds: int = 1024) -> DataFrame:
+    return _walk(edges, name, "target_dataset", "source_dataset", most_rounds)
 
 
-def descendants(edges: DataFrame, name: str) -> DataFrame:
-    return closure(edges).filter(F.col("ancestor") == name).select(F.col("descendant").alias("dataset"))
+def descendants(edges: DataFrame, name: str, most_rounds: int = 1024) -> DataFrame:
+    return _walk(edges, name, "source_dataset", "target_dataset", most_rounds)
 
 
 def cycles(edges: DataFrame) -> DataFrame:

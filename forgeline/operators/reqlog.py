@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forgeline.operators.ordered import running_sum
+
 # Histogram bounds in seconds, and the price of a million tokens in dollars.
 BUCKETS = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]
 USD_A_MILLION = 10.0
@@ -17,10 +19,9 @@ def _at(fraction: float) -> Column:
 
 
 def positional(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Positional quantiles by key. The values are counted by key and value first, so that equal ones cross the shuffle once."""
+    """Positional quantiles by key. Values are counted by key and value first, and the counts added up in pieces (`ordered`)."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("*", F.sum("c").over(upto).alias("upto"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    ranked = running_sum(counts, keys, [value], "c", "upto", "n")
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > _at(q), F.col(value))).alias(name) for name, q in fractions.items()])
 
 
@@ -69,10 +70,9 @@ def estimated_tokens(prompt: Column, completion: Column) -> Column:
 
 
 def quota_usage(log: DataFrame, quota: int) -> DataFrame:
-    """Tokens used so far by project and UTC day, before and with each request, and whether it is over the quota."""
-    so_far = Window.partitionBy("project", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Tokens used so far by project and UTC day, before and with each request, and whether it is over the quota; in pieces (`ordered`)."""
     used = log.select("event_id", "project", F.to_date("ts").alias("day"), "ts", estimated_tokens(F.col("prompt_chars"), F.col("completion_chars")).alias("tokens"))
-    return used.withColumn("used", F.sum("tokens").over(so_far)).select("event_id", "project", "day", "tokens", "used", (F.col("used") > quota).alias("over_quota"))
+    return running_sum(used, ["project", "day"], ["ts", "event_id"], "tokens", "used").select("event_id", "project", "day", "tokens", "used", (F.col("used") > quota).alias("over_quota"))
 
 
 def prompt_fingerprint(df: DataFrame, text: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Short tables of ledger, lineage and process rows, and telemetry bodies, all derived from the given tables."""
+"""Tables of ledger, lineage and process rows, and telemetry bodies, all derived from the given tables."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ SQL = {
     "v_ledger": "SELECT 'run_' || CAST(user_id AS STRING) AS run_id, 'stage_0' AS stage, CASE max(event_id) % 5 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'RUNNING' WHEN 3 THEN 'FAILED' ELSE 'RETRYABLE' END AS status, max(CAST(ts AS TIMESTAMP)) AS lease_until FROM events GROUP BY user_id HAVING user_id % 3 <> 0",
     "v_deliveries": "SELECT CAST(event_id AS STRING) AS message_id, 'run_' || CAST(user_id AS STRING) AS run_id, 'stage_0' AS stage, CASE WHEN event_id % 41 = 0 THEN 'ENVELOPE_JSON_INVALID' END AS error_code FROM events",
     "v_failures": "SELECT CAST(event_id AS STRING) AS message_id, CASE event_id % 4 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'ValueError' WHEN 2 THEN 'OperationalError' ELSE 'KeyError' END AS error_code, CAST(1 + event_id % 7 AS INT) AS attempt FROM events WHERE event_type = 'error'",
-    "v_edges": "SELECT DISTINCT 'n' || CAST(l_suppkey % 40 AS STRING) AS source_dataset, 'n' || CAST(l_suppkey % 40 + 1 + l_partkey % 3 AS STRING) AS target_dataset, 't' || CAST(l_linenumber % 2 AS STRING) AS transform FROM lineitem WHERE l_suppkey % 40 < 30",
-    "v_process": "SELECT n_name AS process, CASE n_regionkey % 2 WHEN 0 THEN 'Quality' ELSE 'Production' END AS department, CAST(20 + 3 * n_nationkey AS DOUBLE) AS before_min, CAST(5 + n_nationkey AS DOUBLE) AS after_min, CAST(1 + n_nationkey % 5 AS INT) AS frequency_per_week, CAST(10 + n_nationkey AS DOUBLE) AS cost_per_hour FROM nation",
+    # each order of a customer is made into the next one (t1) and the one after that (t2)
+    "v_edges": "SELECT 'n' || CAST(o_orderkey AS STRING) AS source_dataset, 'n' || CAST(made AS STRING) AS target_dataset, 't' || CAST(step AS STRING) AS transform FROM ("
+    + " UNION ALL ".join(f"SELECT o_orderkey, {k} AS step, lead(o_orderkey, {k}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS made FROM orders" for k in (1, 2))
+    + ") AS chains WHERE made IS NOT NULL",
+    "v_process": "SELECT 'p' || CAST(s_suppkey AS STRING) AS process, CASE s_nationkey % 2 WHEN 0 THEN 'Quality' ELSE 'Production' END AS department, CAST(20 + 3 * (s_suppkey % 25) AS DOUBLE) AS before_min, CAST(5 + s_suppkey % 25 AS DOUBLE) AS after_min, CAST(1 + s_suppkey % 5 AS INT) AS frequency_per_week, CAST(10 + s_suppkey % 25 AS DOUBLE) AS cost_per_hour FROM supplier",
     "v_rules": "SELECT 'run_' || CAST(user_id % 300 AS STRING) AS run_id, CASE WHEN event_id % 997 = 0 THEN NULL ELSE value > 3 END AS passed, event_id % 4 = 0 AS blocking, CASE WHEN event_id % 31 = 0 THEN 'CRITICAL' WHEN event_id % 5 = 0 THEN 'WARNING' ELSE 'NONE' END AS severity FROM events",
     "v_requests": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'fast' WHEN 1 THEN 'my-model' WHEN 2 THEN '' WHEN 3 THEN 'AUTO' WHEN 4 THEN 'Reasoning' ELSE NULL END AS model, CASE WHEN event_id % 11 = 0 THEN 'embed' WHEN event_id % 13 = 0 THEN 'nothing' END AS task, event_id % 5 = 0 AS has_image FROM events",
     "v_claims": "SELECT event_id AS claim_id, 'ds:' || CAST(user_id % 50 AS STRING) AS a, 'ds:' || CAST(event_id % 70 AS STRING) AS b FROM events",
@@ -43,7 +46,7 @@ SQL["v_envelopes"] = (
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of one of the SQL texts, over the given Parquet files."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "lineitem", "nation")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders", "supplier")}
     text = SQL[name]
     for t, df in tables.items():
         if f"FROM {t}" in text:

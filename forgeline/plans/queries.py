@@ -84,7 +84,8 @@ STEPS = {
     "d_oee": "SELECT * FROM k_oee ORDER BY Date DESC NULLS LAST LIMIT 1",
     "d_mach": "SELECT * FROM v_machine WHERE Date = (SELECT max(Date) FROM v_machine)",
     "d_inv": "SELECT * FROM v_inventory WHERE Date = (SELECT max(Date) FROM v_inventory)",
-    "a_all": """
+    "a_all": f"SELECT *, TIMESTAMP '{NOW}' AS \"timestamp\" FROM a_rules",
+    "a_rules": """
 SELECT CASE WHEN Reject_Rate_pct < 7.5 THEN 'WARNING' ELSE 'CRITICAL' END AS level, 'Quality' AS category, 'Reject rate ' || CAST(CAST(round(Reject_Rate_pct, 1) AS DECIMAL(18,1)) AS VARCHAR) || '% exceeds 5.0%' AS message, Reject_Rate_pct AS value, 5e0 AS threshold, 'Production' AS source FROM d_day WHERE Reject_Rate_pct > 5
 UNION ALL SELECT 'WARNING', 'Production', 'Achievement only ' || CAST(CAST(round(Achievement_Rate_pct, 1) AS DECIMAL(18,1)) AS VARCHAR) || '%', Achievement_Rate_pct, 80e0, 'Production' FROM d_day WHERE Achievement_Rate_pct < 80
 UNION ALL SELECT CASE WHEN Stock_Qty < 100 THEN 'CRITICAL' ELSE 'WARNING' END, 'Inventory', 'Low stock of ' || Product || ': ' || CAST(Stock_Qty AS VARCHAR) || ' left', Stock_Qty, 200e0, 'Inventory' FROM d_inv WHERE Stock_Qty <= 200
@@ -94,7 +95,7 @@ UNION ALL SELECT 'CRITICAL', 'Machine', 'Machine ' || Machine_ID || ': failure',
 UNION ALL SELECT 'WARNING', 'Machine', 'Machine ' || Machine_ID || ': temperature ' || CAST(CAST(round(Temperature_C, 1) AS DECIMAL(18,1)) AS VARCHAR), Temperature_C, 85e0, 'Machine_' || Machine_ID FROM d_mach WHERE Temperature_C > 85 AND Status = 'Running'
 UNION ALL SELECT 'WARNING', 'Machine', 'Machine ' || Machine_ID || ': vibration ' || CAST(CAST(round(Vibration_mm, 1) AS DECIMAL(18,1)) AS VARCHAR), Vibration_mm, 8e0, 'Machine_' || Machine_ID FROM d_mach WHERE Vibration_mm > 8 AND Status = 'Running'
 UNION ALL SELECT 'WARNING', 'OEE', 'OEE at ' || CAST(CAST(round(OEE_pct, 1) AS DECIMAL(18,1)) AS VARCHAR) || '%', OEE_pct, 85e0, 'OEE' FROM d_oee WHERE OEE_pct < 85""",
-    "a_first": "SELECT * FROM a_all ORDER BY CASE level WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'INFO' THEN 2 ELSE 3 END, category, source, message LIMIT 5",
+    "a_first": "SELECT * FROM a_all ORDER BY CASE level WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'INFO' THEN 2 ELSE 3 END, \"timestamp\", category, source, message LIMIT 5",
     "w_abc": "SELECT Product, round(Stock_Qty * Unit_Price, 2) AS Stock_Value, round(sum(round(Stock_Qty * Unit_Price, 2)) OVER (ORDER BY round(Stock_Qty * Unit_Price, 2) DESC, Product ROWS UNBOUNDED PRECEDING) * 100e0 / sum(round(Stock_Qty * Unit_Price, 2)) OVER (), 2) AS Cumulative_pct FROM d_inv",
     "w_abc2": "SELECT *, CASE WHEN Cumulative_pct <= 70 THEN 'A' WHEN Cumulative_pct <= 90 THEN 'B' ELSE 'C' END AS Class FROM w_abc",
     "l_tok": "SELECT event_id, project, CAST(ts AS DATE) AS day, CAST(greatest(1, floor(prompt_chars / 4)) + greatest(0, floor(completion_chars / 4)) AS BIGINT) AS tokens, ts FROM v_log",
@@ -253,7 +254,7 @@ _add("process_upsert", lambda s, d: dashboard.upsert(inputs.view(s, d, "v_proces
 
 # --- alerts and report ------------------------------------------------------------------------------
 def _alerts(s: SparkSession, d: str) -> DataFrame:
-    return alerts.check_all(kpi.daily_production(views.production(s, d)), views.inventory(s, d), views.machine(s, d), _oee(s, d))
+    return alerts.check_all(kpi.daily_production(views.production(s, d)), views.inventory(s, d), views.machine(s, d), _oee(s, d), F.lit(NOW).cast("timestamp"))
 
 
 _add("alerts", _alerts, "SELECT * FROM a_all")
@@ -297,8 +298,11 @@ _add("lineage_downstream", lambda s, d: lineage.downstream(inputs.view(s, d, "v_
 _add("lineage_closure", lambda s, d: lineage.closure(inputs.view(s, d, "v_edges")), "SELECT * FROM t_clos")
 _add("lineage_ancestors", lambda s, d: lineage.ancestors(inputs.view(s, d, "v_edges"), "n20"), "SELECT ancestor AS dataset FROM t_clos WHERE descendant = 'n20'")
 _add("lineage_descendants", lambda s, d: lineage.descendants(inputs.view(s, d, "v_edges"), "n20"), "SELECT descendant AS dataset FROM t_clos WHERE ancestor = 'n20'")
-_BACK = "SELECT source_dataset, target_dataset FROM v_edges UNION SELECT 'n12', 'n10'"
-_add("lineage_cycles", lambda s, d: lineage.cycles(inputs.view(s, d, "v_edges").select("source_dataset", "target_dataset").union(s.sql("SELECT 'n12', 'n10'"))), f"SELECT DISTINCT a AS dataset FROM (WITH RECURSIVE b AS ({_BACK}), c AS (SELECT source_dataset AS a, target_dataset AS z FROM b UNION SELECT c.a, b.target_dataset FROM c JOIN b ON c.z = b.source_dataset) SELECT a FROM c WHERE a = z)")
+#: Every tenth customer's last order leads back to the first one.
+_RETURN = "SELECT 'n' || CAST(max_by(o_orderkey, k) AS STRING) AS source_dataset, 'n' || CAST(min_by(o_orderkey, k) AS STRING) AS target_dataset FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) AS ranked WHERE o_custkey % 10 = 0 GROUP BY o_custkey HAVING count(*) > 1"
+inputs.SQL["v_return"] = _RETURN
+_BACK = "SELECT source_dataset, target_dataset FROM v_edges UNION SELECT source_dataset, target_dataset FROM v_return"
+_add("lineage_cycles", lambda s, d: lineage.cycles(inputs.view(s, d, "v_edges").select("source_dataset", "target_dataset").union(inputs.view(s, d, "v_return"))), f"SELECT DISTINCT a AS dataset FROM (WITH RECURSIVE b AS ({_BACK}), c AS (SELECT source_dataset AS a, target_dataset AS z FROM b UNION SELECT c.a, b.target_dataset FROM c JOIN b ON c.z = b.source_dataset) SELECT a FROM c WHERE a = z)")
 
 
 def _catalog(s: SparkSession, d: str) -> DataFrame:

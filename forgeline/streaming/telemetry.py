@@ -59,20 +59,33 @@ def distinct_stream(df: DataFrame, event_time: str, delay: str) -> DataFrame:
     return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def start_ingest(stream: DataFrame, out: str, checkpoint: str, run_id: str) -> StreamingQuery:
-    """Writes each micro-batch's accepted and quarantined messages and its manifest.
+def start_ingest(stream: DataFrame, out: str, checkpoint: str, run_id: str, order: list[str] | None = None) -> StreamingQuery:
+    """Writes each micro-batch's accepted, quarantined and (with `order`) repeated messages and its manifest.
 
-    Every batch overwrites its own folder, so that a batch run again after a failure leaves the same tables.
+    With `order` an id's first message in the batch counts, unless an earlier batch had the id; all others are kept as
+    duplicate_skipped. The ids of a batch are written beside it; of earlier ones only those that the batch has are joined.
+    Every batch overwrites its own folders, so that a batch run again after a failure leaves the same tables.
     """
 
+    def judged(batch: DataFrame, batch_id: int) -> DataFrame:
+        earlier = None
+        if batch_id > 0:
+            ids = batch.sparkSession.read.schema("message_id string, batch long").parquet(f"{out}/ids").filter(F.col("batch") < batch_id)
+            earlier = ids.join(batch.select("message_id").distinct(), "message_id", "left_semi").select("message_id")
+        return with_duplicates(batch, order, earlier)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        source = batch.persist()
+        kept = judged(source, batch_id).persist() if order else source
         try:
-            for status in ("accepted", "quarantined"):
+            for status in ("accepted", "quarantined", *(["duplicate_skipped"] if order else [])):
                 kept.filter(F.col("status") == status).write.mode("overwrite").parquet(f"{out}/{status}/batch={batch_id}")
             manifest(kept, f"{run_id}-{batch_id}").write.mode("overwrite").parquet(f"{out}/manifest/batch={batch_id}")
+            if order:
+                kept.filter("status != 'duplicate_skipped'").select("message_id").write.mode("overwrite").parquet(f"{out}/ids/batch={batch_id}")
         finally:
             kept.unpersist()
+            source.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

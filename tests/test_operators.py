@@ -277,6 +277,17 @@ def test_telemetry_stream(spark, tmp_path):
     assert tuple(total) == (1, 2)
 
 
+def test_stream_reports_duplicates(spark, tmp_path):
+    rows = [(f"2024-01-01 00:0{i}:00", b) for i, b in enumerate(BODIES)]
+    for part in (rows[:3], rows[3:], rows[:2]):
+        spark.createDataFrame(part, "at string, body string").selectExpr("CAST(at AS TIMESTAMP) AS at", "body").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("at timestamp, body string").parquet(f"{tmp_path}/in")
+        telemetry.start_ingest(telemetry.checked(telemetry.parsed(stream)), f"{tmp_path}/out", f"{tmp_path}/checkpoint", "r", ["at"]).awaitTermination()
+    counts = [tuple(r)[1:4] for r in spark.read.parquet(f"{tmp_path}/out/manifest").orderBy("batch").drop("checksum").collect()]
+    assert counts == [(1, 1, 1), (0, 2, 1), (0, 0, 2)]
+    assert spark.read.parquet(f"{tmp_path}/out/duplicate_skipped").count() == 4
+
+
 def test_window_alerts_on_a_stream(spark, sf, tmp_path):
     log = views.request_log(spark, sf).select("ts", "project", "status", "latency_ms")
     log.write.parquet(f"{tmp_path}/log")
