@@ -67,9 +67,9 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     grouped = numbers.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group")).agg(*[F.percentile_approx(c, near, ACCURACY).alias(c) for c in columns])
     brackets = grouped.agg(*[f(F.col(c)[i]).alias(f"__{i}_{c}") for c in columns for i, f in enumerate((F.min, F.max))])
     side = lambda c: F.when(F.col(c) < F.col(f"__0_{c}"), -1).when(F.col(c) > F.col(f"__1_{c}"), 1).otherwise(0)
-    cell = lambda i, c: F.struct(F.lit(i).alias("at"), side(c).alias("side"), F.when(side(c) == 0, F.col(c)).alias("value"))
-    cells = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), cell(i, c)) for i, c in enumerate(columns)]))
-    counts = numbers.join(F.broadcast(brackets)).select(F.inline(cells)).groupBy("at", "side", "value").agg(F.count(F.lit(1)).alias("n"))
+    cell = lambda i, c: F.struct(F.when(F.col(c).isNotNull(), i).alias("at"), side(c).alias("side"), F.when(side(c) == 0, F.col(c)).alias("value"))
+    cells = F.array(*[cell(i, c) for i, c in enumerate(columns)])
+    counts = numbers.join(F.broadcast(brackets)).select(F.inline(cells)).filter("at IS NOT NULL").groupBy("at", "side", "value").agg(F.count(F.lit(1)).alias("n"))
     column = Window.partitionBy("at")
     upto = F.sum("n").over(column.orderBy("side", "value").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.select("at", F.struct("side", "value").alias("x"), upto.alias("upto"), F.sum("n").over(column).alias("all"))

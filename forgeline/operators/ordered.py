@@ -24,19 +24,24 @@ def _place(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def _doubles(values: list[float]) -> Column:
+    """A constant array, from one text: a literal for each value would be as many calls of the JVM."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def in_pieces(df: DataFrame, order: list[str], pieces: int = PIECES) -> DataFrame:
     """df with `__piece`, which never falls along `order`: between which quantiles the first column lies.
 
     One pass finds the quantiles, whose number is fixed. Rows that are equal in the first column stay in one piece.
     """
     place = _place(df, order[0])
-    found = df.select(place.alias("p")).agg(F.percentile_approx("p", [i / pieces for i in range(1, pieces)], 10 * pieces)).first()[0]
+    found = df.select(place.alias("p")).agg(F.percentile_approx("p", _doubles([i / pieces for i in range(1, pieces)]), 10 * pieces)).first()[0]
     cuts = sorted({x for x in found or [] if x == x})
     if not cuts:
         return df.withColumn("__piece", F.lit(0))
     least = lambda values: F.coalesce(F.size(F.filter(values, lambda x: x <= place)), F.lit(0))
-    whole = least(F.lit(cuts[_STEP - 1 :: _STEP])) * _STEP if len(cuts) >= _STEP else F.lit(0)
-    return df.withColumn("__whole", whole).withColumn("__piece", F.col("__whole") + least(F.slice(F.lit(cuts), F.col("__whole") + 1, _STEP))).drop("__whole")
+    whole = least(_doubles(cuts[_STEP - 1 :: _STEP])) * _STEP if len(cuts) >= _STEP else F.lit(0)
+    return df.withColumn("__whole", whole).withColumn("__piece", F.col("__whole") + least(F.slice(_doubles(cuts), F.col("__whole") + 1, _STEP))).drop("__whole")
 
 
 def _with_heads(cut: DataFrame, heads: DataFrame) -> DataFrame:

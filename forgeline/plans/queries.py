@@ -293,11 +293,11 @@ _add("spec_global_count", lambda s, d: spec.execute({"frame": "inventory_kpi", "
 
 # --- lineage and ledger -----------------------------------------------------------------------------
 _add("lineage_edges", lambda s, d: lineage.clean_edges(inputs.view(s, d, "v_edges")), "SELECT DISTINCT * FROM v_edges WHERE source_dataset <> target_dataset")
-_add("lineage_upstream", lambda s, d: lineage.upstream(inputs.view(s, d, "v_edges"), "n20"), "SELECT DISTINCT source_dataset AS dataset FROM v_edges WHERE target_dataset = 'n20'")
-_add("lineage_downstream", lambda s, d: lineage.downstream(inputs.view(s, d, "v_edges"), "n20"), "SELECT DISTINCT target_dataset AS dataset FROM v_edges WHERE source_dataset = 'n20'")
+_add("lineage_upstream", lambda s, d: lineage.upstream(inputs.view(s, d, "v_edges"), "n22"), "SELECT DISTINCT source_dataset AS dataset FROM v_edges WHERE target_dataset = 'n22'")
+_add("lineage_downstream", lambda s, d: lineage.downstream(inputs.view(s, d, "v_edges"), "n22"), "SELECT DISTINCT target_dataset AS dataset FROM v_edges WHERE source_dataset = 'n22'")
 _add("lineage_closure", lambda s, d: lineage.closure(inputs.view(s, d, "v_edges")), "SELECT * FROM t_clos")
-_add("lineage_ancestors", lambda s, d: lineage.ancestors(inputs.view(s, d, "v_edges"), "n20"), "SELECT ancestor AS dataset FROM t_clos WHERE descendant = 'n20'")
-_add("lineage_descendants", lambda s, d: lineage.descendants(inputs.view(s, d, "v_edges"), "n20"), "SELECT descendant AS dataset FROM t_clos WHERE ancestor = 'n20'")
+_add("lineage_ancestors", lambda s, d: lineage.ancestors(inputs.view(s, d, "v_edges"), "n22"), "SELECT ancestor AS dataset FROM t_clos WHERE descendant = 'n22'")
+_add("lineage_descendants", lambda s, d: lineage.descendants(inputs.view(s, d, "v_edges"), "n22"), "SELECT descendant AS dataset FROM t_clos WHERE ancestor = 'n22'")
 #: Every tenth customer's last order leads back to the first one.
 _RETURN = "SELECT 'n' || CAST(max_by(o_orderkey, k) AS STRING) AS source_dataset, 'n' || CAST(min_by(o_orderkey, k) AS STRING) AS target_dataset FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) AS ranked WHERE o_custkey % 10 = 0 GROUP BY o_custkey HAVING count(*) > 1"
 inputs.SQL["v_return"] = _RETURN
