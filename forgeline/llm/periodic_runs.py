@@ -11,10 +11,12 @@ period, where fragments that overlap are stitched into whole runs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +43,17 @@ def octaves(n: int, least: int = LEAST_LENGTH, exponent: int = LEAST_EXPONENT) -
     A run of period q has max(least - q, (exponent - 1) * q) places or more that equal the place q later; the step is the largest
     power of two that no period of the octave undercuts.
     """
+    return [o for o in _all_octaves(least, exponent) if o[0] * exponent <= n] if n >= least else []
+
+
+@lru_cache(maxsize=16)
+def _all_octaves(least: int, exponent: int) -> tuple[tuple[int, int, int], ...]:
     out, lo, hi = [], 1, 8
-    while lo * exponent <= n and n >= least:
+    while hi < 1 << 40:
         fewest = min(max(least - q, (exponent - 1) * q) for q in range(lo, min(hi, lo + least)))
         out.append((lo, hi, 1 << (fewest.bit_length() - 1)))
         lo, hi = hi, hi * 2
-    return out
+    return tuple(out)
 
 
 def tiles(n: int, tile: int, least: int = LEAST_LENGTH, exponent: int = LEAST_EXPONENT) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -94,12 +101,17 @@ def solve(words: np.ndarray, n: int, group: list[tuple[int, int, int]], start: i
     `words` are those from `start` on; boundaries lie in first..last-1. Only stretches that are long enough for a run, or that a tile's limit cuts, are given.
     """
     pad = 2 * group[-1][2] + group[-1][1] + 1
-    padded = np.concatenate([np.full(pad, -2, np.int64), words, np.full(pad, -1, np.int64)])
+    padded = np.full(len(words) + 2 * pad, -1, np.int32)
+    padded[:pad] = -2
+    padded[pad : pad + len(words)] = words
     open_tiles: list[tuple[int, int]] = []
     for index, (lo, hi, step) in enumerate(group):
         at = np.arange(-(-first // step) * step, last, step) - start + pad
         periods = np.arange(lo, min(hi, n // exponent + 1))
-        rows, columns = np.nonzero(padded[at][:, None] == padded[at[:, None] + periods])
+        if not len(at):
+            continue
+        later = as_strided(padded[at[0] + lo :], (len(at), len(periods)), (step * padded.itemsize, padded.itemsize), writeable=False)
+        rows, columns = (later == padded[at][:, None]).nonzero()
         most = min(step, 16)
         kept = np.zeros(len(at), bool)
         for a in range(0, len(rows), 1 << 16):
@@ -136,8 +148,9 @@ def stitched(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def word_ids(text: str) -> np.ndarray:
     """The words of a text, equal words having equal numbers."""
-    seen: dict[bytes, int] = {}
-    return np.array([seen.setdefault(w, len(seen)) for w in text.encode().split()], np.int32)
+    words = text.encode().split()
+    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
 def _exploded(rows: Iterator[tuple[bytes, str]], tile: int, least: int, exponent: int) -> Iterator[tuple]:
