@@ -155,10 +155,14 @@ def _scan(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def moments(symbols: list[int]) -> list[tuple[float, float]]:
-    """For each encoding the sums of squares and cubes of its symbols' shares in ordinary text; without any of them those of equal shares."""
+    """For each encoding the sums of squares and cubes of its symbols' shares in ordinary text; without any of them those of equal shares.
+
+    Where an alphabet has letters of one case only, those of the other case count for them: words in capitals have the letters of words.
+    """
     out = []
     for alphabet in _ALPHABETS:
-        counts = np.array([symbols[ord(c)] for c in alphabet], dtype=float)
+        both = [{c, *({c.swapcase()} - set(alphabet))} for c in alphabet]
+        counts = np.array([sum(symbols[ord(x)] for x in xs) for xs in both], dtype=float)
         share = counts / counts.sum() if counts.sum() else np.full(len(alphabet), 1 / len(alphabet))
         out.append((float((share**2).sum()), float((share**3).sum())))
     return out
