@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.sources.scratch import cut
+from forgeline.operators import graph
 
 ZONES = ("RAW", "SILVER", "GOLD", "MART")
 _GOLD = ("gold_oee_daily", "gold_quality_daily", "gold_inventory_snapshot", "gold_machine_health")
@@ -40,43 +40,28 @@ def downstream(edges: DataFrame, name: str) -> DataFrame:
     return edges.filter(F.col("source_dataset") == name).select(F.col("target_dataset").alias("dataset")).distinct()
 
 
-def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(ancestor, descendant) of all paths. Each round doubles the length of the paths, until no pair is new; each is written once."""
-    pairs = cut(edges.select(F.col("source_dataset").alias("ancestor"), F.col("target_dataset").alias("descendant")).distinct())
-    known = pairs.count()
-    for _ in range(most_rounds):
-        longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant")
-        pairs = cut(pairs.union(longer).distinct())
-        now = pairs.count()
-        if now == known:
-            return pairs
-        known = now
-    raise ValueError(f"paths longer than 2^{most_rounds}")
+def _graph(edges: DataFrame, start: str = "source_dataset", end: str = "target_dataset") -> DataFrame:
+    return edges.select(F.col(start).alias("a"), F.col(end).alias("b"))
 
 
-def _walk(edges: DataFrame, name: str, start: str, end: str, most_rounds: int) -> DataFrame:
-    """What can be reached from `name`, a step a round; only the tables found last meet the edges. `name` itself only on a cycle."""
-    pairs = edges.select(F.col(start).alias("here"), F.col(end).alias("dataset"))
-    last = found = cut(pairs.filter(F.col("here") == name).select("dataset").distinct())
-    for _ in range(most_rounds):
-        if last.isEmpty():
-            return found
-        last = cut(pairs.join(last.withColumnRenamed("dataset", "here"), "here").select("dataset").distinct().join(found, "dataset", "left_anti"))
-        found = found.union(last)
-    raise ValueError(f"paths longer than {most_rounds}")
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant) of all paths, whatever their length; a table is its own ancestor only on a cycle."""
+    return graph.closure(_graph(edges)).select(F.col("a").alias("ancestor"), F.col("b").alias("descendant"))
 
 
-def ancestors(edges: DataFrame, name: str, most_rounds: int = 1024) -> DataFrame:
-    return _walk(edges, name, "target_dataset", "source_dataset", most_rounds)
+def ancestors(edges: DataFrame, name: str) -> DataFrame:
+    """What `name` is made from, directly or not; `name` itself only on a cycle."""
+    return graph.reachable(_graph(edges, "target_dataset", "source_dataset"), name).select(F.col("node").alias("dataset"))
 
 
-def descendants(edges: DataFrame, name: str, most_rounds: int = 1024) -> DataFrame:
-    return _walk(edges, name, "source_dataset", "target_dataset", most_rounds)
+def descendants(edges: DataFrame, name: str) -> DataFrame:
+    """What is made from `name`, directly or not; `name` itself only on a cycle."""
+    return graph.reachable(_graph(edges), name).select(F.col("node").alias("dataset"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """Tables that lie on a cycle."""
-    return closure(edges).filter("ancestor = descendant").select(F.col("ancestor").alias("dataset"))
+    """(dataset, cycle): tables that lie on a cycle; those on a common one, which each can be made from, have the same `cycle`."""
+    return graph.components_on_cycles(_graph(edges)).select(F.col("node").alias("dataset"), F.col("component").alias("cycle"))
 
 
 def catalog_problems(catalog: DataFrame) -> DataFrame:

@@ -302,7 +302,7 @@ _add("lineage_descendants", lambda s, d: lineage.descendants(inputs.view(s, d, "
 _RETURN = "SELECT 'n' || CAST(max_by(o_orderkey, k) AS STRING) AS source_dataset, 'n' || CAST(min_by(o_orderkey, k) AS STRING) AS target_dataset FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) AS ranked WHERE o_custkey % 10 = 0 GROUP BY o_custkey HAVING count(*) > 1"
 inputs.SQL["v_return"] = _RETURN
 _BACK = "SELECT source_dataset, target_dataset FROM v_edges UNION SELECT source_dataset, target_dataset FROM v_return"
-_add("lineage_cycles", lambda s, d: lineage.cycles(inputs.view(s, d, "v_edges").select("source_dataset", "target_dataset").union(inputs.view(s, d, "v_return"))), f"SELECT DISTINCT a AS dataset FROM (WITH RECURSIVE b AS ({_BACK}), c AS (SELECT source_dataset AS a, target_dataset AS z FROM b UNION SELECT c.a, b.target_dataset FROM c JOIN b ON c.z = b.source_dataset) SELECT a FROM c WHERE a = z)")
+_add("lineage_cycles", lambda s, d: lineage.cycles(inputs.view(s, d, "v_edges").select("source_dataset", "target_dataset").union(inputs.view(s, d, "v_return"))).select("dataset"), f"SELECT DISTINCT a AS dataset FROM (WITH RECURSIVE b AS ({_BACK}), c AS (SELECT source_dataset AS a, target_dataset AS z FROM b UNION SELECT c.a, b.target_dataset FROM c JOIN b ON c.z = b.source_dataset) SELECT a FROM c WHERE a = z)")
 
 
 def _catalog(s: SparkSession, d: str) -> DataFrame:
