@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeline.operators.ordered import last_known
+from forgeline.operators.ranks import values_at
+from forgeline.sources.scratch import cut
 
 # The measures of the five data sets, and the quantities that can't be negative (all, and those of the basic profile).
 MEASURES = [
@@ -52,40 +54,30 @@ def _kinds(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     return numbers, [c for c, k in kind.items() if k == "string"], [c for c, k in kind.items() if k in ("date", "timestamp", "timestamp_ntz")]
 
 
-#: The relative rank error of the quantiles between which a median is looked for, as its reciprocal, and the groups they are taken by.
-ACCURACY, GROUPS = 10_000, 256
-
-
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the exact median of each column as __median_<column>; nulls and NaN don't count, null without any number.
 
-    Approximate quantiles on both sides of the middle are taken by groups of partitions. The median of all rows lies between
-    the least and the greatest of them, so that only values there are counted one by one; all others become two counts a column.
+    The two middle values are found by radix selection (`ranks`), which sorts nothing.
     """
-    numbers = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])
-    near = [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY]
-    grouped = numbers.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group")).agg(*[F.percentile_approx(c, near, ACCURACY).alias(c) for c in columns])
-    brackets = grouped.agg(*[f(F.col(c)[i]).alias(f"__{i}_{c}") for c in columns for i, f in enumerate((F.min, F.max))])
-    side = lambda c: F.when(F.col(c) < F.col(f"__0_{c}"), -1).when(F.col(c) > F.col(f"__1_{c}"), 1).otherwise(0)
-    cell = lambda i, c: F.struct(F.when(F.col(c).isNotNull(), i).alias("at"), side(c).alias("side"), F.when(side(c) == 0, F.col(c)).alias("value"))
-    cells = F.array(*[cell(i, c) for i, c in enumerate(columns)])
-    counts = numbers.join(F.broadcast(brackets)).select(F.inline(cells)).filter("at IS NOT NULL").groupBy("at", "side", "value").agg(F.count(F.lit(1)).alias("n"))
-    column = Window.partitionBy("at")
-    upto = F.sum("n").over(column.orderBy("side", "value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select("at", F.struct("side", "value").alias("x"), upto.alias("upto"), F.sum("n").over(column).alias("all"))
-    first = lambda rank: F.min(F.when(F.col("upto") > F.floor(rank), F.col("x")))
-    picked = ranked.groupBy("at").agg(first((F.col("all") - 1) / 2).alias("a"), first(F.col("all") / 2).alias("b"))
-    middle = F.when((F.col("a.side") == 0) & (F.col("b.side") == 0), (F.col("a.value") + F.col("b.value")) / 2).otherwise(F.raise_error(F.lit("a median lies outside its bracket")).cast("double"))
-    return picked.select("at", middle.alias("middle")).agg(*[F.max(F.when(F.col("at") == i, F.col("middle"))).alias(f"__median_{c}") for i, c in enumerate(columns)])
+    found = values_at(df, [], columns, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)})
+    return found.agg(*[F.max(F.when(F.col("at") == i, (F.col("low") + F.col("high")) / 2)).alias(f"__median_{c}") for i, c in enumerate(columns)])
 
 
 def fill_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Null numbers become the column's exact median (`medians`), whose one row is sent to all tasks."""
+    """Null and NaN numbers become the column's exact median (`medians`), where it has one; NaN without one becomes null.
+
+    A column of a whole-number type keeps its type and values if it has no nulls (a key, most often); with nulls it
+    becomes a double, as a median may lie between two numbers. df is read twice; `clean` writes it first.
+    """
     columns = columns if columns is not None else _kinds(df)[0]
+    whole = [c for c in columns if df.schema[c].dataType.typeName() in ("integer", "long", "short", "byte")]
+    if whole:
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in whole]).first()
+        columns = [c for c in columns if c not in whole or nulls[c]]
     if not columns:
         return df
-    filled = df.join(F.broadcast(medians(df, columns))).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}")) for c in columns})
-    return filled.drop(*[f"__median_{c}" for c in columns])
+    found = medians(df, columns).first()
+    return df.withColumns({c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))), F.lit(found[f"__median_{c}"]).cast("double")) for c in columns})
 
 
 def fill_unknown(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -118,11 +110,12 @@ def clip_negative(df: DataFrame, columns: list[str] = QUANTITIES) -> DataFrame:
 def clean(df: DataFrame, profile: str = "full", order: list[str] | None = None) -> DataFrame:
     """The whole chain. The basic profile neither coerces nor trims and clips fewer columns; no rows stay no rows.
 
-    Dates that are null in columns of a date type take the last one before them in `order`, if an order is given.
+    Dates that are null in columns of a date type take the last one before them in `order`, if an order is given. The rows
+    without duplicates are written once, to the checkpoint folder; all later steps read them there.
     """
     if profile == "basic":
-        return clip_negative(parse_dates(fill_unknown(fill_median(dedup_exact(df)))), BASIC_QUANTITIES)
-    out = fill_median(dedup_exact(coerce(df)))
+        return clip_negative(parse_dates(fill_unknown(fill_median(cut(dedup_exact(df))))), BASIC_QUANTITIES)
+    out = fill_median(cut(dedup_exact(coerce(df))))
     if order and _kinds(df)[2]:
         out = fill_forward(out, _kinds(df)[2], order)
     return clip_negative(standardize_text(parse_dates(fill_unknown(out, [c for c in _kinds(df)[1] if c not in MEASURES and "date" not in c.lower()]))))

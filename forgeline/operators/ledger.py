@@ -13,10 +13,10 @@ MOST_ATTEMPTS = 5
 
 def canonical_attempts(attempts: DataFrame) -> DataFrame:
     """One row a run and stage: the first success if there is any, else the last attempt; with the number of attempts."""
-    w = Window.partitionBy("run_id", "stage")
-    first_success = F.min(F.when(F.col("status") == "SUCCEEDED", F.col("attempt"))).over(w)
-    chosen = attempts.withColumn("chosen", F.coalesce(first_success, F.max("attempt").over(w))).withColumn("attempt_count", F.count(F.lit(1)).over(w))
-    return chosen.filter("attempt = chosen").select("run_id", "stage", "attempt", "status", "attempt_count")
+    attempt = F.struct("attempt", "status")
+    chosen = F.coalesce(F.min(F.when(F.col("status") == "SUCCEEDED", attempt)), F.max(attempt))
+    found = attempts.groupBy("run_id", "stage").agg(chosen.alias("x"), F.count(F.lit(1)).alias("attempt_count"))
+    return found.select("run_id", "stage", "x.attempt", "x.status", "attempt_count")
 
 
 def illegal_transitions(history: DataFrame) -> DataFrame:

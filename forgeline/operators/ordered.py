@@ -2,79 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Into how many pieces of about equal size all rows are cut by the first column of their order.
-PIECES = 1024
-_STEP = 32
+from forgeline.sources.scratch import cut
 
+def in_pieces(df: DataFrame, order: list[str], pieces: int | None = None) -> DataFrame:
+    """df with `__piece`, which never falls along `order`, and `__tie`, which tells apart rows that are equal in all of it.
 
-def _place(df: DataFrame, c: str) -> Column:
-    """A double that never falls as the column rises; null for null."""
-    kind = df.schema[c].dataType.typeName()
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if kind == "timestamp_ntz":
-        return (F.unix_date(F.col(c).cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))).cast("double")
-    return F.col(c).cast("double")
-
-
-def _doubles(values: list[float]) -> Column:
-    """A constant array, from one text: a literal for each value would be as many calls of the JVM."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-def in_pieces(df: DataFrame, order: list[str], pieces: int = PIECES) -> DataFrame:
-    """df with `__piece`, which never falls along `order`: between which quantiles the first column lies.
-
-    One pass finds the quantiles, whose number is fixed. Rows that are equal in the first column stay in one piece.
+    Spark's range partitioning cuts the whole order, its ties among them, into pieces of about equal size, as many as there are shuffle
+    partitions. The rows are written with their piece to the checkpoint folder, so that it stays the same wherever they are read.
     """
-    place = _place(df, order[0])
-    found = df.select(place.alias("p")).agg(F.percentile_approx("p", _doubles([i / pieces for i in range(1, pieces)]), 10 * pieces)).first()[0]
-    cuts = sorted({x for x in found or [] if x == x})
-    if not cuts:
-        return df.withColumn("__piece", F.lit(0))
-    least = lambda values: F.coalesce(F.size(F.filter(values, lambda x: x <= place)), F.lit(0))
-    whole = least(_doubles(cuts[_STEP - 1 :: _STEP])) * _STEP if len(cuts) >= _STEP else F.lit(0)
-    return df.withColumn("__whole", whole).withColumn("__piece", F.col("__whole") + least(F.slice(_doubles(cuts), F.col("__whole") + 1, _STEP))).drop("__whole")
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = df.withColumn("__tie", F.monotonically_increasing_id())
+    return cut(told.repartitionByRange(pieces, *order, "__tie").withColumn("__piece", F.spark_partition_id()))
 
 
-def _with_heads(cut: DataFrame, heads: DataFrame) -> DataFrame:
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """The rows (__own 1) and before each piece of each key the row that carries what came before it (__own 0)."""
-    return cut.withColumn("__own", F.lit(1)).unionByName(heads.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    return rows.withColumn("__own", F.lit(1)).unionByName(heads.withColumn("__own", F.lit(0)), allowMissingColumns=True)
 
 
 def _inside(keys: list[str], order: list[str]) -> Window:
-    return Window.partitionBy(*keys, "__piece").orderBy("__own", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy(*keys, "__piece").orderBy("__own", *order, "__tie").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _earlier(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, total: str | None = None, pieces: int = PIECES) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, total: str | None = None, pieces: int | None = None) -> DataFrame:
     """df with the sum of `value` up to each row of its key in `order`, and over the whole key as `total`.
 
-    Sums by piece are carried over by a window over `pieces` rows a key at most; rows are sorted by key and piece only.
+    The pieces cut the order of keys and then `order`, so that a key has few of them unless it is large. Sums by piece are carried over by a window
+    over the pieces of a key; rows are sorted by key and piece only, and rows that tie follow each other as they were read.
     Null values count as 0; null keys are a key. Without rows there are none.
     """
-    cut = in_pieces(df, order, pieces).withColumn("__v", F.coalesce(F.col(value), F.lit(0)))
-    sums = cut.groupBy(*keys, "__piece").agg(F.sum("__v").alias("__sum"))
+    rows = in_pieces(df, [*keys, *order], pieces).withColumn("__v", F.coalesce(F.col(value), F.lit(0)))
+    sums = rows.groupBy(*keys, "__piece").agg(F.sum("__v").alias("__sum"))
     heads = sums.select(*keys, "__piece", F.coalesce(F.sum("__sum").over(_earlier(keys)), F.lit(0)).alias("__v"), F.sum("__sum").over(Window.partitionBy(*keys)).alias("__all"))
-    out = _with_heads(cut, heads).withColumn(name, F.sum("__v").over(_inside(keys, order)))
+    out = _with_heads(rows, heads).withColumn(name, F.sum("__v").over(_inside(keys, order)))
     if total:
         out = out.withColumn(total, F.first("__all").over(_inside(keys, order)))
-    return out.filter("__own = 1").drop("__own", "__piece", "__v", "__all")
+    return out.filter("__own = 1").drop("__own", "__piece", "__tie", "__v", "__all")
 
 
-def last_known(df: DataFrame, keys: list[str], order: list[str], columns: list[str], pieces: int = PIECES) -> DataFrame:
-    """df, where nulls of `columns` take the last value before them in their key. Rows that tie in `order` follow each other in any order."""
-    cut = in_pieces(df, order, pieces)
-    lasts = cut.groupBy(*keys, "__piece").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns])
+def last_known(df: DataFrame, keys: list[str], order: list[str], columns: list[str], pieces: int | None = None) -> DataFrame:
+    """df, where nulls of `columns` take the last value before them in their key. Rows that tie in `order` follow each other as they were read."""
+    rows = in_pieces(df, [*keys, *order], pieces)
+    lasts = rows.groupBy(*keys, "__piece").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, "__tie"))).alias(c) for c in columns])
     heads = lasts.select(*keys, "__piece", *[F.last(c, ignorenulls=True).over(_earlier(keys)).alias(c) for c in columns])
-    return _with_heads(cut, heads).withColumns({c: F.last(c, ignorenulls=True).over(_inside(keys, order)) for c in columns}).filter("__own = 1").drop("__own", "__piece")
+    return _with_heads(rows, heads).withColumns({c: F.last(c, ignorenulls=True).over(_inside(keys, order)) for c in columns}).filter("__own = 1").drop("__own", "__piece", "__tie")

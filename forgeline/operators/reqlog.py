@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeline.operators.ordered import running_sum
+from forgeline.operators.ranks import values_at
 
 # Histogram bounds in seconds, and the price of a million tokens in dollars.
 BUCKETS = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]
@@ -13,16 +14,10 @@ USD_A_MILLION = 10.0
 GENERIC_MODELS = ("fast", "reasoning", "general", "default", "auto")
 
 
-def _at(fraction: float) -> Column:
-    """The element at floor(n * fraction) of the sorted values (from 0): a position, no interpolation."""
-    return F.floor(F.col("n") * fraction)
-
-
 def positional(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Positional quantiles by key. Values are counted by key and value first, and the counts added up in pieces (`ordered`)."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_sum(counts, keys, [value], "c", "upto", "n")
-    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > _at(q), F.col(value))).alias(name) for name, q in fractions.items()])
+    """By key the values at floor(n * fraction) of the sorted order, from 0: positions, no interpolation; by radix selection (`ranks`)."""
+    found = values_at(df, keys, [value], {name: lambda n, q=q: F.floor(n * q) for name, q in fractions.items()})
+    return found.select(*keys, *fractions)
 
 
 def is_error() -> Column:

@@ -167,7 +167,7 @@ _add("clip_negative", lambda s, d: clean.clip_negative(clean.coerce(views.raw_pr
 _add("clip_negative_counts", lambda s, d: clean.clip_negative(views.quality(s, d).select("Date", "Line", (F.col("Defect_Count") - 5).alias("Defect_Count"), (F.col("Inspected_Qty") - 120).alias("Inspected_Qty"))), "SELECT Date, Line, greatest(Defect_Count - 5, 0) AS Defect_Count, greatest(Inspected_Qty - 120, 0) AS Inspected_Qty FROM v_quality")
 _add("clip_negative_units", lambda s, d: clean.clip_negative(views.workers(s, d).select("Date", "Worker_ID", (F.col("Units_Produced") - 150).alias("Units_Produced"), (F.col("Defects_Caused") - 3).alias("Defects_Caused"))), "SELECT Date, Worker_ID, greatest(Units_Produced - 150, 0) AS Units_Produced, Defects_Caused - 3 AS Defects_Caused FROM v_workers")
 _CLEAN = "SELECT rid, try_cast(Date AS DATE) AS Date, " + ", ".join(f"trim(coalesce({c}, 'Unknown_{c}')) AS {c}" for c in ["Line", "Shift", "Product", "Machine_ID", "Worker_ID"]) + ", " + ", ".join(f"CASE WHEN coalesce({c}, (SELECT median({c}) FROM x_once)) < 0 THEN 0 ELSE coalesce({c}, (SELECT median({c}) FROM x_once)) END AS {c}" for c in _NUM[:4]) + ", coalesce(Cycle_Time_sec, (SELECT median(Cycle_Time_sec) FROM x_once)) AS Cycle_Time_sec FROM x_once"
-_add("clean_production", lambda s, d: clean.clean(views.raw_production(s, d)).withColumn("rid", F.col("rid").cast("long")), _CLEAN)
+_add("clean_production", lambda s, d: clean.clean(views.raw_production(s, d)), _CLEAN)
 _add("clean_basic", lambda s, d: clean.clean(clean.coerce(views.production(s, d)).select("Date", "Line", "Target_Qty", "Actual_Qty"), "basic"), "SELECT DISTINCT Date, Line, CAST(Target_Qty AS DOUBLE) AS Target_Qty, CAST(Actual_Qty AS DOUBLE) AS Actual_Qty FROM v_production")
 _add("safe_cells", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", safe_cell(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), "text")).otherwise(F.col("text"))).alias("cell")), "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ''' =' || text WHEN regexp_matches(text, '^[ \\t]*[=+@-]') THEN '''' || text ELSE text END AS cell FROM documents")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from forgeline.operators import alerts, clean, lineage, ml, ordered
+from forgeline.operators import alerts, clean, lineage, ml, ordered, ranks
 from forgeline.operators.clean import medians
 
 
@@ -19,7 +19,7 @@ def rows(n: int, seed: int = 1):
     return [(r.choice(["hot", "hot", "a", None]), i, r.choice([None, r.randrange(-5, 50)])) for i in range(n)]
 
 
-@pytest.mark.parametrize("pieces", [2, 50, 1024])
+@pytest.mark.parametrize("pieces", [2, 13])
 @pytest.mark.parametrize("kind", ["long", "double", "string", "date", "timestamp", "timestamp_ntz"])
 def test_running_sum_and_last_known(spark, kind, pieces):
     at = {"string": "lpad(cast(i AS string), 5, '0')", "date": "date_add(DATE'2024-01-01', cast(i AS int))"}.get(kind)
@@ -35,20 +35,27 @@ def test_running_sum_and_last_known(spark, kind, pieces):
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
 
 
-def test_pieces_are_many_and_in_order(spark):
-    df = ordered.in_pieces(spark.range(10_000).withColumn("x", F.col("id") * F.col("id")), ["x"])
-    parts = df.groupBy("__piece").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("__piece").collect()
-    assert len(parts) > 1000 and max(p.n for p in parts) < 40
+@pytest.mark.parametrize("first", ["id * id", "7", "concat('the same long prefix of every name ', lpad(id, 6, '0'))", "timestamp'2024-01-01'"])
+def test_pieces_follow_the_whole_order_and_are_alike_in_size(spark, first):
+    df = ordered.in_pieces(spark.range(0, 20_000, 1, 6).withColumn("x", F.expr(first)).withColumn("y", F.expr("id % 5")), ["x", "y"], 16)
+    parts = df.groupBy("__piece").agg(F.min(F.struct("x", "y", "__tie")).alias("a"), F.max(F.struct("x", "y", "__tie")).alias("b"), F.count(F.lit(1)).alias("n")).orderBy("__piece").collect()
+    assert len(parts) == 16 and max(p.n for p in parts) < 1.5 * 20_000 / 16
     assert all(p.b < q.a for p, q in zip(parts, parts[1:], strict=False))
 
 
+def test_running_sum_of_one_timestamp(spark):
+    df = spark.range(2000).select(F.lit("k").alias("k"), F.expr("timestamp'2024-01-01'").alias("at"), "id", F.lit(1).alias("v"))
+    got = ordered.running_sum(df, ["k"], ["at"], "v", "s", "n", 7)
+    assert sorted(r.s for r in got.collect()) == list(range(1, 2001)) and got.filter("n != 2000").isEmpty()
+    assert {r.s for r in got.filter("id = 0").collect()} == {1}
+
+
 def test_no_rows_and_no_keys(spark):
     df = spark.createDataFrame(rows(60), "k string, i long, v int")
     assert ordered.running_sum(df.filter("false"), ["k"], ["i"], "v", "s").count() == 0
     assert ordered.last_known(df.filter("false"), ["k"], ["i"], ["v"]).count() == 0
     assert ordered.running_sum(df, [], ["i"], "v", "s").agg(F.max_by("s", "i")).first()[0] == sum(r[2] or 0 for r in rows(60))
-    everything = ordered.in_pieces(df.withColumn("i", F.lit(None).cast("long")), ["i"])
-    assert {r[0] for r in everything.select("__piece").collect()} == {0}
+    assert ordered.running_sum(df.withColumn("i", F.lit(None).cast("long")), ["k"], ["i"], "v", "s").count() == 60
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 5000])
@@ -66,6 +73,43 @@ def test_medians_of_sorted_partitions(spark):
     assert medians(df, ["x"]).first()[0] == 4999.0
 
 
+def test_sort_keys_rise_as_doubles_do(spark):
+    import struct
+
+    r = random.Random(3)
+    values = [struct.unpack("<d", r.randbytes(8))[0] for _ in range(3000)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+    values += [s * 2.0**e * f for e in range(-1070, 1024, 7) for f in (1.0, 1 + 2**-52, 1 - 2**-53) for s in (1, -1)]
+    values = [v for v in values if v == v]
+    bits = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", ranks.sort_key(F.col("x")).alias("k"))
+    assert all(row.k == bits(row.x) for row in df.collect())
+
+
+def test_medians_among_many_close_values(spark):
+    n = 300_000
+    df = spark.range(0, n, 1, 8).select((1e9 + F.col("id") * 2.0**-20).alias("close"), F.when(F.col("id") % 3 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("zero"), F.when(F.col("id") < n // 2 + 1, float("nan")).otherwise(F.col("id") % 2).alias("ties"), F.lit(None).cast("double").alias("none"))
+    got = medians(df, ["close", "zero", "ties", "none"]).first()
+    assert list(got) == [1e9 + (n - 1) / 2 * 2.0**-20, 0.0, statistics.median(i % 2 for i in range(n // 2 + 1, n)), None]
+    plan = medians(df, ["close"])._jdf.queryExecution().executedPlan().toString()
+    assert "value ASC" not in plan.split("Scan")[0]
+
+
+def test_positions_by_key(spark):
+    df = spark.createDataFrame(rows(900), "k string, i long, v int")
+    got = {r.k: r for r in ranks.values_at(df, ["k"], ["v"], {"first": lambda n: F.lit(0), "q": lambda n: F.floor(n * 0.9), "last": lambda n: n - 1}).collect()}
+    for k in {r[0] for r in rows(900)}:
+        values = sorted(r[2] for r in rows(900) if r[0] == k and r[2] is not None)
+        assert (got[k].n, got[k].first, got[k].q, got[k].last) == (len(values), values[0], values[int(len(values) * 0.9)], values[-1])
+
+
+def test_whole_keys_stay_as_they_are(spark):
+    df = spark.createDataFrame([(9007199254740993, 1, 2.0), (9007199254740992, None, None), (5, 4, 4.0)], "key long, n int, x double")
+    out = clean.clean(df)
+    assert out.schema["key"].dataType.typeName() == "long" and {r.key for r in out.collect()} == {9007199254740993, 9007199254740992, 5}
+    assert {(r.n, r.x) for r in out.filter("key = 9007199254740992").collect()} == {(2.5, 3.0)}
+
+
 def test_split_keeps_shares_of_labels(spark):
     df = spark.range(3000).withColumn("label", (F.col("id") % 100 == 0).cast("int"))
     train, test = ml.split(df, ["id"])
