@@ -44,6 +44,11 @@ def checked(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def with_dates(df: DataFrame, dataset: str) -> DataFrame:
+    """The dated rows of a data set that has the required columns; an error if it lacks one or no row's Date parses."""
+    return checked(dated(required(df, dataset)), f"{dataset} (rows whose Date parses)")
+
+
 def latest(df: DataFrame) -> DataFrame:
     """Rows of the last date: one aggregate, sent to every task, and a filter."""
     last = df.agg(F.max("Date").alias("__last"))
@@ -56,7 +61,7 @@ def _pct(num: Column, den: Column) -> Column:
 
 def oee_daily(df: DataFrame) -> DataFrame:
     """Availability is 100 by definition here; without a Shift column, rows count as shifts."""
-    df = dated(required(df, "production"))
+    df = with_dates(df, "production")
     shifts = F.count_distinct("Shift") if "Shift" in df.columns else F.count(F.lit(1))
     out = df.groupBy("Date").agg(
         F.sum("Target_Qty").alias("Total_Target"),
@@ -73,7 +78,7 @@ def oee_daily(df: DataFrame) -> DataFrame:
 
 def quality_daily(df: DataFrame, severities: tuple[str, ...] = SEVERITIES) -> DataFrame:
     """Defects of each severity in a column of its own, all others in Defects_Other; one pass, no pivot job."""
-    df = dated(required(df, "quality"))
+    df = with_dates(df, "quality")
     by = [F.sum(F.when(F.col("Severity") == s, F.col("Defect_Count")).otherwise(0)).alias(f"Defects_{s}") for s in severities]
     other = F.sum(F.when(~F.coalesce(F.col("Severity").isin(*severities), F.lit(False)), F.col("Defect_Count")).otherwise(0)).alias("Defects_Other")
     out = df.groupBy("Date").agg(
@@ -91,14 +96,14 @@ def quality_daily(df: DataFrame, severities: tuple[str, ...] = SEVERITIES) -> Da
 
 def inventory_snapshot(df: DataFrame) -> DataFrame:
     """The last date's stock, by product. Below reorder means strictly below here."""
-    df = latest(dated(required(df, "inventory")))
+    df = latest(with_dates(df, "inventory"))
     pct = _pct(F.col("Stock_Qty"), F.col("Max_Capacity"))
     out = df.select("*", F.round(F.col("Stock_Qty") * F.col("Unit_Price"), 2).alias("Stock_Value"), (F.col("Stock_Qty") < F.col("Reorder_Point")).alias("Below_Reorder"), pct.alias("Capacity_pct"), F.col("Date").alias("Snapshot_Date"))
     return out.withColumn("Stock_Status", stock_status(F.col("Stock_Qty"), F.col("Reorder_Point"), F.col("Capacity_pct"))).orderBy("Product")
 
 
 def machine_health(df: DataFrame, down_values: tuple[str, ...] = ("DOWN",)) -> DataFrame:
-    df = dated(required(df, "machine"))
+    df = with_dates(df, "machine")
     out = df.groupBy("Date").agg(
         F.count_distinct("Machine_ID").alias("Machines"),
         F.round(F.avg("Temperature_C"), 2).alias("Avg_Temperature"),

@@ -332,7 +332,7 @@ def _messages(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("telemetry_status", lambda s, d: _messages(s, d).select("event_id", "message_id", "status", "reason"), "SELECT * FROM m_done")
-_add("telemetry_manifest", lambda s, d: telemetry.manifest(_messages(s, d), "run-1").drop("checksum"), "SELECT 'run-1' AS run_id, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'duplicate_skipped') AS duplicate_skipped FROM m_done")
+_add("telemetry_manifest", lambda s, d: telemetry.manifest(_messages(s, d), "run-1", "ts"), "SELECT 'run-1' AS run_id, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'duplicate_skipped') AS duplicate_skipped, (SELECT min(ts) FROM v_messages) AS started_at, (SELECT max(ts) FROM v_messages) AS completed_at, count(*) || '-' || " + " || '-' || ".join(f"CAST(sum(CAST(('0x' || substr(sha256(message_id || chr(31) || status), {i}, 16)) AS UBIGINT)::HUGEINT) AS VARCHAR)" for i in (1, 17)) + " AS checksum FROM m_done")
 _add("telemetry_known_ids", lambda s, d: telemetry.with_duplicates(telemetry.checked(telemetry.parsed(inputs.view(s, d, "v_messages"))), ["event_id"], inputs.view(s, d, "v_messages").filter("event_id % 4 = 1").select(F.col("event_id").cast("string").alias("message_id"))).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN status = 'duplicate_skipped' OR message_id IN (SELECT CAST(event_id AS VARCHAR) FROM v_messages WHERE event_id % 4 = 1) THEN 'duplicate_skipped' ELSE status END AS status, count(*) AS n FROM m_done GROUP BY 1")
 _CODES = "CASE event_id % 12 WHEN 0 THEN 'ENVELOPE_JSON_INVALID' WHEN 1 THEN 'ENVELOPE_NOT_OBJECT' WHEN 2 THEN 'ENVELOPE_VERSION_MISSING' WHEN 3 THEN 'ENVELOPE_VERSION_UNSUPPORTED' WHEN 4 THEN 'ENVELOPE_FIELD_MISSING' WHEN 5 THEN 'ENVELOPE_FIELD_TOO_LONG' WHEN 6 THEN 'ENVELOPE_RUN_ID_MALFORMED' WHEN 7 THEN 'ENVELOPE_STAGE_UNKNOWN' WHEN 8 THEN 'ENVELOPE_PAYLOAD_INVALID' WHEN 9 THEN 'ENVELOPE_TIMESTAMP_INVALID' WHEN 10 THEN 'ENVELOPE_TIMESTAMP_NAIVE' END"
 _add("envelope_codes", lambda s, d: inputs.view(s, d, "v_envelopes").select("event_id", telemetry.envelope_code(F.col("body")).alias("code")), f"SELECT event_id, {_CODES} AS code FROM v_envelopes")

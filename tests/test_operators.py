@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +290,61 @@ def test_stream_reports_duplicates(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/duplicate_skipped").count() == 4
 
 
+def _arrive(spark, folder, rows):
+    spark.createDataFrame(rows, "at string, body string").selectExpr("CAST(at AS TIMESTAMP) AS at", "body").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("at timestamp, body string").parquet(f"{folder}/in")
+    return telemetry.checked(telemetry.parsed(stream))
+
+
+def _body(name):
+    return '{"id":"%s","Machine_ID":"m","Date":"d","Line":"l"}' % name
+
+
+def test_repeats_are_kept_and_their_state_goes(spark, tmp_path):
+    """Late messages are kept as they come; ids that don't come again leave the state, and count as new after that."""
+    early, late = "2024-01-01 00:00:00", "2020-01-01 00:00:00"
+    state = []
+    for rows, wait in (([(early, _body(f"i{k}")) for k in range(30)] + [(early, _body("i1"))], 4), ([(late, _body("i2")), (late, _body("new"))], 0), ([(early, _body("i2"))], 0)):
+        query = telemetry.start_ingest(_arrive(spark, tmp_path, rows), f"{tmp_path}/out", f"{tmp_path}/checkpoint", "r", ["at"], retention_s=1.0 if wait else 2000.0, at="at")
+        query.awaitTermination()
+        state.append([p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]][-1])
+        time.sleep(wait)
+    assert state == [30, 2, 2]
+    manifests = spark.read.parquet(f"{tmp_path}/out/manifest").orderBy("batch").collect()
+    assert [(m.accepted, m.duplicate_skipped) for m in manifests][0] == (30, 1)
+    assert sum(m.accepted for m in manifests) == 32 and sum(m.duplicate_skipped for m in manifests) == 2 and not (tmp_path / "out/ids").exists()
+    kept = spark.read.parquet(f"{tmp_path}/out/accepted").unionByName(spark.read.parquet(f"{tmp_path}/out/duplicate_skipped"))
+    assert kept.count() == 34 and kept.filter("year(at) = 2020").count() == 2
+
+
+def test_a_run_in_another_runs_folder_is_reported(spark, tmp_path):
+    telemetry.start_ingest(_arrive(spark, tmp_path / "a", [("2024-01-01 00:00:00", _body("a"))]), f"{tmp_path}/out", f"{tmp_path}/c1", "r").awaitTermination()
+    before = spark.read.parquet(f"{tmp_path}/out/accepted").collect()
+    telemetry.start_ingest(_arrive(spark, tmp_path / "a", []), f"{tmp_path}/out", f"{tmp_path}/c3", "r").awaitTermination()  # the same messages again: a retry
+    with pytest.raises(Exception, match="another run"):
+        telemetry.start_ingest(_arrive(spark, tmp_path / "b", [("2024-01-01 00:00:00", _body("b"))]), f"{tmp_path}/out", f"{tmp_path}/c2", "r").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/accepted").collect() == before
+    conflict = spark.read.parquet(f"{tmp_path}/out/manifest_conflicts").collect()
+    assert [(c.run_id, c.met_run_id) for c in conflict] == [("r-0", "r-0")] and conflict[0].checksum != conflict[0].met_checksum
+
+
+def test_checksums_count_repeats(spark):
+    def checksum(*ids):
+        return telemetry.manifest(spark.createDataFrame([(i, "accepted") for i in ids], "message_id string, status string"), "r").first().checksum
+
+    assert len({checksum("a", "b"), checksum("a", "b", "b"), checksum("a", "a", "b"), checksum("a", "b", "c", "c")}) == 4 and checksum("a", "b") == checksum("b", "a")
+
+
+def test_sketched_percentiles_stay_near_the_exact_rank(spark):
+    log = spark.range(60_000).selectExpr("timestamp_seconds(1704067200 + id % 600) AS ts", "concat('p', id % 2) AS project", "500 AS status", "CAST(pmod(xxhash64(id), 100000) AS DOUBLE) AS latency_ms")
+    exact = log.groupBy(F.window("ts", "5 minutes", "15 seconds"), "project").agg(F.array_sort(F.collect_list("latency_ms")).alias("all")).select(F.col("window.start").alias("start"), "project", "all")
+    both = telemetry.slow_windows(log, k=200).join(exact, ["start", "project"]).collect()
+    assert len(both) == 2 * 59
+    assert all(abs(sum(v <= r.p95_ms for v in r["all"]) / len(r["all"]) - 0.95) < 0.025 for r in both)
+    plan = telemetry.slow_windows(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.rindex("Aggregate")  # panes are spread over windows, not rows
+
+
 def test_window_alerts_on_a_stream(spark, sf, tmp_path):
     log = views.request_log(spark, sf).select("ts", "project", "status", "latency_ms")
     log.write.parquet(f"{tmp_path}/log")
