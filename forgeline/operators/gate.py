@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED_DATASETS = ("production", "quality", "inventory", "machine", "workers")
@@ -10,52 +13,63 @@ REQUIRED_KPIS = ("daily_production", "oee")
 MOST_QUARANTINED = 0.5
 
 
-def _check(df: DataFrame, name: str, ok, detail) -> DataFrame:
-    return df.select(F.lit(name).alias("name"), ok.alias("ok"), detail.alias("detail"))
+def _check(df: DataFrame, name: str, ok: Column, detail: Column, failure: Column) -> DataFrame:
+    return df.select(F.lit(name).alias("name"), ok.alias("ok"), detail.alias("detail"), F.when(~ok, failure).alias("failure"))
+
 
+def _summed(dfs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, dfs)
 
-def evaluate(spark: SparkSession, datasets: dict[str, DataFrame], kpis: dict[str, DataFrame], n_passed: int | None = None, n_rejected: int | None = None, scope: str = "unspecified") -> DataFrame:
-    """The checks table: name, ok, detail. One aggregate for each data set and KPI, no row leaves the cluster.
 
-    Without a known count of rejected rows the quarantine check says so, and does not take the rate for zero.
+def evaluate(spark: SparkSession, datasets: dict[str, DataFrame], kpis: dict[str, DataFrame], counts: DataFrame | None = None, scope: str = "unspecified") -> DataFrame:
+    """The checks table: name, ok, detail, failure (what it adds to the reason, if it fails). One aggregate a data set and KPI; nothing runs before the table does.
+
+    `counts` is one row (passed, rejected). Without it, or with a null count of rejected rows, the quarantine check says so, and does not take the rate for zero.
     """
     one = spark.range(1)
     missing = sorted(set(REQUIRED_DATASETS) - set(datasets))
     listed = lambda names: "missing=" + ",".join(names)
-    checks = [_check(one, "datasets_present", F.lit(not missing), F.lit(listed(missing) if missing else "all required present"))]
+    checks = [_check(one, "datasets_present", F.lit(not missing), F.lit(listed(missing) if missing else "all required present"), F.lit("missing required dataset(s): " + ", ".join(missing)))]
     sizes = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in datasets.items() if name in REQUIRED_DATASETS]
     if sizes:
-        rows = sizes[0]
-        for more in sizes[1:]:
-            rows = rows.unionByName(more)
-        empty = rows.agg(F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("name")))).alias("empty"))
-        checks.append(_check(empty, "datasets_non_empty", F.size("empty") == 0, F.when(F.size("empty") == 0, "all non-empty").otherwise(F.concat(F.lit("empty="), F.array_join("empty", ",")))))
+        empty = _summed(sizes).agg(F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("name")))).alias("empty"))
+        names = F.array_join("empty", ",")
+        checks.append(_check(empty, "datasets_non_empty", F.size("empty") == 0, F.when(F.size("empty") == 0, "all non-empty").otherwise(F.concat(F.lit("empty="), names)), F.concat(F.lit("empty validated dataset(s): "), names)))
     if kpis:
         lacking = sorted(set(REQUIRED_KPIS) - set(kpis))
-        checks.append(_check(one, "kpi_inputs_present", F.lit(not lacking), F.lit(listed(lacking) if lacking else "required KPIs present")))
-        bad = None
+        checks.append(_check(one, "kpi_inputs_present", F.lit(not lacking), F.lit(listed(lacking) if lacking else "required KPIs present"), F.lit("missing required KPI input(s): " + ", ".join(lacking))))
+        parts = []
         for name, df in kpis.items():
             numbers = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]
             whole = [f.name for f in df.schema if f.dataType.typeName() in ("integer", "long")]
-            count = F.lit(0)
+            bad = F.lit(0)
             for c in numbers:
-                count = count + F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+                bad = bad + F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
             for c in whole:
-                count = count + F.count_if(F.col(c).isNull())
-            part = df.agg(F.lit(name).alias("kpi"), count.cast("long").alias("bad"))
-            bad = part if bad is None else bad.unionByName(part)
-        found = bad.agg(F.array_sort(F.collect_list(F.when(F.col("bad") > 0, F.col("kpi")))).alias("kpis"))
-        checks.append(_check(found, "kpi_values_finite", F.size("kpis") == 0, F.when(F.size("kpis") == 0, "no NaN/inf").otherwise(F.concat(F.lit("non-finite="), F.array_join("kpis", ",")))))
-    if n_rejected is None:
-        checks.append(_check(one, "quarantine_rate", F.lit(True), F.lit("not_provided")))
+                bad = bad + F.count_if(F.col(c).isNull())
+            parts.append(df.agg(F.lit(name).alias("kpi"), bad.cast("long").alias("bad")))
+        found = _summed(parts).agg(F.array_sort(F.collect_list(F.when(F.col("bad") > 0, F.col("kpi")))).alias("kpis"))
+        names = F.array_join("kpis", ",")
+        checks.append(_check(found, "kpi_values_finite", F.size("kpis") == 0, F.when(F.size("kpis") == 0, "no NaN/inf").otherwise(F.concat(F.lit("non-finite="), names)), F.concat(F.lit("non-finite KPI(s): "), names)))
+    if counts is None:
+        checks.append(_check(one, "quarantine_rate", F.lit(True), F.lit("not_provided"), F.lit("")))
     else:
-        total = (n_passed or 0) + n_rejected
-        rate = n_rejected / total if total else 0.0
-        checks.append(_check(one, "quarantine_rate", F.lit(rate <= MOST_QUARANTINED), F.lit(f"rate={rate:.3f} (max={MOST_QUARANTINED}, scope={scope})")))
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+        rejected = F.col("rejected").cast("double")
+        rate = F.coalesce(F.try_divide(rejected, rejected + F.coalesce("passed", F.lit(0))), F.lit(0.0))
+        said, known = F.format_string("%.3f", rate), F.col("rejected").isNotNull()
+        detail = F.when(known, F.concat(F.lit("rate="), said, F.lit(f" (max={MOST_QUARANTINED}, scope={scope})"))).otherwise("not_provided")
+        checks.append(_check(counts, "quarantine_rate", F.when(known, rate <= MOST_QUARANTINED).otherwise(True), detail, F.concat(F.lit("quarantine rate "), said, F.lit(f" exceeds {MOST_QUARANTINED}"))))
+    return _summed(checks)
+
+
+def judged(spark: SparkSession, evaluation: Callable[[], DataFrame]) -> DataFrame:
+    """The decision over the checks that `evaluation` makes, worked out here. An error in making or running them gives UNKNOWN with its kind and text, never GOOD."""
+    try:
+        checks = evaluation()
+        return spark.createDataFrame(decision(checks).collect(), DECISION)
+    except Exception as error:  # noqa: BLE001  whatever fails, the gate stays shut
+        said = f"quality evaluation error: {type(error).__name__}: {error}"[:500]
+        return spark.createDataFrame([("UNKNOWN", 0, "", said)], DECISION)
 
 
 def evidence(datasets: dict[str, DataFrame], date_col: str = "Date") -> DataFrame:
@@ -67,10 +81,16 @@ def evidence(datasets: dict[str, DataFrame], date_col: str = "Date") -> DataFram
     return out
 
 
+DECISION = "status string, checks bigint, failed string, reason string"
+
+
 def decision(checks: DataFrame) -> DataFrame:
-    """One row: GOOD if every check holds, else BAD; with the failed checks."""
-    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name"))))
-    return checks.agg(F.when(F.bool_and("ok"), "GOOD").otherwise("BAD").alias("status"), F.count(F.lit(1)).alias("checks"), F.array_join(failed, ",").alias("failed"))
+    """One row: GOOD if every check holds, else BAD, UNKNOWN if one couldn't be judged; with the failed checks and the reason (500 characters at most)."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("name", "failure"))))
+    unknown = F.count_if(F.col("ok").isNull()) > 0
+    reason = F.when(unknown, "a check could not be judged").when(F.size(failed) == 0, "all checks passed").otherwise(F.left(F.array_join(F.transform(failed, lambda x: x["failure"]), "; "), F.lit(500)))
+    status = F.when(unknown, "UNKNOWN").when(F.coalesce(F.bool_and("ok"), F.lit(False)), "GOOD").otherwise("BAD")
+    return checks.agg(status.alias("status"), F.count(F.lit(1)).alias("checks"), F.array_join(F.transform(failed, lambda x: x["name"]), ",").alias("failed"), reason.alias("reason"))
 
 
 def state_and_severity(results: DataFrame) -> DataFrame:

@@ -29,9 +29,11 @@ def downtime_features(machine: DataFrame) -> DataFrame:
 def split(df: DataFrame, key: list[str], share: float = 0.8, seed: int = 42, label: str = "label") -> tuple[DataFrame, DataFrame]:
     """Train and test rows, the same on every run: of each label's rows the given share, by a hash of the key.
 
-    The limits between both are quantiles of the hash by label (exact up to one row in a million), so that no label is sorted.
+    The hash is 52 bits of the MD5 of seed and key, which other engines have too. The limits between both are quantiles of it by
+    label (exact up to one row in a million), so that no label is sorted.
     """
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 12)  # 52 bits: quantiles are doubles
+    line = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    place = F.conv(F.substring(F.md5(line), 1, 13), 16, 10).cast("long")  # 52 bits: quantiles are doubles
     limits = df.groupBy(F.col(label).alias("__label")).agg(F.percentile_approx(place, share, 1_000_000).alias("__limit"))
     placed = df.withColumn("__place", place).join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("__label")))
     return placed.filter("__place <= __limit").select(*df.columns), placed.filter("__place > __limit").select(*df.columns)

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgeline.operators.alerts import one_decimal, prioritised
 from forgeline.operators.dashboard import latest_row, worst_machine
 from forgeline.operators.gold import latest
+from forgeline.sources.scratch import cut
+
 
+def evidence(kpis: dict[str, DataFrame], keys: dict[str, list[str]], datasets: list[str] = ()) -> DataFrame:
+    """(source_id, row, snapshot_id): kpi:<name> with the last row of each KPI, and dataset:<name> without one; a KPI without rows has none.
 
-def evidence(kpis: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
-    """The last row of each KPI as JSON with its source id. `keys` gives the order of each KPI's rows; snapshot_id hashes the row."""
-    out = None
+    `keys` gives the order of each KPI's rows. A row is JSON of its columns by name, every value as a text, doubles with four digits after the
+    point, nulls left out. The snapshot_id is one for the whole evidence, a hash over all its rows by source_id: equal inputs have equal ids.
+    """
+    parts = []
     for name, df in kpis.items():
-        last = df.orderBy(*[F.desc(k) for k in keys[name]]).limit(1)
-        text = F.to_json(F.struct(*sorted(df.columns)))
-        part = last.select(F.lit(name).alias("kpi"), F.lit(f"kpi:{name}").alias("source_id"), text.alias("row"), F.concat(F.lit("snap-"), F.substring(F.sha2(text, 256), 1, 16)).alias("snapshot_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        last = df.orderBy(*[F.desc_nulls_last(k) for k in keys[name]]).limit(1)
+        text = lambda f: (F.col(f.name).cast("decimal(38,4)") if f.dataType.typeName() in ("double", "float") else F.col(f.name)).cast("string").alias(f.name)
+        parts.append(last.select(F.lit(f"kpi:{name}").alias("source_id"), F.to_json(F.struct(*[text(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])).alias("row")))
+    if datasets:
+        names = F.array(*[F.lit(f"dataset:{d}") for d in sorted(datasets)])
+        parts.append(parts[0].sparkSession.range(1).select(F.explode(names).alias("source_id"), F.lit(None).cast("string").alias("row")))
+    rows = cut(reduce(DataFrame.unionByName, parts))  # a row for each source
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_id", F.coalesce("row", F.lit("")).alias("row")))), lambda x: F.concat_ws("=", x["source_id"], x["row"])), "\n")
+    snapshot = rows.agg(F.concat(F.lit("snap-"), F.substring(F.sha2(whole, 256), 1, 16)).alias("snapshot_id"))
+    return rows.join(F.broadcast(snapshot))
 
 
 def rejected_citations(claims: DataFrame, known: DataFrame) -> DataFrame:

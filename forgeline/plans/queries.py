@@ -213,14 +213,15 @@ _add("quality_context", lambda s, d: contracts.quality_context(_passed(s, d).agg
 def _checks(s: SparkSession, d: str) -> DataFrame:
     sets = {n: f(s, d) for n, f in DATASETS.items()}
     kpis = {"daily_production": kpi.daily_production(sets["production"]), "oee": _oee(s, d), "inventory_kpi": kpi.inventory_kpi(sets["inventory"])}
-    judged, kept = _dirty(s, d).count(), _passed(s, d).count()
-    return gate.evaluate(s, sets, kpis, kept, judged - kept, "current_run")
+    rejected = F.size("violations") > 0
+    counts = contracts.with_violations(_dirty(s, d), "production", AS_OF).agg(F.count_if(~rejected).alias("passed"), F.count_if(rejected).alias("rejected"))
+    return gate.evaluate(s, sets, kpis, counts, "current_run")
 
 
-_GATE = "SELECT 'datasets_present' AS name, true AS ok, 'all required present' AS detail UNION ALL SELECT 'datasets_non_empty', true, 'all non-empty' UNION ALL SELECT 'kpi_inputs_present', true, 'required KPIs present' UNION ALL SELECT 'kpi_values_finite', count(*) = 0, CASE WHEN count(*) = 0 THEN 'no NaN/inf' ELSE 'non-finite=oee' END FROM k_oee WHERE OEE_pct IS NULL UNION ALL SELECT 'quarantine_rate', r <= 0.5, 'rate=' || format('{:.3f}', r) || ' (max=0.5, scope=current_run)' FROM (SELECT 1 - (SELECT count(*) FROM (" + _GOOD + ")) / CAST((SELECT count(*) FROM c_dirty) AS DOUBLE) AS r)"
+_GATE = "SELECT 'datasets_present' AS name, true AS ok, 'all required present' AS detail, CAST(NULL AS VARCHAR) AS failure UNION ALL SELECT 'datasets_non_empty', true, 'all non-empty', NULL UNION ALL SELECT 'kpi_inputs_present', true, 'required KPIs present', NULL UNION ALL SELECT 'kpi_values_finite', count(*) = 0, CASE WHEN count(*) = 0 THEN 'no NaN/inf' ELSE 'non-finite=oee' END, CASE WHEN count(*) > 0 THEN 'non-finite KPI(s): oee' END FROM k_oee WHERE OEE_pct IS NULL UNION ALL SELECT 'quarantine_rate', r <= 0.5, 'rate=' || format('{:.3f}', r) || ' (max=0.5, scope=current_run)', CASE WHEN r > 0.5 THEN 'quarantine rate ' || format('{:.3f}', r) || ' exceeds 0.5' END FROM (SELECT 1 - (SELECT count(*) FROM (" + _GOOD + ")) / CAST((SELECT count(*) FROM c_dirty) AS DOUBLE) AS r)"
 _add("quality_gate", _checks, _GATE)
 _add("quality_evidence", lambda s, d: gate.evidence({n: f(s, d) for n, f in DATASETS.items()}), " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS rows, min(Date) AS first_date, max(Date) AS last_date FROM {v}" for n, v in _VIEW_OF.items()))
-_add("quality_decision", lambda s, d: gate.decision(_checks(s, d)), f"SELECT CASE WHEN bool_and(ok) THEN 'GOOD' ELSE 'BAD' END AS status, count(*) AS checks, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT ok), '') AS failed FROM ({_GATE})")
+_add("quality_decision", lambda s, d: gate.judged(s, lambda: _checks(s, d)), f"SELECT CASE WHEN bool_and(ok) THEN 'GOOD' ELSE 'BAD' END AS status, count(*) AS checks, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT ok), '') AS failed, coalesce(string_agg(failure, '; ' ORDER BY name) FILTER (NOT ok), 'all checks passed') AS reason FROM ({_GATE})")
 _add("rule_severity", lambda s, d: gate.state_and_severity(inputs.view(s, d, "v_rules")), "SELECT run_id, state, severity, blocking_failures, warnings, criticals, NOT (state = 'GOOD' AND criticals > 0) AS valid, state = 'GOOD' AND criticals = 0 AS eligible FROM (SELECT run_id, CASE WHEN u > 0 THEN 'UNKNOWN' WHEN f > 0 THEN 'BAD' ELSE 'GOOD' END AS state, CASE WHEN u > 0 THEN NULL WHEN f > 0 THEN CASE WHEN c > 0 THEN 'CRITICAL' ELSE 'WARNING' END WHEN w > 0 THEN 'WARNING' ELSE 'NONE' END AS severity, f AS blocking_failures, w AS warnings, c AS criticals FROM (SELECT run_id, count(*) FILTER (passed IS NULL) AS u, count(*) FILTER (blocking AND NOT passed) AS f, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'WARNING') AS w FROM v_rules GROUP BY run_id))")
 _add("quarantine_ratio", lambda s, d: gate.quarantine_ratio(_dirty(s, d).agg(F.count(F.lit(1)).alias("n")), _passed(s, d).agg(F.count(F.lit(1)).alias("n"))), f"SELECT r - k AS dropped, k AS kept, round((r - k) / CAST(r AS DOUBLE), 4) AS ratio, round((r - k) / CAST(r AS DOUBLE), 4) <= 0.25 AS ok FROM (SELECT (SELECT count(*) FROM c_dirty) AS r, (SELECT count(*) FROM ({_GOOD})) AS k)")
 _add("end_of_run_checks", lambda s, d: gate.end_of_run(gold.oee_daily(views.production(s, d))), "SELECT count(*) AS rows, round(sum(Total_Reject) / CAST(sum(Total_Actual) AS DOUBLE), 4) AS reject_rate, count(*) > 0 AS mart_not_empty, sum(Total_Reject) / CAST(sum(Total_Actual) AS DOUBLE) BETWEEN 0 AND 0.3 AS reject_rate_ok, sum(Total_Good) + sum(Total_Reject) <= sum(Total_Actual) AS balance_ok FROM g_oee")
@@ -273,7 +274,6 @@ _FACTS = "SELECT y.Date AS last_date, y.Total_Actual, y.Achievement_Rate_pct, y.
 _add("report_facts", _facts, _FACTS)
 _add("report_row", lambda s, d: report.report_row(gate.decision(gate.evaluate(s, {n: f(s, d) for n, f in DATASETS.items()}, {})), _facts(s, d)), f"SELECT 'ok' AS report, 'GOOD' AS status, '' AS failed, * FROM ({_FACTS})")
 _add("canned_questions", lambda s, d: report.canned(kpi.machine_utilization(views.machine(s, d)), kpi.daily_production(views.production(s, d)), kpi.defects_by_type(views.quality(s, d)), kpi.inventory_kpi(views.inventory(s, d))), "SELECT 'machine' AS question, Machine_ID AS subject, CAST(Total_Downtime AS DOUBLE) AS value FROM (SELECT * FROM k_util WHERE Date = (SELECT max(Date) FROM k_util) ORDER BY Total_Downtime DESC, Machine_ID LIMIT 1) UNION ALL SELECT 'production', CAST(Date AS VARCHAR), Total_Actual FROM d_day UNION ALL SELECT 'defect', Defect_Type, Total_Defects FROM (SELECT * FROM k_type ORDER BY Total_Defects DESC, Defect_Type LIMIT 1) UNION ALL SELECT 'inventory', CAST(Date AS VARCHAR), Total_Stock FROM (SELECT * FROM k_inv ORDER BY Date DESC LIMIT 1)")
-_add("kpi_evidence", lambda s, d: report.evidence({"daily_production": kpi.daily_production(views.production(s, d)), "inventory_kpi": kpi.inventory_kpi(views.inventory(s, d)), "defect_by_type": kpi.defects_by_type(views.quality(s, d))}, {"daily_production": ["Date"], "inventory_kpi": ["Date"], "defect_by_type": ["Defect_Type"]}))
 _CITED = "(SELECT DISTINCT claim_id, unnest([a, b]) AS source_id FROM v_claims)"
 _add("rejected_citations", lambda s, d: report.rejected_citations(inputs.view(s, d, "v_claims").select("claim_id", F.array("a", "b").alias("cited")), inputs.view(s, d, "v_claims").select(F.col("a").alias("source_id"))), f"SELECT claim_id, count(*) FILTER (source_id NOT IN (SELECT a FROM v_claims)) AS rejected FROM {_CITED} GROUP BY claim_id")
 _add("merged_provenance", lambda s, d: report.merged_provenance(inputs.view(s, d, "v_claims").select("claim_id", F.array("a", "b").alias("x"), F.array("b", "a").alias("y")), "x", "y").select("claim_id", F.array_join("provenance", ",").alias("provenance")), "SELECT claim_id, CASE WHEN a = b THEN a ELSE a || ',' || b END AS provenance FROM v_claims")
@@ -369,7 +369,6 @@ _add("prompt_fingerprints", lambda s, d: reqlog.prompt_fingerprint(s.read.parque
 # --- tables about tables ----------------------------------------------------------------------------
 _add("dataset_listing", lambda s, d: files.listing({n: f(s, d) for n, f in DATASETS.items()}), " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS rows, {len(c)} AS columns FROM {_VIEW_OF[n]}" for n, c in {"production": views.PRODUCTION, "quality": views.QUALITY, "inventory": ["Date", "Product", *views.INVENTORY], "machine": views.MACHINE, "workers": views.WORKERS}.items()))
 _add("column_profile", lambda s, d: files.profile(views.raw_production(s, d)), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{'bigint' if c == 'rid' else 'string'}' AS type, count({c}) AS non_null, count(*) - count({c}) AS nulls FROM v_raw" for c in views.RAW_PRODUCTION))
-_add("fingerprint", lambda s, d: files.fingerprint({n: f(s, d) for n, f in DATASETS.items()}))
 _add("fingerprint_check", lambda s, d: files.verify(files.fingerprint({"a": views.machine(s, d), "b": views.workers(s, d)}), files.fingerprint({"a": views.machine(s, d), "b": views.workers(s, d).withColumn("Units_Produced", F.col("Units_Produced") + 1), "c": views.machine(s, d)})), "SELECT 'a' AS dataset, 'ok' AS result UNION ALL SELECT 'b', 'mismatch' UNION ALL SELECT 'c', 'missing'")
 
 
@@ -397,3 +396,5 @@ def _gbt(s: SparkSession, d: str) -> DataFrame:
 
 _add("rf_metrics", _rf)
 _add("gbt_confusion", _gbt)
+
+from forgeline.plans import file_queries  # noqa: E402, F401  it adds its queries to these

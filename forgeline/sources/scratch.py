@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder and read again, so that a lost executor costs one step.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share.
 
     Where spark.checkpoint.dir is unset, a local master takes a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            path = tempfile.mkdtemp(prefix="forgeline-")
-        context.setCheckpointDir(path)
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="forgeline-")
+    context.setCheckpointDir(path)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read again, so that a lost executor costs one step."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

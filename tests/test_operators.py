@@ -126,7 +126,7 @@ def test_rule_states(spark):
 
 
 def test_gate_finds_what_is_missing(spark, sf):
-    checks = gate.evaluate(spark, {"production": views.production(spark, sf).filter("false")}, {}, 10, 90, "current_run")
+    checks = gate.evaluate(spark, {"production": views.production(spark, sf).filter("false")}, {}, spark.sql("SELECT 10L AS passed, 90L AS rejected"), "current_run")
     assert {r.name for r in checks.filter("NOT ok").collect()} == {"datasets_present", "datasets_non_empty", "quarantine_rate"}
     assert gate.decision(checks).first().status == "BAD"
 
