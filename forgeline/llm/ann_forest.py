@@ -26,8 +26,10 @@ from forgeline.llm.vectors import answers, blocks, representatives, rows_of
 TREES, LEAF = 32, 32
 #: Points of a node whose scatter tilts its random direction.
 SCATTER = 100
-#: The share of a shard's vectors that a query meets as candidates, and the least number of them.
-MET_SHARE, LEAST_MET = 0.4, 1000
+#: A search ends when so many times the vectors met up to the last change of its answer have been met since, at the latest with all of a shard.
+PATIENCE = 2.5
+#: How much less a cosine of unit vectors in the search may be than the exact one of the same vectors.
+SLACK = 1e-9
 #: Bytes of the vectors of one shard (32,768 vectors of 64 components).
 SHARD_BYTES = 1 << 24
 #: Queries that one task sends to a shard: at most, and at least while there are tasks for more blocks. They change no answer.
@@ -89,12 +91,18 @@ class Forest:
         """How far each query lies beyond each split."""
         return queries @ self.matrix.T.astype(float) - self.offsets
 
-    def candidates(self, beyond: list[float], wanted: int, n: int) -> np.ndarray:
-        """Rows met through the shared queue, `wanted` of them or more, or all n."""
-        met = np.zeros(n, dtype=bool)
+    def nearest(self, query: np.ndarray, units: np.ndarray, beyond: list[float], k: int, patience: float) -> tuple[np.ndarray, int]:
+        """(rows among which the k nearest met are, ties and rounding allowed for; how many were met), through the shared queue.
+
+        A leaf of each tree is met before the search may end. `last` is how many were met when the k nearest changed for the last time.
+        """
+        met = np.zeros(len(units), dtype=bool)
         queue = [(0.0, root) for root in self.roots.tolist()]
-        total, most, nodes, rows = 0, min(wanted, n), self._nodes, self.rows
-        while queue and total < most:
+        nodes, order, trees = self._nodes, self.rows, len(queue)
+        total = last = opened = 0
+        best, least = np.empty(0), -np.inf
+        rows, scores = [], []
+        while queue and (opened < trees or total - last < patience * last):
             away, node = heapq.heappop(queue)
             while True:
                 low, high, plane, begin, end = nodes[node]
@@ -104,10 +112,23 @@ class Forest:
                 near, far = (low, high) if d < 0 else (high, low)
                 heapq.heappush(queue, (away + d * d, far))
                 node = near
-            leaf = rows[begin:end]
-            total += len(leaf) - int(np.count_nonzero(met[leaf]))
+            opened += 1
+            leaf = order[begin:end]
+            leaf = leaf[~met[leaf]]
+            if not len(leaf):
+                continue
             met[leaf] = True
-        return np.flatnonzero(met)
+            total += len(leaf)
+            found = units[leaf] @ query
+            close = found >= least - SLACK
+            if close.any():
+                rows.append(leaf[close])
+                scores.append(found[close])
+                if len(best) < k or found.max() > least:
+                    best = np.sort(np.concatenate([best, found[close]]))[::-1][:k]
+                    least, last = (best[-1] if len(best) == k else -np.inf), total
+        rows, scores = np.concatenate(rows), np.concatenate(scores)
+        return np.sort(rows[scores >= least - SLACK]), total
 
 
 def dumped(forest: Forest, vectors: np.ndarray, ids: list[list[int]]) -> bytes:
@@ -128,7 +149,7 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, met_share: float = MET_SHARE, seed: int = 42, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, patience: float = PATIENCE, seed: int = 42, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other rows found nearest by cosine.
 
     Equal scores go by smaller id; all other rows if there are fewer than k. Vectors that are null, empty,
@@ -136,8 +157,8 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     meets only vectors of its own length. Equal vectors are indexed once, with their k + 1 smallest ids,
     and repeated rows count once. Extra columns don't count, and an empty table gives no rows.
 
-    A shard holds about `shard_bytes` of vectors, and a query meets `met_share` of it (LEAST_MET vectors at least);
-    both change the answers, the cluster doesn't.
+    A shard holds about `shard_bytes` of vectors. A search of it ends when `patience` times as many vectors as were met up to the last change
+    of its k + 1 nearest have been met without another; both change the answers, the cluster doesn't.
     """
     rows = written(rows_of(df, id_col, vec_col), "vectors")
     vectors = written(representatives(rows, "vec", k), "vector-ids")
@@ -166,13 +187,13 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
         out: dict[str, list] = {"vec": [], "score": [], "id": []}
         if len(shard) and len(wanted):
             forest, data, ids = loaded(shard["forest"].iloc[0])
-            most = max(LEAST_MET, int(met_share * len(data)))
+            units = data / np.linalg.norm(data, axis=1, keepdims=True)
             asked = np.stack(wanted["vec"].to_numpy())
             for at in range(0, len(asked), 64):
                 part = asked[at : at + 64]
-                far = forest.beyond(part / np.linalg.norm(part, axis=1, keepdims=True))
-                for query, beyond in zip(part, far, strict=True):
-                    rows = forest.candidates(beyond.tolist(), most, len(data))
+                ones = part / np.linalg.norm(part, axis=1, keepdims=True)
+                for query, one, beyond in zip(part, ones, forest.beyond(ones), strict=True):
+                    rows, _ = forest.nearest(one, units, beyond.tolist(), k + 1, patience)
                     scores = cosines(query, data[rows])
                     few = np.argsort(-scores, kind="stable")[: k + 1]
                     few = np.flatnonzero(scores >= scores[few[-1]])  # equal ones too
