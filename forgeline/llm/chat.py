@@ -40,7 +40,9 @@ def examples(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
 
     Turns go by turn number (null first), then role, then text; repeated rows are turns of
     their own. Null texts and roles count as empty. Rows with a null conv_id form one conversation.
-    loss_start and loss_end are null where nothing is trainable. Other input columns don't count.
+    loss_start and loss_end are null where nothing is trainable. Other input columns don't count, whatever their names.
+    An empty table gives no rows. A conversation is put together in one task, and its examples are quadratic in its turns, as the output is; texts may
+    be as long as one row allows. Where many rows may lack a conv_id, name them first, or they make one conversation of that size.
     """
     turns = df.select(
         quoted(conv_col).alias("conv_id"),
@@ -87,7 +89,11 @@ def loss_text(formatted: Column, loss_start: Column, loss_end: Column) -> Column
 
 
 def digest(made: DataFrame) -> DataFrame:
-    """What a reader of the examples finds, one row a conversation: its turns, and the text under the loss mask."""
+    """What a reader of the examples finds, one row a conversation: its turns, and the text under the loss mask.
+
+    `made` is the output of `examples`; a null conv_id is a conversation. A conversation without a target has an empty loss text, one whose texts are
+    empty has its turns all the same. No examples give no rows; other columns don't count.
+    """
     text = loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end"))
     by_conv = (
         made.select("conv_id", "example", text.alias("loss"), F.length("formatted").cast("long").alias("chars"), F.when(F.col("is_last"), F.col("formatted")).alias("full"))

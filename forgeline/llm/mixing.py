@@ -109,7 +109,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     null ids are rows like others. Which documents of a length are taken depends on seed, id and text alone, so
     that documents without an id, or with the same one, are told apart by their texts. Rows that repeat
     both id and text are documents of their own: how many of them are chosen is fixed, and they don't
-    differ. Other columns don't count. An empty table gives no rows. `covered`: see `fill`.
+    differ. Other columns don't count. An empty table gives no rows. Very long texts count whole; one alone may be more than a target leaves. The
+    sources' targets are worked out over one row a source, in one task. `covered`: see `fill`.
     """
     kept = [quoted(c) for c in keep]
     docs = df.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), words_of(quoted(text_col)).alias("size"), *kept, F.coalesce(quoted(id_col).cast("string"), F.lit("")).alias("__id"), F.coalesce(quoted(text_col), F.lit("")).alias("__text"))

@@ -118,7 +118,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 def firsts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Of `rows` (__row, doc_id, text) the __row with the smallest doc_id (null last) of each component of near-duplicates.
 
-    Texts without words (null, empty) are copies of each other.
+    Texts without words (null, empty) are copies of each other. Repeated rows are copies too, of which the smallest __row stays; an
+    empty table gives no rows. Very long texts are compared whole, by the set of all their shingles.
     """
 
     def signed(found: np.ndarray) -> tuple:

@@ -172,6 +172,8 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     what context finds, which never overlaps a base span. Null texts count as empty. Repeated rows
     get equal answers, an empty table gives no rows, input columns with the names of the outputs, in
     any case, are replaced. A text without identifiers, or a corpus whose patterns have too few seeds, has base spans only.
+    Very long texts are searched whole, each by one task; of the text on either side of a mention the patterns see CONTEXT characters, so
+    that a word of more than that counts by its nearest part.
     """
     base = without(df, ["base_spans", "spans"])
     rest = [i for i, c in enumerate(base.columns) if c.lower() != text_col.lower()]
@@ -192,7 +194,8 @@ def _place(df: DataFrame, name: str) -> str:
 def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with every span that `find` finds in `text_col` replaced by [KIND]; overlapping spans become one, by the first's kind.
 
-    Null texts stay null; the other columns stay as they are, whatever their names. The texts are scanned once.
+    Null texts stay null; the other columns stay as they are, whatever their names. The texts are scanned once. Repeated rows are masked
+    alike, an empty table gives no rows, and very long texts are masked whole.
     """
     text_at = _place(df, text_col)
     scanned = _scan(_numbered_columns(df), text_at, keep_text=True)

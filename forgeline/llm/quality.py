@@ -219,7 +219,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null texts count as empty and are scored like others. Labels that are null or other than 0 and
     1, or of unknown documents, teach nothing; a document labelled twice teaches twice. Repeated rows
-    stay, an empty table gives no rows, and no other column is read.
+    stay, an empty table gives no rows, and no other column is read. Statistics are those of whole texts, however long.
     """
     docs = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     stats = written(features(docs), "statistics")

@@ -187,7 +187,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     Texts without words (null, empty) have fingerprint zero and are linked like any other. Every
     row comes back, repeated ones too; rows with a null id belong to a component but don't name it.
-    Input columns with the names of the outputs, in any case, are replaced.
+    Input columns with the names of the outputs, in any case, are replaced. An empty table gives no rows; a very long
+    text is read whole, in pieces of its words, by one task.
     """
     rows = written(fingerprints(without(df, ["fingerprint", "component_id"]), text_col, out="__fp"), "fingerprints")
     fps = written(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(quoted(id_col)).alias("least")), "distinct")
