@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs, before that stage is called. All but the last return the columns of documents.
+
+In every stage null texts count as empty, null ids, languages and sources are values like others, repeated rows are rows of their own, very long texts
+are handled whole, each by one task, columns that are added to documents (of whatever name) are left out, and no documents give none.
 """
 
 from __future__ import annotations
@@ -40,7 +43,10 @@ def _tidy(stage: Stage) -> Stage:
 
 @_tidy
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; labels that are held out teach nothing. Each text's statistics are computed once."""
+    """Documents that the classifier accepts; labels that are held out teach nothing. Each text's statistics are computed once.
+
+    A document whose score is the limit stays.
+    """
     rows = written(quality.features(docs.select(*COLUMNS), keep_text=True), "statistics")
     model = quality.train(rows.select("doc_id", "statistics"), table(spark, sf_dir, "labels"))
     return quality.scored(rows, model).filter(F.col("score") >= quality.ACCEPT).select(*COLUMNS)
@@ -58,13 +64,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_tidy
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars is that of the new text."""
+    """Personal data replaced by its kind; n_chars is that of the new text, null for a null text, which stays null."""
     return pii.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @_tidy
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times or not at all."""
+    """Each document as often as the mix takes it, up to three times or not at all; a document without words has no share and goes."""
     rows = numbered(docs.select(*COLUMNS), "documents")
     mixed = mixing.mix(rows, keep=("__row",)).filter("taken > 0")
     times = mixed.select("__row", F.expr("CAST(taken DIV size AS INT)").alias("times"))
@@ -73,7 +79,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_tidy
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text."""
+    """Token ids in place of the text, and their number; no ids for a null or empty text."""
     coded = byte_bpe.encode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
