@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline.functions import masking
-from forgeline.functions.columns import safe_cell
+from forgeline.functions.columns import finite, safe_cell
 from forgeline.operators import alerts, clean, contracts, dashboard, gate, gold, kpi, ledger, lineage, ml, report, reqlog
 from forgeline.plans import inputs, spec
 from forgeline.sources import files, views
@@ -169,6 +169,7 @@ _add("clip_negative_units", lambda s, d: clean.clip_negative(views.workers(s, d)
 _CLEAN = "SELECT rid, try_cast(Date AS DATE) AS Date, " + ", ".join(f"trim(coalesce({c}, 'Unknown_{c}')) AS {c}" for c in ["Line", "Shift", "Product", "Machine_ID", "Worker_ID"]) + ", " + ", ".join(f"CASE WHEN coalesce({c}, (SELECT median({c}) FROM x_once)) < 0 THEN 0 ELSE coalesce({c}, (SELECT median({c}) FROM x_once)) END AS {c}" for c in _NUM[:4]) + ", coalesce(Cycle_Time_sec, (SELECT median(Cycle_Time_sec) FROM x_once)) AS Cycle_Time_sec FROM x_once"
 _add("clean_production", lambda s, d: clean.clean(views.raw_production(s, d)), _CLEAN)
 _add("clean_basic", lambda s, d: clean.clean(clean.coerce(views.production(s, d)).select("Date", "Line", "Target_Qty", "Actual_Qty"), "basic"), "SELECT DISTINCT Date, Line, CAST(Target_Qty AS DOUBLE) AS Target_Qty, CAST(Actual_Qty AS DOUBLE) AS Actual_Qty FROM v_production")
+_add("finite_measures", lambda s, d: clean.coerce(views.raw_production(s, d)).select("rid", finite(F.col("Cycle_Time_sec")).alias("Cycle_Time_sec"), finite(F.col("Target_Qty")).alias("Target_Qty")), "SELECT rid, CASE WHEN isfinite(Cycle_Time_sec) THEN Cycle_Time_sec END AS Cycle_Time_sec, Target_Qty FROM x_num")
 _add("safe_cells", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", safe_cell(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), "text")).otherwise(F.col("text"))).alias("cell")), "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ''' =' || text WHEN regexp_matches(text, '^[ \\t]*[=+@-]') THEN '''' || text ELSE text END AS cell FROM documents")
 
 def _whole_cell() -> Column:
