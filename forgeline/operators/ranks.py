@@ -35,16 +35,18 @@ def values_at(df: DataFrame, keys: list[str], columns: list[str], wanted: dict[s
 
     `wanted` gives a position, from 0, for the number n of values. Nulls and NaN don't count; a column without values has no row. Null keys
     are a key. Four rounds tell 16 bits each apart: each counts, by key and column, the values of every digit among those that agree in all
-    earlier digits, so that no task sorts values and no row holds more than a count; the last digit leaves equal values only.
+    earlier digits, so that no task sorts values and no row holds more than a count; the last digit leaves equal values only. df is read once: the
+    distinct values and their numbers are written to the checkpoint folder.
     """
     cell = lambda i, c: F.struct(F.lit(i).alias("at"), F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias("value"))
     cells = df.select(*keys, F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).filter("value IS NOT NULL")
-    cells = cut(cells.withColumn("__key", sort_key(F.col("value"))))
+    # equal values once, with their number: tasks add up their own before anything is shuffled
+    cells = cut(cells.groupBy(*keys, "at", "value").agg(F.count(F.lit(1)).alias("times")).withColumn("__key", sort_key(F.col("value"))))
     group = [*keys, "at"]
     digit = lambda shift: F.shiftright("__key", shift).bitwiseAND((1 << BITS) - 1) if shift < 64 - BITS else F.shiftright("__key", shift)
 
     def counted(rows: DataFrame, by: list[str], shift: int) -> DataFrame:
-        bins = rows.groupBy(*by, digit(shift).alias("digit")).agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("value"))
+        bins = rows.groupBy(*by, digit(shift).alias("digit")).agg(F.sum("times").alias("c"), F.min("value").alias("value"))
         upto = F.sum("c").over(Window.partitionBy(*by).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
         return bins.withColumn("upto", upto)
 
@@ -55,7 +57,8 @@ def values_at(df: DataFrame, keys: list[str], columns: list[str], wanted: dict[s
     entry = lambda name: F.struct(F.lit(name).alias("name"), F.col(f"__{name}.digit").alias("prefix"), (ranks[name] - F.col(f"__{name}.before")).alias("rank"), F.col(f"__{name}.value").alias("value"))
     state = picked.select(*group, "n", F.inline(F.array(*[entry(name) for name in wanted])))
     for shift in range(64 - 2 * BITS, -1, -BITS):
-        state = cut(state)
+        # without keys a row for each column and name; with them as many as there are keys
+        state = cut(state) if keys else df.sparkSession.createDataFrame(state.collect(), state.schema)
         bins = state.select(*[F.col(c).alias(f"__{c}") for c in (*group, "prefix")]).distinct()
         inside = cells.withColumn("prefix", F.shiftright("__key", shift + BITS))
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*group, "prefix")])
