@@ -56,4 +56,4 @@ def test_stages(spark, sf):
 
 def test_run_and_queries(spark, sf):
     assert cp.run(spark, sf).count() > 0
-    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("hamming_search chat ann_forest mixing simhash pii quality token_counts url_filter byte_bpe".split(), 1))
+    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("hamming_search chat ann_forest mixing simhash pii quality token_counts url_filter byte_bpe periodic_runs source_stripes secret_scan".split(), 1))
