@@ -1,8 +1,8 @@
 """Near-duplicates by SimHash fingerprints, linked through a hierarchical index in Gray order.
 
-Two fingerprints within three bits agree in at least one of four 16-bit segments, so the rows are
-dealt by segment and value. In each task they stand in the order of their Gray rank, where
-neighbours share many bits. Runs of neighbours become nodes that hold the bits all of them share
+Two fingerprints within three bits agree in at least two of five segments, so the rows are dealt ten
+times, by each pair of segments (25 or 26 bits) and its value: groups stay small however many documents there
+are. In each task they stand in the order of their Gray rank, where neighbours share many bits. Runs of neighbours become nodes that hold the bits all of them share
 (mask and pattern), runs of nodes become upper nodes. A search adds up the differences at
 the bits that each level shares anew, and leaves a whole group once the sum exceeds three.
 """
@@ -10,6 +10,7 @@ the bits that each level shares anew, and leaves a whole group once the sum exce
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,12 @@ from forgeline.llm.components import connected
 
 #: Children of a node of the index.
 FANOUT = 8
-#: Fingerprints with the same segment value that one task compares; more are dealt out as pairs of blocks.
+#: First bits of the five segments, and the end.
+SEGMENTS = (0, 13, 26, 39, 52, 64)
+#: Fingerprints with the same value in two segments that one task compares; more are dealt out as pairs of blocks.
 BLOCK = 1 << 15
+#: Values with more fingerprints than that whose list is sent to all tasks; a longer list is joined by a shuffle.
+MOST_SENT = 1 << 17
 #: Rows gathered before the groups among them are searched, and pairs of query and node held at once.
 CHUNK, FRONTIER = 1 << 15, 1 << 21
 
@@ -141,25 +146,31 @@ def local_labels(codes: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray
     return label
 
 
-def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
+def pair_masks() -> list[int]:
+    """The bits of each two segments, as signed 64-bit masks."""
+    segments = [((1 << end) - 1) ^ ((1 << begin) - 1) for begin, end in zip(SEGMENTS, SEGMENTS[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(segments, 2))]
+
+
+def links(fps: DataFrame, most: int = 3, block: int = BLOCK, most_sent: int = MOST_SENT) -> DataFrame:
     """Edges (a, b) between fingerprints (fp: long, distinct) whose components are those of all pairs within `most` <= 3 bits.
 
     A task links each fingerprint to the first of its local component instead of listing all
-    pairs. A segment value with more than `block` fingerprints becomes pairs of blocks.
+    pairs. A value with more than `block` fingerprints becomes pairs of blocks.
     """
     if not 0 <= most <= 3:
-        raise ValueError("four segments cover up to three differing bits")
-    turned = [F.col("fp") if s == 0 else F.shiftleft("fp", 16 * s).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * s)) for s in range(4)]
-    rows = fps.select("fp", F.posexplode(F.array(*turned)).alias("segment", "turned")).withColumn("value", F.shiftrightunsigned("turned", 48).cast("int"))
-    many = rows.groupBy("segment", "value").count().filter(F.col("count") > block)
-    many = many.select("segment", "value", F.ceil(F.col("count") / block).cast("int").alias("__blocks"))
-    # few values have so many fingerprints, and four segments of 16 bits have 4 * 65,536 values in all
-    dealt = rows.join(F.broadcast(many), ["segment", "value"], "left").withColumn("blocks", F.coalesce("__blocks", F.lit(1))).drop("__blocks")
+        raise ValueError("pairs of five segments cover up to three differing bits")
+    values = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in pair_masks()])
+    rows = fps.select("fp", F.posexplode(values).alias("pair", "value"))
+    many = rows.groupBy("pair", "value").count().filter(F.col("count") > block)
+    many = written(many.select("pair", "value", F.ceil(F.col("count") / block).cast("int").alias("__blocks")), "hot-values")
+    sent = F.broadcast(many) if many.count() <= most_sent else many
+    dealt = rows.join(sent, ["pair", "value"], "left").withColumn("blocks", F.coalesce("__blocks", F.lit(1))).drop("__blocks")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
-    cells = dealt.select("fp", "turned", "segment", "value", "own", F.explode(others).alias("other"))
-    key = F.struct("segment", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    sorted_cells = cells.select("fp", "turned", F.xxhash64(key).alias("cell"), gray_rank(F.col("turned")).alias("rank")).repartition("cell").sortWithinPartitions("cell", "rank").select("cell", "turned", "fp")
+    cells = dealt.select("fp", "pair", "value", "own", F.explode(others).alias("other"))
+    key = F.struct("pair", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sorted_cells = cells.select("fp", F.xxhash64(key).alias("cell")).repartition("cell").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("cell", "rank").select("cell", "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -175,7 +186,7 @@ def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy()
-        label = local_labels(pdf["turned"].to_numpy().view(np.uint64), pdf["cell"].to_numpy(), most)
+        label = local_labels(fp.view(np.uint64), pdf["cell"].to_numpy(), most)
         linked = label != np.arange(len(label))
         return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
 

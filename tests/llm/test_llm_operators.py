@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -206,14 +207,23 @@ def test_simhash_components(spark, sf):
     assert [r.component_id for r in nameless] == [None, None]
 
 
-@pytest.mark.parametrize("block", [3, 16, 1 << 15])
-def test_simhash_links_keep_every_component(spark, block):
+def test_any_three_bits_leave_two_segments_whole():
+    masks = [m % (1 << 64) for m in simhash.pair_masks()]
+    assert len(masks) == 10 and all(m.bit_count() in (25, 26) for m in masks)
+    ends = [(a, b - 1) for a, b in zip(simhash.SEGMENTS, simhash.SEGMENTS[1:])]
+    edges = [x for pair in ends for x in pair]
+    for flipped in itertools.combinations(edges, 3):
+        assert any(not m & sum(1 << b for b in flipped) for m in masks)
+
+
+@pytest.mark.parametrize(("block", "most_sent"), [(3, 0), (3, 1 << 17), (16, 1 << 17), (1 << 15, 1 << 17)])
+def test_simhash_links_keep_every_component(spark, block, most_sent):
     rng = random.Random(block)
     centres = [rng.getrandbits(64) for _ in range(12)]
     fps = {0} | {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(15)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), 3, block)
+    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), 3, block, most_sent)
     got = {r.node: r.label for r in components.connected(edges).collect()}
     expected = plain_components(fps)
     mine = {}
