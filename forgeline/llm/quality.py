@@ -28,6 +28,8 @@ FEATURES, RIDGE, WIDTH, BINS = 384, 1e-3, 4.0, 2048
 ACCEPT = 0.3
 #: Folds of the labelled rows (by a hash of the statistics, so that copies share one): their sums come to the driver.
 FOLDS = 4
+#: Groups of partitions whose sums are added up first, each in a task of its own.
+GROUPS = 256
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -154,17 +156,21 @@ def fit(labelled: DataFrame, label_col: str = "label", stats_col: str = "statist
             for fold, part in pdf.groupby("fold"):
                 z = model.cosines(np.stack(part["x"].to_numpy()))
                 total[fold] += z.T @ np.column_stack([z, part["y"].to_numpy()])
-        yield pd.DataFrame({"fold": range(FOLDS), "sums": list(total.reshape(FOLDS, -1))})
+        seen = np.flatnonzero(total[:, -1, -2])
+        if len(seen):
+            yield pd.DataFrame({"fold": seen.astype("int32"), "sums": list(total.reshape(FOLDS, -1)[seen])})
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((FOLDS, size * (size + 1)))
+        total: dict[int, np.ndarray] = {}
         for pdf in batches:
             for fold, one in zip(pdf["fold"], pdf["sums"], strict=True):
-                total[fold] += one
-        yield pd.DataFrame({"fold": range(FOLDS), "sums": list(total)})
+                total[fold] = total.get(fold, 0.0) + one
+        if total:
+            yield pd.DataFrame({"fold": list(total), "sums": list(total.values())})
 
     shape = "fold int, sums array<double>"
-    parts = rows.mapInPandas(equations, shape).repartition(FOLDS, "fold").mapInPandas(added, shape).filter("sums[size(sums) - 2] > 0").collect()
+    grouped = rows.mapInPandas(equations, shape).withColumn("group", F.spark_partition_id() % GROUPS).repartition("fold", "group")
+    parts = grouped.select("fold", "sums").mapInPandas(added, shape).repartition(FOLDS, "fold").mapInPandas(added, shape).collect()
     by_fold = np.zeros((FOLDS, size, size + 1))
     for p in parts:
         by_fold[p["fold"]] += np.array(p["sums"]).reshape(size, size + 1)
