@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline.llm import ann_forest, byte_bpe, chat, hamming_search, mixing, periodic_runs, pii, quality, secret_scan, simhash, source_stripes, token_prefix, url_filter
@@ -47,9 +47,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    """How many spans are of the kind. The function takes the span alone: a second argument would be its place in the array."""
+    return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    counts = [_of_kind("base_spans", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.said(F.col("base_spans")), 256).alias("base_sha256"), pii.said(F.col("spans")).alias("spans"))
 
 

@@ -1,0 +1,14 @@
+"""The queries' counts of base spans by kind, where a row has several of one kind or one of a later kind only."""
+
+from forgeline.llm import queries
+
+
+def documents(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_pii_counts_by_kind(spark, tmp_path):
+    texts = ["x.y@z-w.org", "a@b.org c@d.org e@f.org", "card 4111 1111 1111 1111", "+84 912345678, 10.0.0.1 and 10.0.0.2", "nothing", None]
+    found = queries.op6_pii(spark, documents(spark, tmp_path, texts)).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in found] == [(1, 0, 0, 0), (3, 0, 0, 0), (0, 0, 1, 0), (0, 2, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]
