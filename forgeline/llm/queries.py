@@ -116,7 +116,7 @@ def op12_source_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS[:3])]
+    counts = [_of_kind("base_spans", k).alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secret_scan.said(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.said(F.col("spans")).alias("spans"))
 
 
