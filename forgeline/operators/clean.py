@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forgeline.operators.ordered import last_known
 from forgeline.operators.ranks import values_at
-from forgeline.sources.scratch import cut
+from forgeline.sources.scratch import written
 
 # The measures of the five data sets, and the quantities that can't be negative (all, and those of the basic profile).
 MEASURES = [
@@ -114,8 +114,8 @@ def clean(df: DataFrame, profile: str = "full", order: list[str] | None = None)
     without duplicates are written once, to the checkpoint folder; all later steps read them there.
     """
     if profile == "basic":
-        return clip_negative(parse_dates(fill_unknown(fill_median(cut(dedup_exact(df))))), BASIC_QUANTITIES)
-    out = fill_median(cut(dedup_exact(coerce(df))))
+        return clip_negative(parse_dates(fill_unknown(fill_median(written(dedup_exact(df), "once")))), BASIC_QUANTITIES)
+    out = fill_median(written(dedup_exact(coerce(df)), "once"))
     if order and _kinds(df)[2]:
         out = fill_forward(out, _kinds(df)[2], order)
     return clip_negative(standardize_text(parse_dates(fill_unknown(out, [c for c in _kinds(df)[1] if c not in MEASURES and "date" not in c.lower()]))))

@@ -77,12 +77,18 @@ def with_violations(df: DataFrame, dataset: str, as_of: str | None = None) -> Da
 
 def violations(df: DataFrame, dataset: str, key: list[str], as_of: str | None = None) -> DataFrame:
     """One row a violation: the row's key, field, value, rule."""
-    return with_violations(df, dataset, as_of).select(*key, F.explode("violations").alias("v")).select(*key, "v.ord", "v.field", "v.value", "v.rule")
+    return _each(with_violations(df, dataset, as_of)).filter("v IS NOT NULL").select(*key, "v.ord", "v.field", "v.value", "v.rule")
+
+
+def _each(judged: DataFrame) -> DataFrame:
+    """A row for each violation `v`; a row without violations once, with a null. A filter on `v` stays above the rules, whereas one on the array
+    is pushed below the projections, each of its references with the whole expression."""
+    return judged.select("*", F.explode_outer("violations").alias("v")).drop("violations")
 
 
 def passed(df: DataFrame, dataset: str, as_of: str | None = None) -> DataFrame:
     """Rows without a violation, their fields as the contract's types; other columns stay."""
-    good = with_violations(df, dataset, as_of).filter(F.size("violations") == 0).drop("violations")
+    good = _each(with_violations(df, dataset, as_of)).filter("v IS NULL").drop("v")
     return good.withColumns({c: F.trim(F.col(c).cast("string")).try_cast(_SQL[f.kind]) for c, f in CONTRACTS[dataset].items()})
 
 
