@@ -13,11 +13,9 @@ from forgeline.plans import queries as q
 from forgeline.sources import files, scratch, views
 
 
-def _raw_csv(df: DataFrame, folder: str, by: list[str] = (), order: list[str] = ()) -> str:
-    """df as CSV with its texts as they are; with `by` one file for each of its values, in `order`."""
-    rows = df.repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, *order) if by else df
-    writer = rows.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    (writer.partitionBy(*by) if by else writer).csv(folder)
+def _raw_csv(df: DataFrame, folder: str, by: list[str] = ()) -> str:
+    """df as CSV with its texts as they are; with `by` a folder for each of its values."""
+    df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy(*by).csv(folder)
     return folder
 
 
@@ -42,9 +40,16 @@ def _csv_dates(s: SparkSession, d: str) -> DataFrame:
 q._add("csv_dates", _csv_dates, "SELECT Date, Line, Shift, count(*) AS rows, CAST(sum(Actual_Qty) AS BIGINT) AS actual, sum(Cycle_Time_sec) AS cycle FROM v_production GROUP BY ALL")
 
 
+def _by_machine(s: SparkSession, d: str, name: str) -> str:
+    """The dirty rows, once each, as one CSV file for each machine, in the order of rid and content; content, which follows from the rest, is neither shuffled nor written."""
+    folder = scratch.new_folder(s, name)
+    dealt = q._dirty(s, d).drop("content").repartition("Machine_ID").withColumn("of", F.col("Machine_ID"))
+    rows = dealt.withColumn("content", q._content()).sortWithinPartitions("of", "rid", "content").drop("content")
+    return _raw_csv(rows, folder, ["of"])
+
+
 def _numbered(s: SparkSession, d: str) -> DataFrame:
-    """The dirty rows, once each, as one CSV file for each machine, in the order of rid and content."""
-    return files.read_numbered(s, _raw_csv(q._dirty(s, d).withColumn("of", F.col("Machine_ID")), scratch.new_folder(s, "places"), ["of"], ["rid", "content"]))
+    return files.read_numbered(s, _by_machine(s, d, "places")).withColumn("content", q._content())
 
 
 _PLACES = "SELECT rid, content, Machine_ID, row_number() OVER (PARTITION BY Machine_ID ORDER BY rid, content) - 1 AS row_index FROM c_dirty"
@@ -52,8 +57,7 @@ q._add("csv_row_places", lambda s, d: _numbered(s, d).select(F.col("rid").cast("
 
 
 def _csv_violations(s: SparkSession, d: str) -> DataFrame:
-    folder = _raw_csv(q._dirty(s, d).withColumn("of", F.col("Machine_ID")), scratch.new_folder(s, "checked"), ["of"], ["rid", "content"])
-    found = files.validate_csv(s, folder, "production", q.AS_OF)
+    found = files.validate_csv(s, _by_machine(s, d, "checked"), "production", q.AS_OF)
     return found.select(F.regexp_extract("file", "of=([^/]*)/", 1).alias("machine"), "row_index", "field", "value", "rule")
 
 
@@ -151,7 +155,7 @@ q._add("report_files", _report_files, "SELECT Date, Total_Actual, Total_Target,
 def _etl_run(s: SparkSession, d: str) -> DataFrame:
     """The dirty production rows through the whole file run, twice: what is cleaned, and what is quarantined."""
     folder = scratch.new_folder(s, "etl")
-    _raw_csv(q._dirty(s, d).drop("content").coalesce(1), f"{folder}/raw/production")
+    _raw_csv(q._dirty(s, d).drop("content"), f"{folder}/raw/production")
     for _ in range(2):
         done = files.run_etl(s, f"{folder}/raw", f"{folder}/out", "run-1", q.AS_OF)["production"]
     cleaned = done.groupBy("Line").agg(F.lit("cleaned").alias("what"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("Actual_Qty").cast("bigint")).alias("actual"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from forgeline.functions.columns import dataset_of
 from forgeline.operators import clean as cleaning
 from forgeline.operators import contracts
-from forgeline.sources.scratch import cut
+from forgeline.sources.scratch import cut, written
 
 
 def discover_files(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def read_numbered(spark: SparkSession, path: str, multi_line: bool = False) -> D
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     reader = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
-    rows = cut(rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns]))
+    rows = written(rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns]), "numbered")
     blocks = rows.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     before = F.sum("__n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     placed = blocks.select("file", "__block", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__offset"))
