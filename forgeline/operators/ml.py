@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forgeline.sources.scratch import cut
+
 DEFECT_FEATURES = ["Target_Qty", "Actual_Qty", "Cycle_Time_sec", "Machines", "Reject_Rate", "Achievement", "Defects", "Inspected", "Critical_Count"]
 DOWNTIME_FEATURES = ["Temperature_C", "Vibration_mm", "Power_Usage_pct", "Speed_RPM", "Day_Of_Week"]
 
@@ -29,13 +31,22 @@ def downtime_features(machine: DataFrame) -> DataFrame:
 def split(df: DataFrame, key: list[str], share: float = 0.8, seed: int = 42, label: str = "label") -> tuple[DataFrame, DataFrame]:
     """Train and test rows, the same on every run: of each label's rows the given share, by a hash of the key.
 
-    The hash is 52 bits of the MD5 of seed and key, which other engines have too. The limits between both are quantiles of it by
-    label (exact up to one row in a million), so that no label is sorted.
+    The hash is 52 bits of the MD5 of seed and key, which other engines have too. A label's limit is the hash at place ceil(share * n)
+    of its order; rows at the limit are train rows. It is found exactly: counts by the first 16 bits name the bin, whose distinct values alone are put in order.
     """
     line = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
-    place = F.conv(F.substring(F.md5(line), 1, 13), 16, 10).cast("long")  # 52 bits: quantiles are doubles
-    limits = df.groupBy(F.col(label).alias("__label")).agg(F.percentile_approx(place, share, 1_000_000).alias("__limit"))
-    placed = df.withColumn("__place", place).join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("__label")))
+    place = F.conv(F.substring(F.md5(line), 1, 13), 16, 10).cast("long")
+    placed = df.withColumn("__place", place)
+    hashes = placed.select(F.col(label).alias("__label"), "__place", F.shiftright("__place", 36).alias("__bin"))
+    upto = lambda *by: F.sum("__c").over(Window.partitionBy("__label").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    bins = hashes.groupBy("__label", "__bin").agg(F.count(F.lit(1)).alias("__c"))
+    bins = bins.select("*", upto("__bin").alias("__upto"), F.ceil(F.lit(float(share)) * F.sum("__c").over(Window.partitionBy("__label"))).alias("__rank"))
+    # one row a label
+    hit = cut(bins.filter("__upto >= __rank AND __upto - __c < __rank").select(F.col("__label").alias("__of"), F.col("__bin").alias("__in"), (F.col("__rank") - F.col("__upto") + F.col("__c")).alias("__rest")))
+    inside = hashes.join(F.broadcast(hit), F.col("__label").eqNullSafe(F.col("__of")) & (F.col("__bin") == F.col("__in")))
+    values = inside.groupBy("__label", "__rest", "__place").agg(F.count(F.lit(1)).alias("__c")).withColumn("__upto", upto("__place"))
+    limits = cut(values.filter("__upto >= __rest").groupBy("__label").agg(F.min("__place").alias("__limit")))
+    placed = placed.join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("__label")))
     return placed.filter("__place <= __limit").select(*df.columns), placed.filter("__place > __limit").select(*df.columns)
 
 

@@ -227,7 +227,7 @@ def _split(s: SparkSession, d: str) -> DataFrame:
 
 
 _HASH = "SELECT Reading, CASE WHEN Downtime_min > 0 THEN 1 ELSE 0 END AS label, CAST('0x' || substr(md5('42|' || CAST(Reading AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM v_machine"
-q._add("stratified_split", _split, f"SELECT Reading, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS r, count(*) OVER (PARTITION BY label) AS n FROM ({_HASH})) WHERE r <= ceil(0.8e0 * n)")
+q._add("stratified_split", _split, f"SELECT Reading, label FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY h) AS r, count(*) OVER (PARTITION BY label) AS n FROM ({_HASH})) WHERE r <= ceil(0.8e0 * n)")
 
 
 def _importances(s: SparkSession, d: str) -> DataFrame:
