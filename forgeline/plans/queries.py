@@ -386,6 +386,8 @@ _ALIASES = [("fast", "small-1"), ("reasoning", "large-1"), ("embed", "embed-1")]
 _add("model_routing", lambda s, d: reqlog.routed(inputs.view(s, d, "v_requests"), s.createDataFrame(_ALIASES, "alias string, target string"), "default-1", "vision-1"), "SELECT event_id, model, task, has_image, CASE WHEN task = 'embed' THEN 'embed-1' WHEN has_image AND lower(coalesce(model, '')) IN ('', 'fast', 'reasoning', 'general', 'default', 'auto') THEN 'vision-1' WHEN lower(model) = 'fast' THEN 'small-1' WHEN lower(model) = 'reasoning' THEN 'large-1' WHEN coalesce(model, '') <> '' AND lower(model) <> 'auto' THEN model ELSE 'default-1' END AS resolved FROM v_requests")
 _DOCS = "SELECT doc_id, text || CASE WHEN doc_id % 10 = 0 THEN ' 0912345678 and 123456789012, 123456789' ELSE '' END AS text FROM documents"
 _MASK = "regexp_replace(regexp_replace(regexp_replace(text, '(?:\\+84[\\s.\\-]*|0)(?:3|5|7|8|9)(?:[\\s.\\-]*[0-9]){8}\\b', '[REDACTED_PII]', 'g'), '\\b[0-9]{12}\\b', '[REDACTED_PII]', 'g'), '(^|[^0-9])[0-9]{9}($|[^0-9])', '\\1[REDACTED_PII]\\2', 'g')"
+# a match takes the character after it, which the next number needs before it: a second pass finds that one
+_MASK = f"regexp_replace({_MASK}, '(^|[^0-9])[0-9]{{9}}($|[^0-9])', '\\1[REDACTED_PII]\\2', 'g')"
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
