@@ -1,7 +1,7 @@
 """Reachability, closure and cycles of directed graphs, whose edges are a table (a, b).
 
 Every step is a join of the edges with a state of one row a node (the closure apart, which is a table of pairs). Several
-steps make one job, whose result is cut off in the checkpoint folder; only counts come to the driver. No walk has a longest length.
+steps make one job, whose result is written to the checkpoint folder; only counts come to the driver. No walk has a longest length.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeline.sources.scratch import cut
+from forgeline.sources.scratch import cut, written
 
 #: Steps of a walk that make one job.
 HOPS = 4
@@ -75,24 +75,31 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges where each chain is one edge, (node, behind, ahead) of the chains' nodes, (node, component) of rings).
 
-    A chain's nodes have one edge in and one out each. By pointer jumping, whose rounds are the logarithm of their number, each finds the
-    first nodes behind and ahead that are in no chain; a node that finds none lies on a ring.
+    A chain's nodes have one edge in and one out each. By pointer jumping each finds the first nodes behind and ahead that are in no chain; a
+    node that finds none lies on a ring. `on` tells that the node ahead is in a chain. Each round has fewer such nodes on open chains, and names on a
+    ring stop falling only when all have its least one. So the rounds end when both stay, after the logarithm of the longest chain or ring.
+    The rounds go through Parquet: Spark keeps the estimated size of what a checkpoint was made from, and a join's is the product of its sides'
+    sizes, a number whose digits would treble in each round until the driver can't hold it.
     """
     into = edges.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("a").alias("behind"))
     out = edges.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.min("b").alias("ahead"))
-    chain = cut(into.join(out, "node").filter("ins = 1 AND outs = 1").select("node", "behind", "ahead", F.col("node").alias("least")))
+    chain = written(into.join(out, "node").filter("ins = 1 AND outs = 1").select("node", "behind", "ahead", F.col("node").alias("least")), "chain")
     inside = chain.select("node")
-    at, rounds = chain, chain.count().bit_length()
-    for _ in range(rounds):
-        further = at.select(F.col("node").alias("ahead"), F.col("ahead").alias("further"), F.col("least").alias("lower"))
-        earlier = at.select(F.col("node").alias("behind"), F.col("behind").alias("earlier"))
-        at = cut(at.join(further, "ahead", "left").join(earlier, "behind", "left").select("node", F.coalesce("earlier", "behind").alias("behind"), F.coalesce("further", "ahead").alias("ahead"), F.least("least", "lower").alias("least")))
-        if at.join(inside.withColumnRenamed("node", "ahead"), "ahead", "left_semi").isEmpty() and at.join(inside.withColumnRenamed("node", "behind"), "behind", "left_semi").isEmpty():
+    held = inside.select(F.col("node").alias("ahead"), F.lit(True).alias("on"))
+    at, before = written(chain.join(held, "ahead", "left").select("node", "behind", "ahead", "least", F.coalesce("on", F.lit(False)).alias("on"), F.lit(True).alias("fell")), "chain"), None
+    while True:
+        now = at.agg(F.count_if("on"), F.count_if(F.col("on") & F.col("fell"))).first()
+        if now[0] == 0 or now == (before, 0):
             break
-    rings = cut(at.join(inside.withColumnRenamed("node", "ahead"), "ahead", "left_semi").select("node", F.col("least").alias("component")))
-    chains = cut(at.join(rings, "node", "left_anti").select("node", "behind", "ahead"))
+        before = now[0]
+        further = at.select(F.col("node").alias("ahead"), F.col("ahead").alias("further"), F.col("least").alias("lower"), F.col("on").alias("still"))
+        earlier = at.select(F.col("node").alias("behind"), F.col("behind").alias("earlier"))
+        at = at.join(further, "ahead", "left").join(earlier, "behind", "left").select("node", F.coalesce("earlier", "behind").alias("behind"), F.coalesce("further", "ahead").alias("ahead"), F.least("least", "lower").alias("least"), F.coalesce("still", F.lit(False)).alias("on"), F.coalesce(F.col("lower") < F.col("least"), F.lit(False)).alias("fell"))
+        at = written(at, "chain")
+    rings = at.filter("on").select("node", F.col("least").alias("component"))
+    chains = at.filter("NOT on").select("node", "behind", "ahead")
     kept = edges.join(inside.withColumnRenamed("node", "a"), "a", "left_anti").join(inside.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
-    return cut(kept.union(chains.select("behind", "ahead")).distinct()), chains, rings
+    return written(kept.union(chains.select("behind", "ahead")).distinct(), "edges"), chains, rings
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -110,12 +117,12 @@ def _coloured(edges: DataFrame) -> DataFrame:
             new = colours
             for _ in range(HOPS):
                 new = hops.join(new.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("colour"))
-            new = cut(new)
+            new = written(new, "colours")
             same = new.join(colours, ["node", "colour"], "left_anti").isEmpty()
             colours = new
             if same:
                 break
-        within = cut(edges.join(colours.select(F.col("node").alias("a"), F.col("colour").alias("one")), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("other")), "b").filter("one = other").select("a", "b"))
+        within = written(edges.join(colours.select(F.col("node").alias("a"), F.col("colour").alias("one")), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("other")), "b").filter("one = other").select("a", "b"), "edges")
         back = _dealt(within.select("b", "a").union(nodes.select("node", F.col("node").alias("a"))), "b")
         marked, before = colours.filter("node = colour").select("node"), -1
         while True:
@@ -128,8 +135,9 @@ def _coloured(edges: DataFrame) -> DataFrame:
             before = now
         members = colours.join(marked, "node", "left_semi")
         whole = members.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        found = cut(found.union(members.join(whole, "colour", "left_semi").select("node", F.col("colour").alias("component"))))
-        edges = _trimmed(within.join(marked.withColumnRenamed("node", "a"), "a", "left_anti").join(marked.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+        found = written(found.union(members.join(whole, "colour", "left_semi").select("node", F.col("colour").alias("component"))), "found")
+        edges = cut(within.join(marked.withColumnRenamed("node", "a"), "a", "left_anti").join(marked.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+        edges = edges if edges.isEmpty() else _trimmed(edges)
     return found
 
 
@@ -139,19 +147,21 @@ def components_on_cycles(edges: DataFrame) -> DataFrame:
     Edges with a null end are left out. No edges give no rows. Ends that lead nowhere are trimmed and chains contracted, until neither changes
     anything; what is left is coloured, and then the chains are put back: a chain lies on a cycle if its ends share a component.
     """
-    pairs = cut(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct())
-    core, levels = pairs.filter("a != b"), []
+    pairs = written(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
+    core, levels = _trimmed(pairs.filter("a != b")), []
     while True:
-        core, chains, rings = _contracted(_trimmed(core))
+        core, chains, rings = _contracted(core)
         if chains.isEmpty() and rings.isEmpty():
             break
         levels.append((chains, rings))
-        core = core.filter("a != b")
+        # contraction leaves each node an edge in and one out, but for edges of a node to itself
+        if not core.filter("a = b").isEmpty():
+            core = _trimmed(core.filter("a != b"))
     found = _coloured(core)
     for chains, rings in reversed(levels):
         own = chains.filter("behind = ahead").select(F.col("behind").alias("node")).distinct()
         found = found.union(own.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))).union(rings)
         ends = chains.join(found.select(F.col("node").alias("behind"), "component"), "behind").join(found.select(F.col("node").alias("ahead"), F.col("component").alias("other")), "ahead")
-        found = cut(found.union(ends.filter("component = other").select("node", "component")))
+        found = written(found.union(ends.filter("component = other").select("node", "component")), "found")
     loops = pairs.filter("a = b").select(F.col("a").alias("node"))
     return found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))

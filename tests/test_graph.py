@@ -75,3 +75,28 @@ def test_long_paths_have_no_limit(spark):
 def test_no_edges(spark):
     none = edges_of(spark, [("a", "b")]).filter("false")
     assert graph.closure(none).count() == graph.reachable(none, "a").count() == graph.components_on_cycles(none).count() == 0
+
+
+def test_rounds_keep_the_estimated_size_small(spark, monkeypatch):
+    seen = []
+    for name in ("cut", "written"):
+        def told(df, *rest, step=getattr(graph, name)):
+            out = step(df, *rest)
+            seen.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+            return out
+
+        monkeypatch.setattr(graph, name, told)
+    ring = spark.range(40).selectExpr("concat('n', id) AS a", "concat('n', (id + 1) % 40) AS b")
+    assert graph.components_on_cycles(ring).count() == 40 and max(seen) < 64
+
+
+def test_rings_and_open_chains_of_many_lengths(spark):
+    rings = [(f"r{n}_{i}", f"r{n}_{(i + 1) % n}") for n in (2, 3, 4, 7, 16, 33) for i in range(n)]
+    # two hubs with chains of many lengths between them and one back, and a hub whose one chain comes back to it
+    chains = [e for n in (1, 2, 5, 9, 17) for e in zip(["h", *[f"c{n}_{i}" for i in range(n)]], [*[f"c{n}_{i}" for i in range(n)], "k"], strict=True)]
+    more = [("k", "h"), ("k", "out"), ("s", "d0"), ("d0", "d1"), ("d1", "s"), ("s", "h")]
+    pairs = rings + chains + more
+    reach = plain_reach(pairs)
+    got = {r.node: r.component for r in graph.components_on_cycles(edges_of(spark, pairs)).collect()}
+    on = {n for n, s in reach.items() if n in s}
+    assert set(got) == on and all((got[x] == got[y]) == (y in reach[x] and x in reach[y]) for x in on for y in on)
