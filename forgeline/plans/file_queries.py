@@ -231,7 +231,7 @@ q._add("stratified_split", _split, f"SELECT Reading, label FROM (SELECT *, rank(
 
 
 def _importances(s: SparkSession, d: str) -> DataFrame:
-    train, _ = ml.split(ml.defect_features(views.production(s, d), views.quality(s, d)), ["Date", "Line", "Shift"])
+    train, _ = q._written_split(ml.defect_features(views.production(s, d), views.quality(s, d)), ["Date", "Line", "Shift"])
     return ml.importances(s, ml.defect_model(train, trees=20, depth=6))
 
 
