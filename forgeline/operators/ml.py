@@ -8,10 +8,12 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forgeline.sources.scratch import cut
+from forgeline.sources.scratch import cut, written
 
 DEFECT_FEATURES = ["Target_Qty", "Actual_Qty", "Cycle_Time_sec", "Machines", "Reject_Rate", "Achievement", "Defects", "Inspected", "Critical_Count"]
 DOWNTIME_FEATURES = ["Temperature_C", "Vibration_mm", "Power_Usage_pct", "Speed_RPM", "Day_Of_Week"]
+#: Rows of a task that trains trees.
+TASK_ROWS = 250_000
 
 
 def defect_features(production: DataFrame, quality: DataFrame) -> DataFrame:
@@ -63,8 +65,18 @@ def defect_model(train: DataFrame, trees: int = 100, depth: int = 10, with_rate:
     return _model(train, ["Line", "Shift"], numbers, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42))
 
 
+def _counted(train: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that are equal in `columns` once, with their number `weight`; dealt evenly, so that each pass over them has all cores."""
+    distinct = written(train.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("weight")), "counted")
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, distinct.count() // TASK_ROWS + 1)
+    return distinct.repartition(int(tasks), *columns)
+
+
 def downtime_model(train: DataFrame, rounds: int = 100, depth: int = 6, step: float = 0.1) -> PipelineModel:
-    return _model(train, ["Machine_ID", "Line"], DOWNTIME_FEATURES, GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=42))
+    """Boosted trees. All rows count; equal ones are read once a pass, with their number as weight, which gives the sums that they would give apart."""
+    texts = ["Machine_ID", "Line"]
+    rows = _counted(train, [*DOWNTIME_FEATURES, *texts, "label"])
+    return _model(rows, texts, DOWNTIME_FEATURES, GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, weightCol="weight"))
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
