@@ -20,24 +20,21 @@ def _dealt(edges: DataFrame, by: str) -> DataFrame:
     return cut(edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), by))
 
 
-def _then(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(a, c) wherever `first` leads from a to b and `second` from b to c."""
-    return first.join(second.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-
-
 def closure(edges: DataFrame) -> DataFrame:
     """(a, b) wherever a path leads from a to b; a node reaches itself only on a cycle.
 
-    Before each round `known` has the pairs at distances under 2**k, `power` those at 2**k exactly. Only `power`, which no round has
-    had before, is joined: with `known` to the distances up to 2**(k + 1), with itself to that distance. The rounds grow with the logarithm of
+    Before each round `state` has the pairs at distances up to 2**k, those at 2**k exactly marked `far`. Only these, which no round has
+    had before, are joined, with all: a far pair leads to a far one over at most 2**(k + 1), to another over less. The least way by which a pair
+    came tells whether it is far in the next round, so that a round is one join and one grouping. The rounds grow with the logarithm of
     the longest distance, and end when no pair is so far apart.
     """
-    power, known = cut(edges.select("a", "b").distinct()), None
-    while True:
-        known = power if known is None else cut(known.union(power).union(_then(power, known)).distinct())
-        power = cut(_then(power, power).distinct().join(known, ["a", "b"], "left_anti"))
-        if power.isEmpty():
-            return known
+    state = written(edges.select("a", "b").distinct().withColumn("far", F.lit(True)), "pairs")
+    while not state.filter("far").isEmpty():
+        first = state.filter("far").select("a", F.col("b").alias("over"))
+        way = first.join(state.select(F.col("a").alias("over"), "b", F.when(F.col("far"), 2).otherwise(1).alias("way")), "over").select("a", "b", "way")
+        pairs = state.select("a", "b", F.lit(0).alias("way")).union(way).groupBy("a", "b").agg((F.min("way") == 2).alias("far"))
+        state = written(pairs, "pairs")
+    return state.select("a", "b")
 
 
 def reachable(edges: DataFrame, start) -> DataFrame:

@@ -100,3 +100,17 @@ def test_rings_and_open_chains_of_many_lengths(spark):
     got = {r.node: r.component for r in graph.components_on_cycles(edges_of(spark, pairs)).collect()}
     on = {n for n, s in reach.items() if n in s}
     assert set(got) == on and all((got[x] == got[y]) == (y in reach[x] and x in reach[y]) for x in on for y in on)
+
+
+def test_a_round_of_the_closure_writes_its_pairs_once(spark, monkeypatch):
+    seen = []
+
+    def told(df, *rest, step=graph.written):
+        seen.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return step(df, *rest)
+
+    monkeypatch.setattr(graph, "written", told)
+    monkeypatch.setattr(graph, "cut", None)
+    path = spark.range(40).selectExpr("concat('n', id) AS a", "concat('n', id + 1) AS b")
+    # distances of 1, 2, 4, 8, 16, 32, and then none of 64
+    assert graph.closure(path).count() == 40 * 41 // 2 and len(seen) == 7 and max(seen) < 64
