@@ -134,7 +134,7 @@ q._add("mart_tables", _mart_tables, "SELECT 'mart_oee' AS mart, count(*) AS rows
 
 def _quarantine_reruns(s: SparkSession, d: str) -> DataFrame:
     """A run's quarantine written twice, another run's once: each run's rows by field and rule."""
-    folder, rows = scratch.new_folder(s, "quarantine"), scratch.cut(q._quarantined(s, d))
+    folder, rows = scratch.new_folder(s, "quarantine"), scratch.written(q._quarantined(s, d), "found")
     for run in ("run-1", "run-2", "run-1"):
         files.write_quarantine(rows, folder, run, "production")
     return s.read.parquet(folder).groupBy("run_id", "dataset", "field", "rule").agg(F.count(F.lit(1)).alias("rows"))

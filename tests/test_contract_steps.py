@@ -32,3 +32,11 @@ def test_etl_input_is_not_one_task(spark, sf, monkeypatch):
 def test_content_is_not_written(spark, sf):
     folder = file_queries._by_machine(spark, sf, "test")
     assert "content" not in spark.read.option("header", True).csv(folder).columns
+
+
+def test_quarantine_reruns_writes_its_rows_as_parquet(spark, sf, monkeypatch):
+    from forgeline.plans import queries
+    from forgeline.sources import scratch
+
+    monkeypatch.setattr(scratch, "cut", None)
+    assert {r.run_id for r in queries.QUERIES["quarantine_reruns"](spark, sf).collect()} == {"run-1", "run-2"}
