@@ -187,14 +187,23 @@ def _content() -> Column:
     return F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in _DIRTY])
 
 
+def _once(s: SparkSession, d: str) -> DataFrame:
+    """The raw rows, equal ones once. They are dealt by the row key, so that no task holds more rows than its share."""
+    return views.raw_production(s, d).repartition("rid").distinct()
+
+
 def _dirty(s: SparkSession, d: str) -> DataFrame:
-    """The raw rows, equal ones once, with `content`, all their texts in one. They are dealt by the row key and written once, so that no row is
-    shuffled with its content, no task holds more rows than its share, and later steps read them instead of finding them again."""
-    return scratch.written(views.raw_production(s, d).repartition("rid").distinct(), "dirty").withColumn("content", _content())
+    """The raw rows, equal ones once, with `content`, all their texts in one. They are written once, so that no row is shuffled with its content,
+    and later steps read them instead of finding them again."""
+    return scratch.written(_once(s, d), "dirty").withColumn("content", _content())
 
 
 def _violations(s: SparkSession, d: str) -> DataFrame:
-    return contracts.violations(_dirty(s, d), "production", ["rid", "content"], AS_OF)
+    """Equal rows break the same rules: every raw row is judged where it is read, only what breaks a rule is dealt by the row key, and repeats go there.
+    The whole row goes with its violation, as rows that differ can have one `content`."""
+    raw = views.raw_production(s, d)
+    found = contracts.violations(raw, "production", raw.columns, AS_OF).repartition("rid").distinct()
+    return found.select("rid", _content().alias("content"), "ord", "field", "value", "rule")
 
 
 def _quarantined(s: SparkSession, d: str) -> DataFrame:

@@ -40,3 +40,25 @@ def test_quarantine_reruns_writes_its_rows_as_parquet(spark, sf, monkeypatch):
 
     monkeypatch.setattr(scratch, "cut", None)
     assert {r.run_id for r in queries.QUERIES["quarantine_reruns"](spark, sf).collect()} == {"run-1", "run-2"}
+
+
+def test_only_violations_are_dealt(spark, sf, monkeypatch):
+    from forgeline.sources import scratch
+
+    monkeypatch.setattr(scratch, "written", None)
+    steps = plan(q._violations(spark, sf))
+    assert steps.count("RepartitionByExpression") == 1
+    assert steps.index("RepartitionByExpression") < steps.index("isnotnull(v#")
+
+
+def test_violations_of_rows_with_one_content(spark, monkeypatch):
+    from forgeline.sources import views
+
+    row = {c: "1" for c in q._DIRTY} | {"rid": 7, "Date": "2024-01-01", "Line": None, "Target_Qty": "-5"}
+    rows = [row, row, row | {"Line": "~"}, row | {"rid": 8, "Line": "L", "Target_Qty": "5"}]
+    raw = spark.createDataFrame(rows, "rid bigint, " + ", ".join(f"{c} string" for c in q._DIRTY))
+    monkeypatch.setattr(views, "raw_production", lambda s, d: raw)
+    found = q.QUERIES["contract_violations"](spark, "").collect()
+    assert sorted((r.rid, r.field, r.value, r.rule) for r in found if r.value) == [(7, "Target_Qty", "-5", "range")] * 2
+    assert [(r.rid, r.field, r.rule) for r in found if not r.value] == [(7, "Line", "not_blank")]
+    assert len({r.content for r in found}) == 1
