@@ -1,5 +1,7 @@
 """How the steps that the contract queries share are planned."""
 
+import pytest
+
 from forgeline.operators import contracts
 from forgeline.plans import file_queries
 from forgeline.plans import queries as q
@@ -62,3 +64,12 @@ def test_violations_of_rows_with_one_content(spark, monkeypatch):
     assert sorted((r.rid, r.field, r.value, r.rule) for r in found if r.value) == [(7, "Target_Qty", "-5", "range")] * 2
     assert [(r.rid, r.field, r.rule) for r in found if not r.value] == [(7, "Line", "not_blank")]
     assert len({r.content for r in found}) == 1
+
+
+@pytest.mark.parametrize("name", ["quarantine_rows"])
+def test_quarantine_is_dealt_once(spark, sf, monkeypatch, name):
+    from forgeline.sources import scratch
+
+    monkeypatch.setattr(scratch, "written", None)
+    steps = q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("Exchange hashpartitioning(rid") == 1
