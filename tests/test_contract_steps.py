@@ -66,7 +66,7 @@ def test_violations_of_rows_with_one_content(spark, monkeypatch):
     assert len({r.content for r in found}) == 1
 
 
-@pytest.mark.parametrize("name", ["quarantine_rows", "quarantine_summary"])
+@pytest.mark.parametrize("name", ["quarantine_rows", "quarantine_summary", "run_quarantine_counts"])
 def test_quarantine_is_dealt_once(spark, sf, monkeypatch, name):
     from forgeline.sources import scratch
 
