@@ -73,3 +73,14 @@ def test_quarantine_is_dealt_once(spark, sf, monkeypatch, name):
     monkeypatch.setattr(scratch, "written", None)
     steps = q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert steps.count("Exchange hashpartitioning(rid") == 1
+
+
+@pytest.mark.parametrize("name", ["quality_gate", "quality_decision"])
+def test_checks_write_no_rows(spark, sf, monkeypatch, name):
+    from forgeline.sources import scratch
+
+    known = q.QUERIES[name](spark, sf).collect()
+    monkeypatch.setattr(scratch, "written", None)
+    assert q.QUERIES[name](spark, sf).collect() == known
+    once = plan(contracts.with_violations(q._once(spark, sf), "production", q.AS_OF)).count("RLIKE")
+    assert plan(q._checks(spark, sf)).count("RLIKE") <= once
