@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forgeline.operators.ordered import last_known
 from forgeline.operators.ranks import values_at
@@ -48,6 +49,27 @@ def dedup_exact(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+#: Hashes that occur more than once and are sent to all tasks, at most.
+MOST_HASHES = 1_000_000
+
+
+def dedup_few(df: DataFrame, most: int = MOST_HASHES) -> DataFrame:
+    """As `dedup_exact`, for rows of which few are equal to others: only those whose hash occurs more than once are shuffled.
+
+    Equal rows have equal hashes, and among rows of one hash all columns are compared. df is written once, to the checkpoint folder. Where more than `most`
+    hashes occur more than once, all rows are shuffled, as by `dedup_exact`, and written again.
+    """
+    rows = written(df, "rows")
+    # only columns whose equal values surely have one hash: not texts with a collation of their own, nor nested ones
+    flat = [f.name for f in rows.schema if f.dataType in (T.StringType(), T.DateType(), T.TimestampType(), T.BooleanType()) or isinstance(f.dataType, T.NumericType)]
+    hashed = rows.withColumn("__hash", F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in flat]))
+    more = written(hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash"), "hashes")
+    if more.count() > most:
+        return written(dedup_exact(rows), "once")
+    shared = written(dedup_exact(hashed.join(F.broadcast(more), "__hash", "left_semi").drop("__hash")), "shared")
+    return hashed.join(F.broadcast(more), "__hash", "left_anti").drop("__hash").unionByName(shared)
+
+
 def _kinds(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     kind = {f.name: f.dataType.typeName() for f in df.schema}
     numbers = [c for c, k in kind.items() if k in ("double", "float", "integer", "long", "short", "byte") or k.startswith("decimal")]
@@ -107,15 +129,17 @@ def clip_negative(df: DataFrame, columns: list[str] = QUANTITIES) -> DataFrame:
     return df.withColumns({c: not_negative(c) for c in columns if c in df.columns})
 
 
-def clean(df: DataFrame, profile: str = "full", order: list[str] | None = None) -> DataFrame:
+def clean(df: DataFrame, profile: str = "full", order: list[str] | None = None, few_copies: bool = False) -> DataFrame:
     """The whole chain. The basic profile neither coerces nor trims and clips fewer columns; no rows stay no rows.
 
     Dates that are null in columns of a date type take the last one before them in `order`, if an order is given. The rows
-    without duplicates are written once, to the checkpoint folder; all later steps read them there.
+    without duplicates are written once, to the checkpoint folder; all later steps read them there. With `few_copies` they are found by
+    `dedup_few`, which shuffles less where few rows are equal; the result is the same.
     """
+    once = dedup_few if few_copies else lambda rows: written(dedup_exact(rows), "once")
     if profile == "basic":
-        return clip_negative(parse_dates(fill_unknown(fill_median(written(dedup_exact(df), "once")))), BASIC_QUANTITIES)
-    out = fill_median(written(dedup_exact(coerce(df)), "once"))
+        return clip_negative(parse_dates(fill_unknown(fill_median(once(df)))), BASIC_QUANTITIES)
+    out = fill_median(once(coerce(df)))
     if order and _kinds(df)[2]:
         out = fill_forward(out, _kinds(df)[2], order)
     return clip_negative(standardize_text(parse_dates(fill_unknown(out, [c for c in _kinds(df)[1] if c not in MEASURES and "date" not in c.lower()]))))

@@ -88,7 +88,10 @@ def _each(judged: DataFrame) -> DataFrame:
 
 def passed(df: DataFrame, dataset: str, as_of: str | None = None) -> DataFrame:
     """Rows without a violation, their fields as the contract's types; other columns stay."""
-    good = _each(with_violations(df, dataset, as_of)).filter("v IS NULL").drop("v")
+    return _typed_fields(_each(with_violations(df, dataset, as_of)).filter("v IS NULL").drop("v"), dataset)
+
+
+def _typed_fields(good: DataFrame, dataset: str) -> DataFrame:
     return good.withColumns({c: F.trim(F.col(c).cast("string")).try_cast(_SQL[f.kind]) for c, f in CONTRACTS[dataset].items()})
 
 
@@ -120,6 +123,13 @@ def gate(df: DataFrame, dataset: str, key: list[str], source_file: str, run_id:
     return passed(df, dataset, as_of), quarantine(violations(df, dataset, key, as_of), key, dataset, source_file, run_id, at)
 
 
+def gate_judged(judged: DataFrame, dataset: str, key: list[str], source_file: str, run_id: str, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """As `gate`, for rows that `with_violations` has judged and that were written since, so that both sides read them and no row is judged twice."""
+    good = judged.filter(F.size("violations") == 0).drop("violations")
+    found = judged.filter(F.size("violations") > 0).select(*key, F.explode("violations").alias("v")).select(*key, "v.ord", "v.field", "v.value", "v.rule")
+    return _typed_fields(good, dataset), quarantine(found, key, dataset, source_file, run_id, at)
+
+
 def quality_context(n_passed: DataFrame, by_dataset: DataFrame, cumulative: DataFrame) -> DataFrame:
     """One row: passed, rejected (null without evidence of this run), scope, cumulative quarantine rows."""
     rejected = by_dataset.agg(F.sum("rows").alias("rejected"), F.map_from_entries(F.collect_list(F.struct("dataset", "rows"))).alias("by_dataset"))

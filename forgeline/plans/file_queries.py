@@ -13,9 +13,9 @@ from forgeline.plans import queries as q
 from forgeline.sources import files, scratch, views
 
 
-def _raw_csv(df: DataFrame, folder: str, by: list[str] = ()) -> str:
+def _raw_csv(df: DataFrame, folder: str, by: list[str] = (), compression: str = "none") -> str:
     """df as CSV with its texts as they are; with `by` a folder for each of its values."""
-    df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy(*by).csv(folder)
+    df.write.mode("overwrite").option("header", True).option("compression", compression).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy(*by).csv(folder)
     return folder
 
 
@@ -153,9 +153,9 @@ q._add("report_files", _report_files, "SELECT Date, Total_Actual, Total_Target,
 
 
 def _etl_run(s: SparkSession, d: str) -> DataFrame:
-    """The dirty production rows through the whole file run, twice: what is cleaned, and what is quarantined."""
+    """The dirty production rows, as gzip CSV, through the whole file run, twice: what is cleaned, and what is quarantined."""
     folder = scratch.new_folder(s, "etl")
-    _raw_csv(q._dirty(s, d).drop("content"), f"{folder}/raw/production")
+    _raw_csv(q._once(s, d), f"{folder}/raw/production", [], "gzip")
     for _ in range(2):
         done = files.run_etl(s, f"{folder}/raw", f"{folder}/out", "run-1", q.AS_OF)["production"]
     cleaned = done.groupBy("Line").agg(F.lit("cleaned").alias("what"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("Actual_Qty").cast("bigint")).alias("actual"))

@@ -189,7 +189,7 @@ def _content() -> Column:
 
 def _once(s: SparkSession, d: str) -> DataFrame:
     """The raw rows, equal ones once. They are dealt by the row key, so that no task holds more rows than its share."""
-    return views.raw_production(s, d).repartition("rid").distinct()
+    return views.raw_production(s, d, dealt=True).distinct()
 
 
 def _dirty(s: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from forgeline.functions.columns import dataset_of
 from forgeline.operators import clean as cleaning
 from forgeline.operators import contracts
-from forgeline.sources.scratch import cut, written
+from forgeline.sources.scratch import cut, released, written
 
 
 def discover_files(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
@@ -49,23 +50,26 @@ def read_csv(spark: SparkSession, path: str, dataset: str | None = None, dates:
 CORRUPT = "_corrupt"
 
 
-def read_numbered(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_numbered(spark: SparkSession, path: str, multi_line: bool = False, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """CSV files with one header: every column as text, with `file`, `row_index` and `_corrupt`; written once to the checkpoint folder.
 
     row_index is a row's place among its file's rows, from 0, without the header and blank lines. Rows are read by file block; each block counts
     its own, and the counts of the blocks before it in the file are added, so that no task reads a file whole. `_corrupt` has the line where
     the cells are more or fewer than the header's, else null. With `multi_line` quoted cells may hold line breaks, and a file is read by one task.
+    `judge` may add columns to the rows before they are written.
     """
     reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line)
     names = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     reader = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
-    rows = written(rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns]), "numbered")
+    rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
+    rows = written(judge(rows) if judge else rows, "numbered")
     blocks = rows.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     before = F.sum("__n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     placed = blocks.select("file", "__block", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__offset"))
-    return rows.join(placed, ["file", "__block"]).withColumn("row_index", F.col("__id") + F.col("__offset")).drop("__block", "__id", "__offset")
+    # a row for each block, of which the driver has a list anyway: the rows themselves are never shuffled
+    return rows.join(F.broadcast(placed), ["file", "__block"]).withColumn("row_index", F.col("__id") + F.col("__offset")).drop("__block", "__id", "__offset")
 
 
 def malformed(rows: DataFrame) -> DataFrame:
@@ -198,13 +202,16 @@ def run_etl(spark: SparkSession, folder: str, out: str, run_id: str, as_of: str
     """Raw CSV files to cleaned tables: contracts first, violations into this run's quarantine, the rest cleaned and saved.
 
     Broken lines go to the quarantine too. A run again with the same id leaves the same tables. Of each data set one file counts, the first by name.
+    What is written on the way to a data set's tables goes when they are there.
     """
     done, key = {}, ["file", "row_index"]
     for row in discover_files(spark, folder).collect():
-        dataset, rows = row["dataset"], read_numbered(spark, row["path"])
-        kept, rejected = contracts.gate(whole(rows), dataset, key, row["path"], run_id, as_of)
-        bad = contracts.quarantine(malformed(rows), key, dataset, row["path"], run_id)
-        write_quarantine(bad if rejected is None else rejected.unionByName(bad), f"{out}/quarantine", run_id, dataset)
-        save_processed(cleaning.clean(kept.drop(*key)), out, dataset, run_id)
+        dataset = row["dataset"]
+        with released(spark):
+            rows = read_numbered(spark, row["path"], judge=lambda lines, dataset=dataset: contracts.with_violations(lines, dataset, as_of))
+            kept, rejected = contracts.gate_judged(whole(rows), dataset, key, row["path"], run_id)
+            bad = contracts.quarantine(malformed(rows), key, dataset, row["path"], run_id)
+            write_quarantine(rejected.unionByName(bad), f"{out}/quarantine", run_id, dataset)
+            save_processed(cleaning.clean(kept.drop(*key), few_copies=True), out, dataset, run_id)
         done[dataset] = spark.read.parquet(f"{out}/{dataset}/run_id={run_id}")
     return done

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders that `written` has filled in each block of `released` that is open now, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which the driver and all executors share.
 
@@ -40,5 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """As `cut`, but as Parquet: for whole tables, of which a checkpoint would hold every row uncompressed."""
     folder = new_folder(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What `written` writes in this block is deleted at its end, when no result that reads it may be needed any more."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _OPEN.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
